@@ -65,6 +65,15 @@ def const_array(values: Sequence, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def held(value: Column) -> Column:
+    """The value, computed where it stands: a filter on it isn't pushed below.
+
+    Else the optimizer would put the expressions of all steps into one, where
+    a step's array is made again for each element of the next.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 @dataclass(frozen=True)
 class Ranges:
     """Ranges of a long key, cut by a histogram of all its values; equal for equal data, whatever the partitioning.

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, WHITE_RE, const_array
+from .common import WHITE, WHITE_RE, const_array, held
 
 #: Hash buckets of the multinomials; the prior's weight (n-grams for each bucket); labelled rows used at most.
 BUCKETS, SMOOTH, MOST_LABELS = 16_384, 8.0, 200_000
@@ -78,12 +78,13 @@ def _judged(rows: DataFrame, ratios: list[float], threshold: float, buckets: int
         F.when(repeats, F.sort_array(F.transform("w3", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("by_hash"),
         (F.aggregate("grams", F.lit(0.0), lambda a, b: a + F.get(weights, b)) / F.greatest(F.size("grams"), F.lit(1))).alias("score"),
     )
+    got = got.withColumn("score", held(F.col("score"))).withColumn("by_hash", held(F.col("by_hash")))
     same = lambda x, k: F.coalesce(F.get("by_hash", k)["h"] == x["h"], F.lit(False))
     twice = F.filter("by_hash", lambda x, k: same(x, k - 1) | same(x, k + 1))
     got = got.withColumn("at", F.sort_array(F.transform(twice, lambda x: x["i"])))
     # a window covers three words, or as many as there are before the next one begins
     covered = F.aggregate(F.transform("at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("at", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    got = got.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    got = got.withColumn("n_repeat_words", held(F.coalesce(covered, F.lit(0)).cast("long")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return got.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
