@@ -1,0 +1 @@
+"""Bi-temporal claim-graph analytics on Spark: every operator is a function from DataFrames to a DataFrame."""
