@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,21 @@ def shared_dir(spark: SparkSession) -> str:
     return told or jsc.getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that no other run uses; it goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read again: no lineage, and the size of the files instead of an estimate.
+
+    (A checkpoint keeps its plan's estimated size. Joins multiply estimates, so
+    in a loop they grow to numbers of millions of digits.)
+    """
+    folder = new_folder(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
