@@ -6,46 +6,20 @@ is bounded by a parameter (slots of a histogram, one row for each shard).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import cut, new_folder  # noqa: F401
+
 #: White space of the contracts' words: space and \x09 to \x0D.
 WHITE = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression.
 WHITE_RE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests) a new temporary one, set on the context."""
-    sc = spark.sparkContext
-    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if told:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(told)
-        return told
-    now = sc._jsc.sc().getCheckpointDir()
-    if now.isEmpty():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skein-"))
-        now = sc._jsc.sc().getCheckpointDir()
-    return now.get()
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage (replicated by the store, unlike a local checkpoint)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the rows' size: what the scan would read."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -1,49 +1,5 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components of links between documents."""
 
-Each step is a grouped minimum (combined on the map side, so a hub with a
-third of all edges is summed up before the shuffle) and an equi-join. Every
-round is checkpointed; links never reach the driver.
-"""
+from ..operators.components import connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut
-
-
-def _distinct(edges: DataFrame) -> DataFrame:
-    return edges.where("u <> v").distinct()
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return _distinct(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    to_least = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return _distinct(to_least.unionByName(least.select("u", F.col("m").alias("v"))))
-
-
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 60) -> DataFrame:
-    """``node, component`` for every node that has an edge; component: the smallest node reachable.
-
-    Edges with a null end are dropped; loops and repeated edges don't matter;
-    no edges give no rows. Raises if ``most_rounds`` rounds don't end it (the
-    number of rounds grows with the logarithm of the nodes).
-    """
-    now = _distinct(edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).dropna())
-    now, before = cut(now), None
-    for _ in range(most_rounds):
-        print_of = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if print_of == before or not print_of[0]:
-            # every node above its least points to it; the least nodes stand for themselves
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = print_of
-        now = cut(_small_star(_large_star(now)))
-    raise RuntimeError(f"no end after {most_rounds} rounds")
+__all__ = ["connected_components"]
