@@ -28,8 +28,8 @@ from .components import connected_components
 
 #: Shingles whose bits are counted at once, and node pairs that one step of the walk expands.
 BLOCK, FRONTIER = 1 << 15, 1 << 20
-#: Node pairs with so few leaf pairs are compared leaf by leaf.
-LEAVES = 16
+#: Node pairs with so few leaf pairs are compared leaf by leaf; fingerprints of a subtree, on average.
+LEAVES, SUBTREE = 16, 64
 
 
 def simhash64(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -68,9 +68,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
 
 def block_layout(distinct: int, budget: int) -> tuple[int, int]:
-    """(blocks, blocks that agree): the fewest choices whose agreeing bits leave a few fingerprints to a subtree."""
+    """(blocks, blocks that agree): the fewest choices whose agreeing bits leave ``SUBTREE`` fingerprints or less to a subtree on average."""
     agree = 1
-    while agree < 5 and distinct >> (64 * agree // (budget + agree)) > 16:
+    while agree < 5 and distinct >> (64 * agree // (budget + agree)) > SUBTREE:
         agree += 1
     return budget + agree, agree
 

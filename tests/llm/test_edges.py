@@ -38,8 +38,8 @@ def test_simhash(odd):
     assert simhash.keep_one(odd.where("doc_id is not null")).count() == len(set(want_groups.values()))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_trie_against_all_pairs(spark, seed):
+@pytest.mark.parametrize(("seed", "budget"), [(0, 4), (1, 4), (2, 7)])
+def test_trie_against_all_pairs(spark, monkeypatch, seed, budget):
     """Random, clustered and chained fingerprints, extremes of the sign bit included."""
     rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**64, 40, np.uint64)
@@ -50,10 +50,11 @@ def test_trie_against_all_pairs(spark, seed):
             for k in rng.integers(0, 64, rng.integers(1, 7)):
                 v ^= 1 << int(k)
             values.add(v)
+    monkeypatch.setattr(simhash, "SUBTREE", seed)  # more blocks agree
     prints = dict(enumerate(sorted(values)))
     df = spark.createDataFrame([(d, v - 2**64 if v >= 2**63 else v) for d, v in prints.items()], "doc_id long, fp long")
-    got = {r["node"]: r["component"] for r in components.connected_components(simhash.trie_links(df)).collect()}
-    want = brute.groups(prints)
+    got = {r["node"]: r["component"] for r in components.connected_components(simhash.trie_links(df, budget)).collect()}
+    want = brute.groups(prints, budget)
     assert {d: got.get(d, d) for d in prints} == want
 
 

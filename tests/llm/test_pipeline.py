@@ -21,7 +21,7 @@ def test_stages(spark, sf, tmp_path):
             kept = {r["doc_id"] for r in quality.quality_rules(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("kept").collect()}
             assert {r["doc_id"] for r in after} == kept and not any(brute.base_quality(r["text"])[-1] for r in after)
         elif name == "dedup":
-            groups = brute.groups({d: brute.simhash(t) for d, t in before.items()})
+            groups = brute.groups({d: brute.simhash(t, 5) for d, t in before.items()}, 7)
             assert sorted(r["doc_id"] for r in after) == sorted(set(groups.values()))
         elif name == "secrets":
             assert {r["doc_id"] for r in after} == before.keys()
