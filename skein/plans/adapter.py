@@ -63,9 +63,9 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
-    """Mean value and number of events by type and day."""
+    """Mean value (of whole hundredths, so that no order of summing matters) and number of events by type and day."""
     e = table(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 4).alias("close"), F.count("*").cast("double").alias("volume"))
+    return e.groupBy(F.col("event_type").alias("series"), F.to_date("ts").alias("day")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / F.count("*") / 100).alias("close"), F.count("*").cast("double").alias("volume"))
 
 
 def monthly(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +106,7 @@ _HITS = " UNION ALL ".join(f"SELECT doc_id, '{t}' AS theme, day, stance, ent FRO
 TAGS = f"{DOCS}, tags AS ({_HITS})"
 BUCKETS = f"""{TAGS}, b AS (SELECT theme, day, count(*) AS count, count(*) FILTER (stance = 'bullish') AS w_bull,
   count(*) FILTER (stance = 'bearish') AS w_bear, count(*) FILTER (stance = 'neutral') AS w_neut FROM tags GROUP BY ALL)"""
-BARS = "bars AS (SELECT event_type AS series, CAST(ts AS DATE) AS day, round(avg(value), 4) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY ALL)"
+BARS = "bars AS (SELECT event_type AS series, CAST(ts AS DATE) AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) / count(*) / 100 AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY ALL)"
 MONTHLY = """mb AS (SELECT n_name AS series, CAST(n_regionkey AS VARCHAR) AS sector, CAST(date_trunc('month', l_shipdate) AS DATE) AS day,
   round(sum(l_extendedprice), 2) AS close, CAST(count(*) AS DOUBLE) AS volume
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)"""
