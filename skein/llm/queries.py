@@ -91,6 +91,29 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(secret_scan.all_spans()).alias("spans"))
 
 
+def _op6_part(k: int, pattern: str, group: int, least: int) -> str:
+    """Matches of one pattern with their positions: pieces and matches alternate."""
+    return f"""SELECT r, doc_id, source, {k} AS k, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS a, w[i] AS w
+FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT r, doc_id, source, regexp_extract_all(t, '{pattern}') AS w, regexp_extract_all(t, '{pattern}', {group}) AS p, regexp_split_to_array(t, '{pattern}') AS s FROM d)) WHERE length(p[i]) >= {least}"""
+
+
+#: The patterns for DuckDB: letters in either case written out, since its (?i) folds more than ASCII.
+_ANY_CASE = lambda words: "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words)
+_ASSIGN = "(" + _ANY_CASE(("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+OP6_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source FROM documents),
+base AS MATERIALIZED ({_op6_part(0, _ASSIGN, 2, 12)} UNION ALL {_op6_part(1, "AKIA[A-Z0-9]+", 0, 18)} UNION ALL {_op6_part(2, "[0-9a-f]+", 0, 16)}),
+cand AS MATERIALIZED (SELECT * FROM ({_op6_part(3, "[A-Za-z0-9+/_=-]{20,}", 0, 20)}) c
+  WHERE regexp_matches(w, '[0-9].*[0-9]') AND regexp_matches(w, '[A-Za-z]') AND len(list_distinct(string_split(w, ''))) >= 8
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.a < c.a + length(c.w) AND c.a < b.a + length(b.w))),
+held AS (SELECT w FROM cand GROUP BY w HAVING count(DISTINCT source) <= 1),
+told AS (SELECT r, k, a, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(w) AS BIGINT) AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM cand WHERE w IN (SELECT w FROM held)))
+SELECT doc_id, count(k) FILTER (k = 0) AS n_assign, count(k) FILTER (k = 1) AS n_access, count(k) FILTER (k = 2) AS n_hex,
+  sha256(coalesce(string_agg(s, ',' ORDER BY a, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, k), '') AS spans
+FROM d LEFT JOIN told USING (r) GROUP BY r, doc_id
+"""
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and how like they are to each other and to the next document's."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -179,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}
+    return {"op1_chat_format": OP1_SQL, "op6_secret_scan": OP6_SQL, "op8_warc": OP8_SQL, "op10_url_filter": OP10_SQL}
