@@ -65,7 +65,7 @@ def range_position(bars: DataFrame, least: int = 50) -> DataFrame:
 def breadth(positions: DataFrame, market: str = "market") -> DataFrame:
     """Share of series near their high (80 and above) and low (20 and below) and the upper median, by market and in all (market null)."""
     pct = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)) * 100, 1)
-    return positions.rollup(market).agg(F.count("*").alias("n"), pct(F.col("pos") >= 80).alias("near_high"), pct(F.col("pos") <= 20).alias("near_low"), numbers.upper_median(F.collect_list("pos")).alias("median_pos"))
+    return positions.rollup(market).agg(F.count("*").alias("n"), pct(F.col("pos") >= 80).alias("near_high"), pct(F.col("pos") <= 20).alias("near_low"), numbers.upper_median("pos").alias("median_pos"))
 
 
 def sector_heat(positions: DataFrame, least: int = 4, top: int = 8) -> tuple[DataFrame, DataFrame]:

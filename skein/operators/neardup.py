@@ -143,6 +143,7 @@ def diverse(items: DataFrame, group: str, order: list[str], body: str, most: int
     """Per group the first items in order that overlap with none kept before, at most ``most``.
 
     Greedy, so each group is one fold; the fold's state is the few kept items.
+    A group is a display list (a day's or theme's heads), which is one row here.
     """
     spec = [F.col(c) for c in order]
     rows = items.withColumn("_g", text.bigrams(F.col(body))).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*spec)))

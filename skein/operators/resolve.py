@@ -110,7 +110,7 @@ def resolve(surfaces: DataFrame, aliases: DataFrame, issuers: DataFrame, instant
     got = ranked.select("surface", first["target"].alias("t1"), (-first["neg"]).alias("s1"), second["target"].alias("t2"), F.coalesce(-second["neg"], F.lit(0.0)).alias("s2"))
     if must_not_link is not None:
         no = must_not_link.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.lit(True).alias("no")).distinct()
-        got = got.join(F.broadcast(no), (F.least("t1", "t2") == F.col("x")) & (F.greatest("t1", "t2") == F.col("y")), "left").drop("x", "y")
+        got = got.join(no, (F.least("t1", "t2") == F.col("x")) & (F.greatest("t1", "t2") == F.col("y")), "left").drop("x", "y")
     else:
         got = got.withColumn("no", F.lit(None).cast("boolean"))
     clear = (F.col("s1") >= s.accept) & (F.col("s1") - F.col("s2") >= s.margin) & ~(F.coalesce("no", F.lit(False)) & (F.col("s1") - F.col("s2") < s.margin))
@@ -131,4 +131,4 @@ def build_claims(extractions: DataFrame, docs: DataFrame, sources: DataFrame, re
     name = lambda known, surface: F.when(F.coalesce(surface, F.lit("")) == "", F.lit("")).otherwise(F.coalesce(known, F.concat(F.lit("provisional::"), surface)))
     got = got.withColumn("subject_id", name(F.col("_s_id"), F.col("subject_surface"))).withColumn("object_id", name(F.col("_o_id"), F.col("object_text")))
     d = docs.select("doc_id", "source_id", "event_time", "ingest_time", F.col("ingest_time").alias("knowledge_time"))
-    return got.withColumn("claim_id", F.concat("doc_id", F.lit("#c"), "i")).drop("_s", "_s_id", "_o", "_o_id", "i").join(d, "doc_id").join(F.broadcast(sources.select("source_id", "credibility")), "source_id")
+    return got.withColumn("claim_id", F.concat("doc_id", F.lit("#c"), "i")).drop("_s", "_s_id", "_o", "_o_id", "i").join(d, "doc_id").join(sources.select("source_id", "credibility"), "source_id")

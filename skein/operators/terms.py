@@ -25,7 +25,7 @@ def emergent(tokens: DataFrame, n_docs: int, df_low: int = 10, df_high: float =
     terms stay, edges need ``least`` documents, and degrees are counted anew.
     """
     df = doc_frequency(tokens).where((F.col("df") >= df_low) & (F.col("df") <= df_high * n_docs))
-    kept = tokens.join(F.broadcast(df.select("term")) if df_high * n_docs < 1000 else df.select("term"), "term", "left_semi")
+    kept = tokens.join(df.select("term"), "term", "left_semi")
     pairs = cooccurrence(kept, 1, item="term")
     degree = pairs.select(F.col("a").alias("term")).unionByName(pairs.select(F.col("b").alias("term"))).groupBy("term").agg(F.count("*").alias("degree"))
     best = df.join(degree, "term", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).orderBy(F.desc("degree"), F.desc("df"), "term").limit(top)
