@@ -88,3 +88,49 @@ def with_parents(themes: DataFrame) -> DataFrame:
 def forbidden(text: Column, words: tuple[str, ...] = ("buy", "sell", "매수", "매도", "목표가", "price target", "strong buy")) -> Column:
     """The vocabulary (fixed values) that no published text may hold, as found in it."""
     return F.filter(F.array(*[F.when(F.contains(F.lower(text), F.lit(w)), F.lit(w)) for w in words]), lambda w: w.isNotNull())
+
+
+#: Conglomerate families and the parts of a name that tell them.
+FAMILIES = {
+    "삼성": ("삼성", "samsung"),
+    "SK": ("SK", "에스케이"),
+    "LG": ("LG", "엘지"),
+    "현대차": ("현대차", "현대자동차", "기아", "현대모비스", "현대글로비스"),
+    "HD현대": ("HD현대", "현대중공업", "현대일렉트릭", "현대미포", "한국조선해양"),
+    "효성": ("효성",),
+    "포스코": ("포스코", "posco"),
+    "롯데": ("롯데", "lotte"),
+    "한화": ("한화",),
+    "CJ": ("CJ",),
+    "GS": ("GS",),
+    "두산": ("두산", "doosan"),
+    "신세계": ("신세계", "이마트"),
+    "코오롱": ("코오롱",),
+    "한진": ("한진", "대한항공"),
+    "DB": ("DB하이텍", "DB금융", "DB손해"),
+    "OCI": ("OCI",),
+    "HD": ("하이트진로",),
+}
+#: What a holding's name adds to that of its group.
+HOLDING_PARTS = ("Holdings", "홀딩스", "사이언스", "그룹", "지주")
+
+
+def family(name: Column, families: dict[str, tuple[str, ...]] = FAMILIES) -> Column:
+    """The first family one of whose parts is in the name; null for none."""
+    return F.coalesce(*[F.when(F.lower(name).rlike("|".join(f"\\Q{p.lower()}\\E" for p in parts)), F.lit(f)) for f, parts in families.items()])
+
+
+def same_group(a: Column, b: Column, families: dict[str, tuple[str, ...]] = FAMILIES) -> Column:
+    """One family; or one name starts with the other (two characters or more, spaces apart); or they differ by a holding's part only."""
+    x, y = F.replace(a, F.lit(" "), F.lit("")), F.replace(b, F.lit(" "), F.lit(""))
+    starts = ((F.length(x) >= 2) & F.startswith(y, x)) | ((F.length(y) >= 2) & F.startswith(x, y))
+    bare = lambda c, p: F.trim(F.replace(c, F.lit(p), F.lit("")))
+    out = F.coalesce(family(a, families) == family(b, families), F.lit(False)) | starts
+    for p in HOLDING_PARTS:
+        out = out | ((bare(a, p) == bare(b, p)) & (a != b))
+    return out
+
+
+def in_universe(issuer_id: Column, membership: Column) -> Column:
+    """Korean issuers always; US issuers if they are members of an index."""
+    return F.when(issuer_id.startswith("DART"), True).when(issuer_id.startswith("CIK"), F.coalesce(membership, F.lit("")) != "").otherwise(False)

@@ -116,6 +116,14 @@ def rand_index(labels: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return got.select(F.round(F.coalesce(F.try_divide(F.col("both") - expected, top - expected), F.lit(1.0)), 6).alias("ari"))
 
 
+def purity(members: DataFrame, cross_below: float = 0.6) -> DataFrame:
+    """Per cluster its commonest sector (the first of equals), that sector's share, and whether it is too small to call the cluster a sector's."""
+    n = members.groupBy("cluster", "sector").agg(F.count("*").alias("c"))
+    got = n.groupBy("cluster").agg(F.sum("c").alias("n"), F.min(F.struct((-F.col("c")).alias("c"), "sector")).alias("top"))
+    share = -F.col("top.c") / F.col("n")
+    return got.select("cluster", "n", F.col("top.sector").alias("top_sector"), F.round(share, 6).alias("purity"), (share < cross_below).alias("cross_sector"))
+
+
 def average_linkage(dist: np.ndarray, cut_at: float) -> np.ndarray:
     """Labels of average-linkage clusters whose distance stays at ``cut_at`` or below."""
     n = len(dist)

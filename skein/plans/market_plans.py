@@ -197,6 +197,12 @@ def label_ari(spark, d):
     return comove.rand_index(A.table(spark, d, "embeddings").select(F.col("label").alias("x"), (F.col("vec_id") % 7 % 3).alias("y")))
 
 
+@plan("""WITH c AS (SELECT label AS cluster, 's' || (vec_id % 5 % 3) AS sector, count(*) AS c FROM embeddings GROUP BY ALL), t AS (SELECT *, sum(c) OVER (PARTITION BY cluster) AS n, row_number() OVER (PARTITION BY cluster ORDER BY c DESC, sector) AS k FROM c)
+SELECT cluster, CAST(n AS BIGINT) AS n, sector AS top_sector, round(c / n, 6) AS purity, c / n < 0.6 AS cross_sector FROM t WHERE k = 1""")
+def cluster_purity(spark, d):
+    return comove.purity(A.table(spark, d, "embeddings").select(F.col("label").alias("cluster"), F.concat(F.lit("s"), F.col("vec_id") % 5 % 3).alias("sector")))
+
+
 @plan()
 def flow_clusters(spark, d):
     """Clusters of nations by residual co-movement; linkage is tested on planted blocks."""

@@ -180,6 +180,24 @@ def guardrail_scan(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.array_join(lookup.forbidden(F.col("text"), ("buy", "sell", "thing")), "|").alias("found")).where("found <> ''")
 
 
+_FAMILY = "CASE WHEN regexp_matches(lower({0}), 'united|rom') THEN 'U' WHEN regexp_matches(lower({0}), 'ir') THEN 'I' END"
+
+
+@plan(f"""SELECT a.n_name AS a, b.n_name AS b, coalesce({_FAMILY.format("a.n_name")} = {_FAMILY.format("b.n_name")}, false) OR (length(a.n_name) >= 2 AND starts_with(b.n_name, replace(a.n_name, ' ', ''))) OR (length(b.n_name) >= 2 AND starts_with(a.n_name, replace(b.n_name, ' ', ''))) AS same
+FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name""")
+def same_group_pairs(spark, d):
+    n = A.table(spark, d, "nation")
+    pairs = n.select("n_regionkey", F.col("n_name").alias("a")).join(n.select("n_regionkey", F.col("n_name").alias("b")), "n_regionkey").where("a < b")
+    return pairs.select("a", "b", lookup.same_group(F.col("a"), F.col("b"), {"U": ("united", "rom"), "I": ("ir",)}).alias("same"))
+
+
+@plan("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN true WHEN c_custkey % 3 = 1 THEN c_mktsegment = 'BUILDING' ELSE false END AS member FROM customer")
+def universe_predicate(spark, d):
+    k = F.col("c_custkey")
+    who = F.concat(F.when(k % 3 == 0, "DART").when(k % 3 == 1, "CIK").otherwise("X"), k.cast("string"))
+    return A.table(spark, d, "customer").select("c_custkey", lookup.in_universe(who, F.when(F.col("c_mktsegment") == "BUILDING", "IDX")).alias("member"))
+
+
 @plan("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS labels FROM nation GROUP BY 1")
 def index_labels(spark, d):
     return A.table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("labels"))
