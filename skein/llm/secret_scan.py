@@ -21,6 +21,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 KINDS = (("assign", ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]{14,}", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
 #: A candidate: so many characters of a token's alphabet, a letter and a digit among them.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Spans that are broadcast at most (some 40 bytes each).
+MOST_BROADCAST = 1_000_000
 #: A candidate that more owners than this have is a copied example.
 MOST_OWNERS = 1
 
@@ -89,7 +91,9 @@ def all_spans() -> Column:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", n_chars: str | None = None, **of_scan) -> DataFrame:
     """``docs`` with each span of its texts, base or added, replaced by ``mark``; doc_id must be unique, other rows and columns stay.
 
-    n_chars: a column that is to hold the length of each changed text.
+    n_chars: a column that is to hold the length of each changed text. The
+    spans are broadcast if there are at most ``MOST_BROADCAST`` of them, so
+    that no text is shuffled; more are joined by a shuffle.
     """
     found = scan(docs, doc_id, text, **of_scan).select(F.col("doc_id").alias("_id"), all_spans().alias("_spans")).where(F.size("_spans") > 0)
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
@@ -98,7 +102,9 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: st
         F.greatest(a["at"], s["end"]).alias("at"),
     )
     done = F.aggregate("_spans", zero, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.lit(2**31 - 1))))
-    joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    found = cut(found)
+    few = (found.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= MOST_BROADCAST
+    joined = docs.join(F.broadcast(found) if few else found, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
     new = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), done))
     changed = {text: F.col("_new"), n_chars: F.length("_new")}
     return new.select(*[F.coalesce(changed[c].cast(docs.schema[c].dataType), F.col(c)).alias(c) if c in changed else F.col(c) for c in docs.columns])

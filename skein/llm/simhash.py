@@ -30,6 +30,8 @@ from .components import connected_components
 BLOCK, FRONTIER = 1 << 15, 1 << 20
 #: Node pairs with so few leaf pairs are compared leaf by leaf; fingerprints of a subtree, on average.
 LEAVES, SUBTREE = 16, 64
+#: Ids that are broadcast at most (32 MB).
+MOST_BROADCAST = 4_000_000
 
 
 def simhash64(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -227,14 +229,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, budget: int = 4, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id, with all its columns.
 
-    Rows without a doc_id stay only if nothing else is in their group, which
-    has no smallest id then; of rows that repeat an id, one stays.
+    Rows without a doc_id stay: nothing tells them apart. Of rows that repeat
+    an id, one stays, if any of them is its group's smallest. The ids that go
+    are broadcast if there are at most ``most_broadcast`` of them (8 bytes
+    each), so that no text is shuffled; more are joined by a shuffle.
     """
-    groups = cut(near_duplicates(docs, doc_id, text, words, budget).select("doc_id", "component_id"))
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"))
-    n, different = kept.agg(F.count("*"), F.count_distinct(F.coalesce(F.col("_kept").cast("string"), F.lit("-")))).first()
-    out = docs.join(kept.distinct(), F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
-    return out if n == different else out.dropDuplicates([doc_id])
+    groups = near_duplicates(docs, doc_id, text, words, budget).where("doc_id is not null")
+    ids = cut(groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")))
+    n_gone, repeats = ids.agg(F.count_if(~F.col("stays")), F.count_if(F.col("n") > 1)).first()
+    gone = ids.where("not stays").select(F.col("doc_id").alias("_gone"))
+    out = docs.join(F.broadcast(gone) if n_gone <= most_broadcast else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    if not repeats:
+        return out
+    return out.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(out.where(F.col(doc_id).isNull()))

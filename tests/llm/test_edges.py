@@ -35,7 +35,11 @@ def test_simhash(odd):
     of_print = {p: want_groups[d] for d, p in prints if d is not None}
     assert got == sorted(((d is None, d or 0, p, of_print.get(p)) for d, p in prints), key=str)
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
-    assert simhash.keep_one(odd.where("doc_id is not null")).count() == len(set(want_groups.values()))
+    want = sorted(set(want_groups.values()))
+    for most in (0, 1000):
+        kept = simhash.keep_one(odd, most_broadcast=most)
+        assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == want
+        assert kept.where("doc_id is null").count() == 1
 
 
 @pytest.mark.parametrize(("seed", "budget"), [(0, 4), (1, 4), (2, 7)])
@@ -193,7 +197,7 @@ def test_token_files(spark, odd):
     assert arrow_tokens.read_tokens(spark, arrow_tokens.write_tokens(odd.limit(0), path("word_bpe_49k.json"))).count() == 0
 
 
-def test_secrets(spark, odd):
+def test_secrets(spark, odd, monkeypatch):
     planted = [
         (20, "token: token: abcdefghijklmnop", "a"),
         (21, 'API_KEY = "abcdefghijkl" Password=secret=abcdefghijkl', "a"),
@@ -215,6 +219,8 @@ def test_secrets(spark, odd):
     assert owned[24] == ["Zx9Qw8Er7Ty6Ui5Op4As3Df"] and owned[25] == owned[26] == []
     assert secret_scan.scan(odd.limit(0)).count() == 0
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(extra).collect()}
+    monkeypatch.setattr(secret_scan, "MOST_BROADCAST", 0)
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(extra).collect()} == clean
     assert clean[24] == "live key [SECRET] end" and clean[25] == body[25] and "abcdefghijkl" not in clean[21]
 
 
