@@ -9,7 +9,7 @@ from ..runtime import cut
 from ..settings import DEFAULTS
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = DEFAULTS.alpha, tolerance: float = DEFAULTS.tolerance, most: int = DEFAULTS.most_iterations, fixed: int | None = None, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = DEFAULTS.alpha, tolerance: float = DEFAULTS.tolerance, most: int = DEFAULTS.most_iterations, fixed: int | None = None, every: int = 1) -> DataFrame:
     """``node, score`` over ``src, dst, weight``.
 
     Teleport and dangling mass go to the nodes of ``seeds`` (column ``node``)

@@ -27,7 +27,7 @@ def emergent(tokens: DataFrame, n_docs: int, df_low: int = 10, df_high: float =
     df = doc_frequency(tokens).where((F.col("df") >= df_low) & (F.col("df") <= df_high * n_docs))
     kept = tokens.join(df.select("term"), "term", "left_semi")
     pairs = cooccurrence(kept, 1, item="term")
-    degree = pairs.select(F.col("a").alias("term")).unionByName(pairs.select(F.col("b").alias("term"))).groupBy("term").agg(F.count("*").alias("degree"))
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("term")).groupBy("term").agg(F.count("*").alias("degree"))
     best = df.join(degree, "term", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).orderBy(F.desc("degree"), F.desc("df"), "term").limit(top)
     a, b = best.select(F.col("term").alias("a")), best.select(F.col("term").alias("b"))
     edges = pairs.where(F.col("w") >= least).join(F.broadcast(a), "a", "left_semi").join(F.broadcast(b), "b", "left_semi")
