@@ -58,13 +58,18 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     owner or repository counts as one of its own. Repeated rows and null ids
     stay. An empty table gives no rows. Other columns are ignored.
     """
+    return _scanned(docs, F.col(doc_id), text, owner, repository, most_owners).withColumnRenamed("key", "doc_id")
+
+
+def _scanned(docs: DataFrame, key: Column, text: str, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), most_owners: int = MOST_OWNERS) -> DataFrame:
+    """``key, base, owned``: :func:`scan`, with the rows told by any column."""
     t = F.col("text")
     repo = F.concat_ws("\0", *[F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in repository])
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("\1")).alias("owner"), repo.alias("repo"))
+    rows = docs.select(key.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(owner).cast("string"), F.lit("\1")).alias("owner"), repo.alias("repo"))
     quick = {"assign": r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{12}", "access": "AKIA[A-Z0-9]{14}", "hex": "[0-9a-f]{16}"}
     found = F.concat(*[_spans(t, k, p, g, n, quick[kind]) for k, (kind, p, g, n) in enumerate(KINDS)])
     other = F.filter(_spans(t, len(KINDS), CANDIDATE, 0, 20, CANDIDATE), lambda s: _mixed(F.substring(t, s["start"] + 1, s["end"] - s["start"])))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repo", F.sort_array(found).alias("base"), other.alias("other"))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "key", "owner", "repo", F.sort_array(found).alias("base"), other.alias("other"))
     # what a base span has already needs no second one
     rows = cut(rows.withColumn("other", F.filter("other", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))))
     one = rows.where(F.size("other") > 0).select("row", "owner", "repo", F.explode("other").alias("c"))
@@ -74,7 +79,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     live = one.withColumn("hash", F.col("c.hash")).join(owners.where(F.col("n_owners") <= most_owners), "hash")
     added = live.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c.start", "c.kind", "c.end", "c.hash", "n_owners", "n_repos"))).alias("owned"))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,hash:bigint,n_owners:bigint,n_repos:bigint>>)")
-    return rows.join(added, "row", "left").select("doc_id", "base", F.coalesce("owned", none).alias("owned"))
+    return rows.join(added, "row", "left").select("key", "base", F.coalesce("owned", none).alias("owned"))
 
 
 def _mixed(token: Column) -> Column:
@@ -89,13 +94,17 @@ def all_spans() -> Column:
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", n_chars: str | None = None, **of_scan) -> DataFrame:
-    """``docs`` with each span of its texts, base or added, replaced by ``mark``; doc_id must be unique, other rows and columns stay.
+    """``docs`` with each span of its texts, base or added, replaced by ``mark``; other rows and columns stay.
 
-    n_chars: a column that is to hold the length of each changed text. The
+    n_chars: a column that is to hold the length of each changed text. A row
+    finds its spans by its text's digest, since equal texts have equal spans
+    (what is owned is told by value, over the whole corpus): repeated and null
+    ids each keep their own, and no row is returned twice. The
     spans are broadcast if there are at most ``MOST_BROADCAST`` of them, so
     that no text is shuffled; more are joined by a shuffle.
     """
-    found = scan(docs, doc_id, text, **of_scan).select(F.col("doc_id").alias("_id"), all_spans().alias("_spans")).where(F.size("_spans") > 0)
+    digest = F.sha2(F.col(text), 256)
+    found = _scanned(docs, digest, text, **of_scan).select(F.col("key").alias("_digest"), all_spans().alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_digest"])
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     step = lambda a, s: F.struct(
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
@@ -104,7 +113,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: st
     done = F.aggregate("_spans", zero, step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.lit(2**31 - 1))))
     found = cut(found)
     few = (found.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= MOST_BROADCAST
-    joined = docs.join(F.broadcast(found) if few else found, F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(F.broadcast(found) if few else found, digest == F.col("_digest"), "left")
     new = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), done))
     changed = {text: F.col("_new"), n_chars: F.length("_new")}
     return new.select(*[F.coalesce(changed[c].cast(docs.schema[c].dataType), F.col(c)).alias(c) if c in changed else F.col(c) for c in docs.columns])

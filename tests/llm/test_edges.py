@@ -267,6 +267,17 @@ def test_warc_is_deterministic(spark, sf):
     assert seen[0] == seen[1]
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_redact_null_and_repeated_ids(spark, monkeypatch, most):
+    """Rows whose ids don't tell them apart keep their own spans, and stay as many as they are."""
+    monkeypatch.setattr(secret_scan, "MOST_BROADCAST", most)
+    texts = [(None, "password=abcdefghijklmn end"), (None, "a longer start, then token: zyxwvutsrqponm"), (None, "no secret in this one, though it is long"), (7, "x secret=aaaabbbbccccdddd"), (7, "key 0123456789abcdef0123 y"), (7, None), (8, "x secret=aaaabbbbccccdddd")]
+    docs = spark.createDataFrame([(d, t, "en", "s1") for d, t in texts], "doc_id long, text string, lang string, source string")
+    got = [(r["doc_id"], r["text"]) for r in secret_scan.redact(docs).collect()]
+    want = [(None, "[SECRET] end"), (None, "a longer start, then [SECRET]"), texts[2], (7, "x [SECRET]"), (7, "key [SECRET] y"), (7, None), (8, "x [SECRET]")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_packing(odd):
     from public_tokenizers import PATTERN, path
 
