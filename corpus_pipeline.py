@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import packing, quality, secret_scan, simhash
+from skein.llm import packing, quality, secret_scan, shingle_dedup
 from skein.llm.common import new_folder
 
 
@@ -20,11 +20,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near-duplicates the document with the smallest doc_id.
 
-    Shingles of five words; 7 of 64 bits, since texts whose shingles are alike
-    to 0.8 differ in 5 to 10 bits while unrelated ones differ in 7 or fewer
-    with a chance of 4 in 10**11.
+    Near-duplicates are texts whose sets of five-word shingles have a Jaccard
+    likeness of 0.8 or more.
     """
-    return simhash.keep_one(docs, words=5, budget=7)
+    return shingle_dedup.keep_one(docs, words=5, threshold=0.8)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,148 @@
+"""Near-duplicate documents by the Jaccard likeness of their word shingles: candidates by MinHash bands, confirmed exactly.
+
+A document is the set of its shingles' hashes; equal sets are one class. Two
+classes are candidates if all minima of one band agree. ``BANDS`` bands of
+``ROWS`` minima miss a pair of likeness s with a chance of
+``(1 - s**ROWS) ** BANDS``: 5 in 10**7 at 0.8, less above. Every candidate pair
+whose classes aren't linked yet is then decided by the whole sets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_map, cut
+from .components import connected_components
+from .simhash import MOST_BROADCAST, keep_smallest
+
+#: Bands and the minima of each.
+BANDS, ROWS = 48, 6
+#: Members of a bucket of which all pairs are compared at once; of larger ones, pairs with a growing number of pivots.
+SMALL = 16
+#: Shingles whose minima are taken at once.
+BLOCK = 1 << 12
+
+
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The different XXH64 values of the runs of ``words`` words, sorted. Fewer words: one shingle of all; none, or null: empty."""
+    from xxhash import xxh64_intdigest as xxh
+
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(found)
+    if len(found) <= words:
+        return np.array([xxh(joined, seed)], np.uint64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(sizes + 1) - 1
+    return np.unique(np.fromiter((xxh(joined[a:b], seed) for a, b in zip((ends - sizes)[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, len(found) - words + 1))
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    from hashlib import blake2b
+
+    return blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, digest, bands``: of each row its set's digest and a hash of each band's minima; an empty set has no bands."""
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
+    a |= np.uint64(1)
+    mix = rng.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+
+    def bands(h: np.ndarray) -> np.ndarray:
+        if not len(h):
+            return np.empty(0, np.int64)
+        least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+        for i in range(0, len(h), BLOCK):
+            x = h[i : i + BLOCK]
+            # high bits of a product depend on all bits of a factor: mixed once more before the minimum
+            y = (x ^ (x >> np.uint64(29))) * a[:, None] + b[:, None]
+            least = np.minimum(least, (y ^ (y >> np.uint64(32))).min(axis=1))
+        least = (least ^ (least >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        key = ((least ^ (least >> np.uint64(29))).reshape(BANDS, ROWS) * mix).sum(axis=1, dtype=np.uint64)
+        return ((key ^ (key >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sets = [shingle_set(t.as_py(), words) for t in x.column("text")]
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([_digest(h) for h in sets], pa.binary()), pa.array([bands(h) for h in sets], pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+
+    return arrow_map(docs, run, "doc_id long, digest binary, bands array<long>")
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """``c, set``: the shingles of each row, rows of one id and set once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sets = [shingle_set(t.as_py(), words) for t in x.column("text")]
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([_digest(h) for h in sets], pa.binary()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["c", "digest", "set"])
+
+    return arrow_map(docs, run, "c long, digest binary, set array<long>").dropDuplicates(["c", "digest"]).drop("digest")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float, most_broadcast: int) -> DataFrame:
+    """The pairs ``u, v`` whose whole sets reach the threshold."""
+    ids = cut(pairs.select(F.col("u").alias("_c")).unionByName(pairs.select(F.col("v").alias("_c"))).distinct())
+    some = docs.join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, F.col("doc_id") == F.col("_c"), "left_semi")
+    sets = cut(_sets(some, words))
+    both = pairs.join(sets.select(F.col("c").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("c").alias("v"), F.col("set").alias("sv")), "v")
+    shared = F.size(F.array_intersect("su", "sv"))
+    got = both.select("u", "v", shared.alias("n"), (F.size("su") + F.size("sv")).alias("all"))
+    return cut(got.where(F.col("n") >= F.lit(threshold) * (F.col("all") - F.col("n")) - 1e-9).select("u", "v").distinct())
+
+
+def alike_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """``doc_id, component_id`` of every row with an id: the smallest doc_id reachable over pairs whose Jaccard likeness is at least ``threshold``.
+
+    Equal sets are alike, empty ones too. A bucket's pairs of classes that are
+    in one group already aren't compared: large buckets meet one pivot first,
+    then two, four and so on, until all members are in one group or every pair
+    was compared. So a group of near copies costs no more rows than members.
+    """
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    signed = cut(signatures(docs, words))
+    classes = signed.groupBy("digest").agg(F.min("doc_id").alias("c"), F.first("bands").alias("bands"))
+    buckets = classes.select("c", F.explode("bands").alias("h")).groupBy("h").agg(F.sort_array(F.collect_set("c")).alias("m")).where(F.size("m") > 1)
+    buckets = cut(buckets.select("m").distinct().withColumn("b", F.monotonically_increasing_id()))
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    every = F.flatten(F.transform("m", lambda u, i: F.transform(F.filter("m", lambda v: v > u), lambda v: pair(u, v))))
+    star = F.transform(F.filter("m", lambda v: v > F.get("m", F.lit(0))), lambda v: pair(F.get("m", F.lit(0)), v))
+    pairs = cut(buckets.select(F.explode(F.when(F.size("m") <= SMALL, every).otherwise(star)).alias("p")).select("p.*").distinct())
+    links, first = _confirmed(pairs, docs, words, threshold, most_broadcast), 1
+    groups = cut(connected_components(links))
+    large = buckets.where(F.size("m") > SMALL)
+    while True:
+        # a class learns its group once, not once for each of its buckets
+        held = cut(large.where(F.size("m") > first + 1).select("b", F.explode("m").alias("node")).groupBy("node").agg(F.collect_list("b").alias("bs")))
+        rows = held.join(groups, "node", "left").select(F.explode("bs").alias("b"), F.struct(F.col("node").alias("c"), F.coalesce("component", "node").alias("g")).alias("x"))
+        open_ = cut(rows.groupBy("b").agg(F.sort_array(F.collect_list("x")).alias("x")).where(F.size(F.array_distinct(F.col("x.g"))) > 1))
+        if open_.isEmpty():
+            break
+        pivots = F.slice("x", first + 1, first)
+        more = F.flatten(F.transform(pivots, lambda p: F.transform(F.filter("x", lambda y: (y["c"] > p["c"]) & (y["g"] != p["g"])), lambda y: pair(p["c"], y["c"]))))
+        pairs = cut(open_.select(F.explode(more).alias("p")).select("p.*").distinct())
+        found = _confirmed(pairs, docs, words, threshold, most_broadcast)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            groups = cut(connected_components(links))
+        large, first = open_.select("b", F.col("x.c").alias("m")), 2 * first
+    of_class = signed.groupBy("digest").agg(F.min("doc_id").alias("c")).join(groups, F.col("c") == F.col("node"), "left").select("digest", F.coalesce("component", "c").alias("component_id"))
+    return signed.select("doc_id", "digest").join(of_class, "digest").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """Of each of :func:`alike_groups` the row with the smallest doc_id, with all its columns; rows without one stay.
+
+    Of rows that repeat an id, one stays, if any of them is its group's
+    smallest. No text is shuffled while the ids in question are few enough to
+    be broadcast (``most_broadcast``, 8 bytes each).
+    """
+    return keep_smallest(docs, alike_groups(docs, doc_id, text, words, threshold, most_broadcast), doc_id, most_broadcast)

@@ -237,7 +237,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     are broadcast if there are at most ``most_broadcast`` of them (8 bytes
     each), so that no text is shuffled; more are joined by a shuffle.
     """
-    groups = near_duplicates(docs, doc_id, text, words, budget).where("doc_id is not null")
+    return keep_smallest(docs, near_duplicates(docs, doc_id, text, words, budget).where("doc_id is not null"), doc_id, most_broadcast)
+
+
+def keep_smallest(docs: DataFrame, groups: DataFrame, doc_id: str, most_broadcast: int) -> DataFrame:
+    """The rows of ``docs`` whose id is its group's smallest, by ``doc_id, component_id``, and those without an id."""
     ids = cut(groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")))
     n_gone, repeats = ids.agg(F.count_if(~F.col("stays")), F.count_if(F.col("n") > 1)).first()
     gone = ids.where("not stays").select(F.col("doc_id").alias("_gone"))
