@@ -4,8 +4,9 @@ Every text is encoded once and written, packed, to the shared folder. Pieces of
 a full window go out as they are; what is left of each document is packed with
 its like: documents are dealt into shards by a min-hash of their terms, so that
 related ones meet, and each shard builds an inverted index with document
-frequencies counted over the whole corpus. The next unused document is the
-seed; the index returns its unused neighbours by BM25 score, which fill the
+frequencies and the mean length counted over what is packed so, corpus-wide. The
+next unused document is the seed; the index scores all unused documents by BM25
+with every term of the seed, and its neighbours, best first, fill the
 window greedily. The one that doesn't fit is cut, and its rest stays unused.
 """
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import arrow_map, new_folder, parts_for
 from .words import byte_level_ids
 
-#: Window in tokens; BM25's constants; the rarest terms of a seed that ask the index.
-WINDOW, K1, B, TERMS = 2048, 1.2, 0.75, 16
+#: Window in tokens; BM25's constants.
+WINDOW, K1, B = 2048, 1.2, 0.75
+#: Terms in more than one of so many documents have their scores as a row of all documents; neighbours sorted first.
+DENSE, HEAD = 8, 256
 #: Tokens that one shard holds at most (its index is kept in memory), texts encoded at once.
 SHARD, TEXTS = 3_000_000, 500
 
@@ -51,15 +54,17 @@ def tokenize(docs: DataFrame, ranks: str, pattern: str, end_id: int, doc_id: str
     return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, _TOKENS)
 
 
-def document_frequencies(tokens: DataFrame, dtype: str = "<u2") -> tuple[np.ndarray, int]:
-    """How many documents have each term, and how many documents there are: numbers bounded by the vocabulary."""
+def document_frequencies(tokens: DataFrame, dtype: str = "<u2", window: int = WINDOW) -> tuple[np.ndarray, int]:
+    """How many documents' rests beyond full windows have each term, and how many rests there are: numbers bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << 16, np.int64), 0
         for x in batches:
-            n += len(x)
             for b in x.column("ids"):
-                df[np.unique(np.frombuffer(b.as_buffer(), dtype))] += 1
+                ids = np.frombuffer(b.as_buffer(), dtype)
+                rest = ids[len(ids) // window * window :]
+                n += len(rest) > 0
+                df[np.unique(rest)] += 1
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, df[some]])], ["term", "n"])
 
@@ -72,7 +77,7 @@ def document_frequencies(tokens: DataFrame, dtype: str = "<u2") -> tuple[np.ndar
 
 
 class _Index:
-    """BM25 over the documents of one shard. Scores of a term are laid out by term, so a query adds a few slices up."""
+    """BM25 over the documents of one shard. Scores of a term are laid out by term, so a query adds slices up."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -82,22 +87,35 @@ class _Index:
         self.at = np.searchsorted(term, np.arange((1 << 16) + 1))
         norm = K1 * (1 - B + B * sizes / mean)
         self.score = (idf[term] * count * (K1 + 1) / (count + norm[self.doc])).astype(np.float32)
-        self.idf, self.ids, self.n = idf, ids, len(ids)
+        self.ids, self.n = ids, len(ids)
         self.local = np.diff(self.at)
-
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share any of the seed's rarest terms, best first (ties: shard order)."""
+        often = np.flatnonzero(self.local * DENSE > self.n)
+        self.row = np.full(1 << 16, -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n), np.float32)
+        for k, t in enumerate(often.tolist()):
+            self.dense[k, self.doc[self.at[t] : self.at[t + 1]]] = self.score[self.at[t] : self.at[t + 1]]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The BM25 score of every document for all different terms of the seed."""
         terms = np.unique(self.ids[seed])
+        rows = self.row[terms]
+        total = self.dense[rows[rows >= 0]].sum(axis=0).astype(np.float64)
+        terms = terms[rows < 0]
         terms = terms[self.local[terms] > 1]
-        if len(terms) > TERMS:
-            terms = terms[np.argsort(-self.idf[terms], kind="stable")[:TERMS]]
-        if not len(terms):
-            return np.empty(0, np.int64)
-        spans = [slice(self.at[t], self.at[t + 1]) for t in terms.tolist()]
-        docs, scores = np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.score[s] for s in spans])
-        total = np.bincount(docs, scores, self.n)
+        if len(terms):
+            spans = [slice(self.at[t], self.at[t + 1]) for t in terms.tolist()]
+            total += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.score[s] for s in spans]), self.n)
+        return total
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents that share any term with the seed, best first (ties: shard order); the tail is sorted when it is asked for."""
+        total = self.scores(seed)
         found = np.flatnonzero((total > 0) & unused)
-        return found[np.argsort(-total[found], kind="stable")]
+        t = total[found]
+        head = np.ones(len(t), bool) if len(t) <= HEAD else t >= np.partition(t, len(t) - HEAD)[len(t) - HEAD]
+        for some in (head, ~head):
+            yield from found[some][np.argsort(-t[some], kind="stable")].tolist()
 
 
 def _pack(ids: list[np.ndarray], rest: np.ndarray, index: _Index, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -111,7 +129,7 @@ def _pack(ids: list[np.ndarray], rest: np.ndarray, index: _Index, window: int) -
         if at == n:
             return
         room, out = window, []
-        seed, queue, k = at, None, 0
+        seed, queue = at, None
         now = seed
         while True:
             take = min(room, int(left[now]))
@@ -122,9 +140,9 @@ def _pack(ids: list[np.ndarray], rest: np.ndarray, index: _Index, window: int) -
             if not room:
                 break
             if queue is None:
-                queue = index.neighbours(seed, unused).tolist()
-            if k < len(queue):
-                now, k = queue[k], k + 1
+                queue = index.neighbours(seed, unused)
+            if (following := next(queue, None)) is not None:
+                now = following
                 continue
             # the seed has no more neighbours: the next unused document goes on
             while at < n and not unused[at]:
@@ -132,7 +150,7 @@ def _pack(ids: list[np.ndarray], rest: np.ndarray, index: _Index, window: int) -
             if at == n:
                 break
             seed = now = at
-            queue, k = None, 0
+            queue = None
         yield out
 
 
@@ -149,8 +167,9 @@ def pack(docs: DataFrame, ranks: str, pattern: str, end_id: int, doc_id: str = "
     folder = new_folder(spark, "pack")
     tokenize(docs, ranks, pattern, end_id, doc_id, text).write.option("compression", "zstd").parquet(folder)
     tokens = spark.read.schema(_TOKENS).parquet(folder)
-    df, n = document_frequencies(tokens)
-    mean = tokens.agg(F.avg("n")).first()[0] or 1.0
+    df, n = document_frequencies(tokens, window=window)
+    rest_of = F.col("n") % window
+    mean = tokens.agg(F.avg(F.when(rest_of > 0, rest_of))).first()[0] or 1.0
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -278,6 +278,32 @@ def test_redact_null_and_repeated_ids(spark, monkeypatch, most):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_packing_scores_every_term():
+    """The index ranks as BM25 over all terms of the seed, written out; a seed has more terms than any cut takes."""
+    rng = np.random.default_rng(5)
+    ids = [np.minimum(rng.zipf(1.3, rng.integers(1, 400)), 5000).astype(np.uint16) for _ in range(600)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=1 << 16)
+    idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    mean = np.mean([len(x) for x in ids])
+    index = packing._Index(ids, idf, mean)
+    unused = np.ones(len(ids), bool)
+    counts = [np.bincount(x, minlength=5001) for x in ids]
+    for seed in (0, 17, 599):
+        unused[seed] = False
+        terms = np.unique(ids[seed])
+        want = np.array([sum(idf[t] * c[t] * (packing.K1 + 1) / (c[t] + packing.K1 * (1 - packing.B + packing.B * len(x) / mean)) for t in terms if c[t]) for x, c in zip(ids, counts, strict=True)])
+        order = list(index.neighbours(seed, unused))
+        assert set(order) == {d for d in range(len(ids)) if unused[d] and want[d] > 0}
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(order, order[1:], strict=False))
+
+
+def test_packing_counts_what_is_indexed(spark):
+    rows = [(1, np.r_[np.full(4, 7), [9, 9]]), (2, np.full(4, 7)), (3, np.array([7]))]
+    tokens = spark.createDataFrame([(d, bytearray(x.astype("<u2").tobytes())) for d, x in rows], "doc_id long, ids binary")
+    df, n = packing.document_frequencies(tokens, window=4)
+    assert (n, df[7], df[9]) == (2, 1, 1)
+
+
 def test_packing(odd):
     from public_tokenizers import PATTERN, path
 
