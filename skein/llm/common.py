@@ -32,6 +32,14 @@ def parts_for(df: DataFrame, mb: int = 32, most: int = 20_000) -> int:
     return max(1, min(most, max(least, input_bytes(df) // (mb << 20))))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def const_array(values: Sequence, kind: str) -> Column:
     """An array of constants that the optimizer folds to one literal (and not to an expression for each element)."""
     if not len(values):

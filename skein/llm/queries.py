@@ -81,36 +81,49 @@ def op5_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and spans of every document's secrets."""
+    """Counts and spans of every document's secrets; a live value's span is told again as ``live``, a copied one's isn't."""
     got = secret_scan.scan(_table(spark, sf_dir, "documents"))
     kinds = [k for k, *_ in secret_scan.KINDS]
-    names = F.array(*[F.lit(k) for k in (*kinds, "owned")])
-    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    names, live = F.array(*[F.lit(k) for k in kinds]), len(kinds)
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.coalesce(F.get(names, s["kind"]), F.lit("live")), s["start"], s["end"])), ",")
+    cut_to = lambda s, kind: F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end"))
+    base = F.filter("spans", lambda s: s["kind"] < live)
+    added = F.transform(F.filter("spans", lambda s: s["live"]), lambda s: cut_to(s, F.lit(live)))
+    both = F.sort_array(F.concat(F.transform(base, lambda s: cut_to(s, s["kind"])), added))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(kinds)]
-    return got.select("doc_id", *counts, F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(secret_scan.all_spans()).alias("spans"))
+    n = lambda holds: F.size(F.filter("spans", holds)).cast("long")
+    counts += [n(lambda s: s["live"]).alias("n_live"), n(lambda s: ~s["live"]).alias("n_copied")]
+    owners = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["n_owners"], s["n_repos"])), ",")
+    return got.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(both).alias("spans"), owners.alias("ownership"))
 
 
 def _op6_part(k: int, pattern: str, group: int, least: int) -> str:
-    """Matches of one pattern with their positions: pieces and matches alternate."""
-    return f"""SELECT r, doc_id, source, {k} AS k, coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS a, w[i] AS w
-FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT r, doc_id, source, regexp_extract_all(t, '{pattern}') AS w, regexp_extract_all(t, '{pattern}', {group}) AS p, regexp_split_to_array(t, '{pattern}') AS s FROM d)) WHERE length(p[i]) >= {least}"""
+    """Matches of one pattern (w), the value (v) and their positions: pieces and matches alternate."""
+    return f"""SELECT r, doc_id, owner, repo, {k} AS k, CAST(coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a, w[i] AS w, p[i] AS v
+FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT r, doc_id, owner, repo, regexp_extract_all(t, '{pattern}') AS w, regexp_extract_all(t, '{pattern}', {group}) AS p, regexp_split_to_array(t, '{pattern}') AS s FROM d)) WHERE length(p[i]) >= {least}"""
 
 
 #: The patterns for DuckDB: letters in either case written out, since its (?i) folds more than ASCII.
 _ANY_CASE = lambda words: "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words)
 _ASSIGN = "(" + _ANY_CASE(("password", "passwd", "secret", "token", "api_?key")) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 OP6_SQL = f"""
-WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, chr(1)) AS owner, coalesce(source, chr(1)) || '/' || coalesce(lang, chr(1)) AS repo FROM documents),
 base AS MATERIALIZED ({_op6_part(0, _ASSIGN, 2, 12)} UNION ALL {_op6_part(1, "AKIA[A-Z0-9]+", 0, 18)} UNION ALL {_op6_part(2, "[0-9a-f]+", 0, 16)}),
-cand AS MATERIALIZED (SELECT * FROM ({_op6_part(3, "[A-Za-z0-9+/_=-]{20,}", 0, 20)}) c
+mixed AS (SELECT * FROM ({_op6_part(3, "[A-Za-z0-9+/_=-]{20,}", 0, 20)}) c
   WHERE regexp_matches(w, '[0-9].*[0-9]') AND regexp_matches(w, '[A-Za-z]') AND len(list_distinct(string_split(w, ''))) >= 8
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.a < c.a + length(c.w) AND c.a < b.a + length(b.w))),
-held AS (SELECT w FROM cand GROUP BY w HAVING count(DISTINCT source) <= 1),
-told AS (SELECT r, k, a, ['assign', 'access', 'hex', 'owned'][k + 1] || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(w) AS BIGINT) AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM cand WHERE w IN (SELECT w FROM held)))
-SELECT doc_id, count(k) FILTER (k = 0) AS n_assign, count(k) FILTER (k = 1) AS n_access, count(k) FILTER (k = 2) AS n_hex,
-  sha256(coalesce(string_agg(s, ',' ORDER BY a, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY a, k), '') AS spans
-FROM d LEFT JOIN told USING (r) GROUP BY r, doc_id
+cand AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT * FROM mixed),
+held AS (SELECT v, count(DISTINCT owner) AS n_owners, count(DISTINCT repo) AS n_repos FROM cand GROUP BY v),
+judged AS MATERIALIZED (SELECT cand.*, n_owners, n_repos, n_owners <= 1 AND n_repos <= 3 AS live FROM cand JOIN held USING (v)),
+told AS (SELECT r, k, a, ['assign', 'access', 'hex', 'live'][k + 1] || ':' || a || ':' || (a + length(w)) AS s
+  FROM (SELECT r, k, a, w FROM judged WHERE k < 3 UNION ALL SELECT r, 3, a, w FROM judged WHERE live)),
+spans AS (SELECT r, sha256(coalesce(string_agg(s, ',' ORDER BY a, k) FILTER (k < 3), '')) AS base_sha256, string_agg(s, ',' ORDER BY a, k, s) AS spans FROM told GROUP BY r),
+counts AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied,
+  string_agg(a || ':' || (a + length(w)) || ':' || n_owners || ':' || n_repos, ',' ORDER BY a, k) AS ownership FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(ownership, '') AS ownership
+FROM d LEFT JOIN counts USING (r) LEFT JOIN spans USING (r)
 """
 
 

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut
-from .components import connected_components
+from ..operators.components import connected_components
+from .common import arrow_map, cut, fresh
 
 #: Shingles whose bits are counted at once, and node pairs that one step of the walk expands.
-BLOCK, FRONTIER = 1 << 15, 1 << 20
+BLOCK, FRONTIER = 1 << 15, 1 << 18
 #: Node pairs with so few leaf pairs are compared leaf by leaf; fingerprints of a subtree, on average.
 LEAVES, SUBTREE = 16, 64
 #: Ids that are broadcast at most (32 MB).
@@ -95,10 +95,11 @@ def _arranged(fp, blocks: int, agree: int) -> tuple[list, list[int]]:
     return out, heads
 
 
-def _joined(values: np.ndarray, subtree: np.ndarray, bit: np.ndarray, budget: int) -> np.ndarray:
+def joined(values: np.ndarray, subtree: np.ndarray, bit: np.ndarray, budget: int, more: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """Walk the subtrees' pairs of nodes. values: sorted within each subtree; bit: the subtree's first free bit.
 
-    Returns for each value the index of a value that it is linked with, over
+    more: further bits of each value, and the budget of both together, asked
+    of pairs of leaves. Returns for each value the index of a value that it is linked with, over
     any number of links; itself for the first of a group.
     """
     n = len(values)
@@ -131,7 +132,10 @@ def _joined(values: np.ndarray, subtree: np.ndarray, bit: np.ndarray, budget: in
             at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             wide = np.repeat(bhi[few] - c, times)
             i, j = np.repeat(a, times) + at // wide, np.repeat(c, times) + at % wide
-            near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
+            apart = np.bitwise_count(values[i] ^ values[j])
+            near = (i < j) & (apart <= budget)
+            if more is not None:
+                near &= apart + np.bitwise_count(more[0][i] ^ more[0][j]) <= more[1]
             if near.any():
                 _link(label, i[near], j[near])
                 changes = np.r_[0, np.cumsum(label[1:] != label[:-1])]
@@ -200,7 +204,7 @@ def trie_links(prints: DataFrame, budget: int = 4) -> DataFrame:
         tree = np.cumsum(np.r_[True, (choice[1:] != choice[:-1]) | (root[1:] != root[:-1])][: len(choice)]) - 1
         # the order within a subtree is that of the unsigned bits
         order = np.lexsort((bits, tree))
-        label = _joined(bits[order], tree[order], 63 - heads_of[choice[order]], budget)
+        label = joined(bits[order], tree[order], 63 - heads_of[choice[order]], budget)
         linked = np.flatnonzero(label != np.arange(len(label)))
         doc = doc[order]
         return pa.RecordBatch.from_arrays([pa.array(doc[linked]), pa.array(doc[label[linked]])], ["u", "v"])
@@ -235,17 +239,18 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     Rows without a doc_id stay: nothing tells them apart. Of rows that repeat
     an id, one stays, if any of them is its group's smallest. The ids that go
     are broadcast if there are at most ``most_broadcast`` of them (8 bytes
-    each), so that no text is shuffled; more are joined by a shuffle.
+    each), so that no text is shuffled; more are joined by a shuffle. An empty
+    table gives no rows; columns may have any names.
     """
     return keep_smallest(docs, near_duplicates(docs, doc_id, text, words, budget).where("doc_id is not null"), doc_id, most_broadcast)
 
 
 def keep_smallest(docs: DataFrame, groups: DataFrame, doc_id: str, most_broadcast: int) -> DataFrame:
     """The rows of ``docs`` whose id is its group's smallest, by ``doc_id, component_id``, and those without an id."""
-    ids = cut(groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")))
+    ids, name = cut(groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))), fresh(docs, "gone")
     n_gone, repeats = ids.agg(F.count_if(~F.col("stays")), F.count_if(F.col("n") > 1)).first()
-    gone = ids.where("not stays").select(F.col("doc_id").alias("_gone"))
-    out = docs.join(F.broadcast(gone) if n_gone <= most_broadcast else gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    gone = ids.where("not stays").select(F.col("doc_id").alias(name))
+    out = docs.join(F.broadcast(gone) if n_gone <= most_broadcast else gone, F.col(doc_id) == F.col(name), "left_anti")
     if not repeats:
         return out
     return out.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(out.where(F.col(doc_id).isNull()))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import arrow_tokens, chat, components, fingerprints, packing, quality, secret_scan, sentencepiece_bpe, simhash, url_filter, warc
+from skein.llm import arrow_tokens, chat, fingerprints, packing, quality, secret_scan, sentencepiece_bpe, simhash, url_filter, warc
+from skein.operators.components import connected_components
 from tests.llm import brute
 
 LONG = " ".join(f"w{i % 977}x" for i in range(60_000))
@@ -57,7 +58,7 @@ def test_trie_against_all_pairs(spark, monkeypatch, seed, budget):
     monkeypatch.setattr(simhash, "SUBTREE", seed)  # more blocks agree
     prints = dict(enumerate(sorted(values)))
     df = spark.createDataFrame([(d, v - 2**64 if v >= 2**63 else v) for d, v in prints.items()], "doc_id long, fp long")
-    got = {r["node"]: r["component"] for r in components.connected_components(simhash.trie_links(df, budget)).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(simhash.trie_links(df, budget)).collect()}
     want = brute.groups(prints, budget)
     assert {d: got.get(d, d) for d in prints} == want
 
@@ -69,16 +70,16 @@ def test_trie_walk_of_a_dense_group():
     for _ in range(3):
         v ^= np.uint64(1) << rng.integers(0, 44, 4000).astype(np.uint64)
     v = np.unique(v)
-    label = simhash._joined(v, np.zeros(len(v), int), np.full(len(v), 63), 4)
+    label = simhash.joined(v, np.zeros(len(v), int), np.full(len(v), 63), 4)
     want = brute.groups({i: int(x) for i, x in enumerate(v)})
     assert label.tolist() == [want[i] for i in range(len(v))]
 
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (100, 101), (5, 5), (None, 3)]
-    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
-    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def test_quality(spark, odd):
@@ -197,7 +198,7 @@ def test_token_files(spark, odd):
     assert arrow_tokens.read_tokens(spark, arrow_tokens.write_tokens(odd.limit(0), path("word_bpe_49k.json"))).count() == 0
 
 
-def test_secrets(spark, odd, monkeypatch):
+def test_secrets(spark, odd):
     planted = [
         (20, "token: token: abcdefghijklmnop", "a"),
         (21, 'API_KEY = "abcdefghijkl" Password=secret=abcdefghijkl', "a"),
@@ -206,22 +207,26 @@ def test_secrets(spark, odd, monkeypatch):
         (24, "live key Zx9Qw8Er7Ty6Ui5Op4As3Df end", "a"),
         (25, "copied Cp1Yx2Wv3Ut4Sr5Qp6On7Ml end", "a"),
         (26, "copied Cp1Yx2Wv3Ut4Sr5Qp6On7Ml end", "b"),
+        (27, "the manual says password=copiedexample1 as an example", "a"),
+        (28, "the manual says password=copiedexample1 as an example", "c"),
     ]
     extra = spark.createDataFrame([(d, t, "en", s) for d, t, s in planted], "doc_id long, text string, lang string, source string")
     docs = odd.select("doc_id", "text", "lang", "source").unionByName(extra)
     rows = secret_scan.scan(docs).collect()
     assert len(rows) == docs.count()
     body = dict(texts(docs))
+    value = lambda d, s: body[d][s["start"] : s["end"]]
     for r in rows:
         if r["doc_id"] != 4:
-            assert [(s["start"], s["kind"], s["end"]) for s in r["base"]] == [(a, k, b) for a, k, _, b in brute.base_spans(body[r["doc_id"]])], r
-    owned = {r["doc_id"]: [body[r["doc_id"]][s["start"] : s["end"]] for s in r["owned"]] for r in rows}
-    assert owned[24] == ["Zx9Qw8Er7Ty6Ui5Op4As3Df"] and owned[25] == owned[26] == []
-    assert secret_scan.scan(odd.limit(0)).count() == 0
+            base = [(s["start"], s["kind"], s["end"]) for s in r["spans"] if s["kind"] < 3]
+            assert base == [(a, k, b) for a, k, _, b in brute.base_spans(body[r["doc_id"]])], r
+    live = {r["doc_id"]: [value(r["doc_id"], s) for s in r["spans"] if s["live"]] for r in rows}
+    assert live[24] == ["Zx9Qw8Er7Ty6Ui5Op4As3Df"] and live[25] == live[26] == []
+    assert live[27] == [] and len(live[23]) == 2
+    assert secret_scan.scan(odd.limit(0)).count() == 0 and secret_scan.redact(extra.limit(0)).count() == 0
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(extra).collect()}
-    monkeypatch.setattr(secret_scan, "MOST_BROADCAST", 0)
-    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(extra).collect()} == clean
     assert clean[24] == "live key [SECRET] end" and clean[25] == body[25] and "abcdefghijkl" not in clean[21]
+    assert clean[27] == "the manual says [EXAMPLE] as an example"
 
 
 def test_fingerprints(spark, odd):
@@ -267,15 +272,28 @@ def test_warc_is_deterministic(spark, sf):
     assert seen[0] == seen[1]
 
 
-@pytest.mark.parametrize("most", [0, 1000])
-def test_redact_null_and_repeated_ids(spark, monkeypatch, most):
-    """Rows whose ids don't tell them apart keep their own spans, and stay as many as they are."""
-    monkeypatch.setattr(secret_scan, "MOST_BROADCAST", most)
+def test_redact_null_and_repeated_ids(spark):
+    """Rows whose ids don't tell them apart keep their own spans, and stay as many as they are; columns have any names."""
     texts = [(None, "password=abcdefghijklmn end"), (None, "a longer start, then token: zyxwvutsrqponm"), (None, "no secret in this one, though it is long"), (7, "x secret=aaaabbbbccccdddd"), (7, "key 0123456789abcdef0123 y"), (7, None), (8, "x secret=aaaabbbbccccdddd")]
-    docs = spark.createDataFrame([(d, t, "en", "s1") for d, t in texts], "doc_id long, text string, lang string, source string")
-    got = [(r["doc_id"], r["text"]) for r in secret_scan.redact(docs).collect()]
+    names = ["rid", "row", "_row", "found", "owner", "repo", "spans", "new", "gone", "_gone", "c", "component_id", "n_chars"]
+    docs = spark.createDataFrame([(d, t, "en", "s1") for d, t in texts], "doc_id long, text string, lang string, source string").select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = secret_scan.redact(docs, n_chars="n_chars")
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
     want = [(None, "[SECRET] end"), (None, "a longer start, then [SECRET]"), texts[2], (7, "x [SECRET]"), (7, "key [SECRET] y"), (7, None), (8, "x [SECRET]")]
     assert sorted(map(str, got)) == sorted(map(str, want))
+    assert all(r["n_chars"] == len(r["text"]) and r["_row"] == 2 for r in out.collect() if "[SECRET]" in (r["text"] or ""))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 3
+
+
+def test_live_needs_few_owners_and_few_repositories(spark):
+    key = "Zx9Qw8Er7Ty6Ui5Op4As3Df"
+    docs = spark.createDataFrame([(i, f"k {key}{o} end", o, f"l{i}") for i, o in enumerate("aaaabbbc")], "doc_id long, text string, source string, lang string")
+    one = lambda **k: {r["doc_id"]: [(s["n_owners"], s["n_repos"], s["live"]) for s in r["spans"]] for r in secret_scan.scan(docs, **k).collect()}
+    got = one(most_repos=3)
+    assert got[0] == [(1, 4, False)] and got[4] == [(1, 3, True)] and got[7] == [(1, 1, True)]
+    assert one(repository=("source",))[0] == [(1, 1, True)]
 
 
 def test_packing_scores_every_term():
