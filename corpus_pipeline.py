@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import packing, quality, secret_scan, shingle_dedup
+from skein.llm import packing, quality, secret_scan, simhash_groups
 from skein.llm.common import new_folder
 
 
@@ -21,9 +21,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near-duplicates the document with the smallest doc_id.
 
     Near-duplicates are texts whose sets of five-word shingles have a Jaccard
-    likeness of 0.8 or more.
+    likeness of 0.8 or more: SimHash tries find them, the sets confirm them.
     """
-    return shingle_dedup.keep_one(docs, words=5, threshold=0.8)
+    return simhash_groups.keep_one(docs, words=5, threshold=0.8)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
