@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE_RE, const_array
+from .common import WHITE_RE, const_array, fresh
 
 #: Bins (2**8), bits stored of each, words of a shingle.
 BINS, BITS, WORDS = 256, 8, 5
@@ -39,9 +39,11 @@ def sketch(rows: DataFrame, text: str, out: str, words: int = WORDS) -> DataFram
     """Add ``out``: the packed fingerprint (32 longs) of the column ``text``, null for a text without words.
 
     Words are runs without space and \\x09-\\x0D. Fewer words than a shingle
-    has: one shingle of all. Equal texts have equal fingerprints.
+    has: one shingle of all. Equal texts have equal fingerprints; repeated
+    rows stay, an empty table gives no rows. A column that is named like
+    ``out`` already is replaced; all others stay, whatever their names.
     """
-    a, b, c, d = (f"_{out}_{x}" for x in "abcd")
+    a, b, c, d = (fresh(rows, f"{out}_{x}") for x in "abcd")
     found = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WHITE_RE), lambda w: w != "")
     rows = rows.withColumn(a, F.transform(found, lambda w: F.xxhash64(w)))
     wide = F.transform(F.sequence(F.lit(0), F.size(a) - words), lambda i: F.xxhash64(*[F.get(F.col(a), i + k) for k in range(words)]))

@@ -33,32 +33,41 @@ _TOKENS = "doc_id long, n long, route long, ids binary"
 _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def tokenize(docs: DataFrame, ranks: str, pattern: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n, route, ids``: packed ids with ``end_id`` appended, and a min-hash of the different terms."""
+def tokenize(docs: DataFrame, ranks: str, pattern: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+    """``doc_id, n, route, ids``: packed ids with ``end_id`` appended, and a min-hash of the different terms; and how many ids there can be.
+
+    Ids take two bytes if all of them fit, else four.
+    """
+    size = max(byte_level_ids(ranks, pattern).size, end_id + 1)
+    kind = dtype_of(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = byte_level_ids(ranks, pattern)
-        end = np.array([end_id], own.dtype).tobytes()
-        mixed = np.random.default_rng(7).permutation(1 << 16).astype(np.int64)
+        end = np.array([end_id], kind).tobytes()
+        mixed = np.random.default_rng(7).permutation(size).astype(np.int64)
         for x in batches:
             for i in range(0, len(x), TEXTS):
                 some = x.slice(i, TEXTS)
-                ids = [b + end for b in own.encode([t or "" for t in some.column("text").to_pylist()])]
-                n = np.array([len(b) // own.dtype.itemsize for b in ids], np.int64)
-                flat = np.frombuffer(b"".join(ids), own.dtype)
+                ids = [np.frombuffer(b, own.dtype).astype(kind, copy=False).tobytes() + end for b in own.encode([t or "" for t in some.column("text").to_pylist()])]
+                n = np.array([len(b) // kind.itemsize for b in ids], np.int64)
+                flat = np.frombuffer(b"".join(ids), kind)
                 at = np.cumsum(n) - n
                 # the least and the next pair of terms by a fixed random order
-                pair = mixed[flat] << 16 | np.r_[mixed[flat[1:]], 0]
+                pair = mixed[flat] * size + np.r_[mixed[flat[1:]], 0]
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(n), pa.array(np.minimum.reduceat(pair, at)), pa.array(ids, pa.binary())], ["doc_id", "n", "route", "ids"])
 
-    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, _TOKENS)
+    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, _TOKENS), size
+
+
+def dtype_of(size: int) -> np.dtype:
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
-def document_frequencies(tokens: DataFrame, dtype: str = "<u2", window: int = WINDOW) -> tuple[np.ndarray, int]:
+def document_frequencies(tokens: DataFrame, size: int = 1 << 16, window: int = WINDOW) -> tuple[np.ndarray, int]:
     """How many documents' rests beyond full windows have each term, and how many rests there are: numbers bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(1 << 16, np.int64), 0
+        df, n, dtype = np.zeros(size, np.int64), 0, dtype_of(size)
         for x in batches:
             for b in x.column("ids"):
                 ids = np.frombuffer(b.as_buffer(), dtype)
@@ -69,7 +78,7 @@ def document_frequencies(tokens: DataFrame, dtype: str = "<u2", window: int = WI
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[n, df[some]])], ["term", "n"])
 
     got = dict(arrow_map(tokens.select("ids"), run, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
-    df = np.zeros(1 << 16, np.int64)
+    df = np.zeros(size, np.int64)
     for t, n in got.items():
         if t >= 0:
             df[t] = n
@@ -84,13 +93,13 @@ class _Index:
         doc = np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
         key, count = np.unique(np.concatenate(ids).astype(np.int64) << 32 | doc, return_counts=True)
         self.doc, term = (key & 0xFFFFFFFF).astype(np.int32), key >> 32
-        self.at = np.searchsorted(term, np.arange((1 << 16) + 1))
+        self.at = np.searchsorted(term, np.arange(len(idf) + 1))
         norm = K1 * (1 - B + B * sizes / mean)
         self.score = (idf[term] * count * (K1 + 1) / (count + norm[self.doc])).astype(np.float32)
         self.ids, self.n = ids, len(ids)
         self.local = np.diff(self.at)
         often = np.flatnonzero(self.local * DENSE > self.n)
-        self.row = np.full(1 << 16, -1)
+        self.row = np.full(len(idf), -1)
         self.row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), self.n), np.float32)
         for k, t in enumerate(often.tolist()):
@@ -165,9 +174,10 @@ def pack(docs: DataFrame, ranks: str, pattern: str, end_id: int, doc_id: str = "
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "pack")
-    tokenize(docs, ranks, pattern, end_id, doc_id, text).write.option("compression", "zstd").parquet(folder)
-    tokens = spark.read.schema(_TOKENS).parquet(folder)
-    df, n = document_frequencies(tokens, window=window)
+    encoded, vocabulary = tokenize(docs, ranks, pattern, end_id, doc_id, text)
+    encoded.write.option("compression", "zstd").parquet(folder)
+    tokens, kind = spark.read.schema(_TOKENS).parquet(folder), dtype_of(vocabulary)
+    df, n = document_frequencies(tokens, vocabulary, window)
     rest_of = F.col("n") % window
     mean = tokens.agg(F.avg(F.when(rest_of > 0, rest_of))).first()[0] or 1.0
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
@@ -176,7 +186,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, end_id: int, doc_id: str = "
         held, size, total = [], 0, 0
         for x in batches:
             for d, n, b in zip(*(x.column(c) for c in ("doc_id", "n", "ids")), strict=True):
-                ids = np.frombuffer(b.as_buffer(), "<u2")
+                ids = np.frombuffer(b.as_buffer(), kind)
                 whole = len(ids) // window * window
                 held.append((d.as_py(), ids))
                 size, total = size + len(ids) - whole, total + len(ids)

@@ -44,12 +44,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     The corpus multinomial counts all documents, and a uniform 1 for each
     bucket. The target's counts those with label 1, at most ``most_labels`` of
-    them (the smallest ids), so the broadcast ids are bounded; its prior is the
+    them (by a hash of the id), so the broadcast ids are bounded; its prior is the
     corpus, ``smooth`` n-grams for each bucket, so that what few trusted texts
     haven't shown counts little against a text. Without any trusted text all
     ratios are 0.
     """
-    trusted = labels.where(F.col(good) == 1).select(F.col(label_id).cast("long").alias("_id")).dropna().distinct().orderBy("_id").limit(most_labels)
+    trusted = labels.where(F.col(good) == 1).select(F.col(label_id).cast("long").alias("_id")).dropna().distinct().orderBy(F.xxhash64("_id"), "_id").limit(most_labels)
     rows = _words(docs, doc_id, text).join(F.broadcast(trusted.withColumn("_t", F.lit(1))), F.col("doc_id") == F.col("_id"), "left")
     counted = rows.select("_t", F.explode(_grams(buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.count("_t").alias("t")).collect()
     n, t = [1.0] * buckets, [0.0] * buckets

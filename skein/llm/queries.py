@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import arrow_tokens, chat, fingerprints, packing, quality, secret_scan, sentencepiece_bpe, simhash, url_filter, warc
-from .common import ranges
+from .common import parts_for, ranges
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,7 +132,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = fingerprints.sketch(docs, "text", "fp")
     # ranges of doc_id; each range's first rows are dealt to the range before it too (the very first to the last)
-    cuts = ranges(docs, "doc_id", 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = ranges(docs, "doc_id", parts_for(_table(spark, sf_dir, "documents"), mb=8))
     docs = docs.withColumn("part", cuts.of(F.col("doc_id")))
     firsts = {r[0]: r[1] for r in docs.groupBy("part").agg(F.min("doc_id")).collect()}
     is_first = F.lit(False)
@@ -182,31 +182,33 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-#: The contract's rules (fixed values) and the words that list a host.
+#: The contract's rules (fixed values).
 RULES = tuple(url_filter.Rule(t, v) for t, v in (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")))
+#: Words that a domain is listed for, if its label is one or has one between hyphens.
 LISTED = ("adult", "spam", "pills", "ads", "casino", "bets")
 
 
-def _listed(host: Column) -> Column:
-    """A label of the host, or a part of one between hyphens, is a listed word."""
-    return host.rlike(r"(^|[.-])(" + "|".join(LISTED) + r")([.-]|$)")
-
-
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host, path, rule and verdict of every page."""
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), RULES, _listed)
+    """Host, path, rule and verdict of every page; listed are the pages' domains whose first label has a listed word."""
+    pages = _table(spark, sf_dir, "pages")
+    host, _ = url_filter.url_parts(F.col("url"))
+    names = pages.select(host.alias("host")).distinct().select(F.explode(url_filter.domains(F.col("host"))).alias("key")).distinct()
+    listed = names.where(F.split_part("key", F.lit("."), F.lit(1)).rlike(r"(^|-)(" + "|".join(LISTED) + r")(-|$)"))
+    return url_filter.filter_urls(pages, RULES, listed)
 
 
-_FITS = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
-_RULE_SQL = "CASE " + " ".join(f"WHEN {_FITS.format(h=r.text.split('/')[0], p='/' + r.text.split('/', 1)[1])} THEN '{{{i}}}'" for i, r in sorted(enumerate(RULES), key=lambda x: -len(x[1].text))) + " END"
-OP10_SQL = f"""
+OP10_SQL = r"""
 WITH u AS (SELECT page_id,
-  translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
-  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
-SELECT page_id, host, path, {_RULE_SQL.format(*[r.text for r in RULES])} AS rule,
-  coalesce({_RULE_SQL.format(*[r.verdict for r in RULES])},
-    CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(LISTED)})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
-FROM u
+  translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+rules(rule, suffix, start, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'), ('net/de/', 'net', '/de/', 'block'),
+  ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
+fit AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM (SELECT DISTINCT host, path FROM u) JOIN rules
+  ON (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, start) GROUP BY 1, 2),
+bad AS (SELECT DISTINCT host FROM (SELECT host, unnest(string_split(host, '.')) AS label FROM (SELECT DISTINCT host FROM u))
+  WHERE list_has_any(string_split(label, '-'), ['adult', 'spam', 'pills', 'ads', 'casino', 'bets']))
+SELECT page_id, u.host, u.path, rule, coalesce(verdict, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN fit ON fit.host = u.host AND fit.path = u.path LEFT JOIN bad ON bad.host = u.host
 """
 
 

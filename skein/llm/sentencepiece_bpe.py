@@ -205,7 +205,12 @@ def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
 
 
 def decode_pieces(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """The given columns and ``out``: the text of each row's ids (null ids: empty)."""
+    """The given columns and ``out``: the text of each row's ids (null ids: empty).
+
+    A column that is named like ``out`` already is replaced. Repeated rows
+    stay; an empty table gives no rows. A text of any length is one row's.
+    """
+    rows = rows.drop(*[c for c in rows.columns if c.lower() == out.lower() and c != ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)

@@ -5,9 +5,10 @@ class has a wide SimHash of ``WIDTH`` words of 64 bits. A pair of likeness s
 differs in a share d of the bits, so one trie whose first levels may spend no
 error finds it only by chance; hence as many tries are walked, each over other
 bits, as reach the asked ``recall`` at the threshold (:func:`layout`). What a
-walk links within its error budget is a candidate; candidates' components are
-then decided pair by pair by exact Jaccard likeness, without comparing pairs
-that are in one group already.
+walk links within its error budget is a candidate. The components of these
+links are then decided by exact Jaccard likeness of the whole sets, without
+comparing pairs that are in one group already: those of bounded size by one
+task each, larger ones in rounds that are dealt out.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .simhash import MOST_BROADCAST, joined, keep_smallest
 WIDTH, SUBTREE, RECALL = 8, 256, 0.999
 #: Standard deviations that an error budget leaves above the mean at the threshold.
 SLACK = 3.5
-#: Classes of one component that meet in one task; components in which all pairs are compared at once.
-SALTED, SMALL = 128, 8
+#: Hashes of all sets of a component that one task decides (8 MB); of larger ones: classes that meet in one task, pivots of the first round.
+BOUND, SALTED, PIVOTS = 1 << 20, 128, 16
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 12
 
@@ -66,7 +67,7 @@ def wide_print(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, digest, wide``: of each row its set's digest and wide fingerprint; an empty set has none."""
+    """``doc_id, digest, n, wide``: of each row its set's digest, size and wide fingerprint; an empty set has none."""
     from hashlib import blake2b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +75,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(t.as_py(), words) for t in x.column("text")]
             digests = [blake2b(h.tobytes(), digest_size=16).digest() for h in sets]
             wide = [wide_print(h).view(np.int64) if len(h) else None for h in sets]
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(digests, pa.binary()), pa.array(wide, pa.list_(pa.int64()))], ["doc_id", "digest", "wide"])
+            sizes = pa.array([len(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(digests, pa.binary()), sizes, pa.array(wide, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "wide"])
 
-    return arrow_map(docs, run, "doc_id long, digest binary, wide array<long>")
+    return arrow_map(docs, run, "doc_id long, digest binary, n long, wide array<long>")
 
 
 def layout(classes: int, threshold: float, recall: float) -> tuple[int, int, int, int, int]:
@@ -143,56 +145,123 @@ def candidates(classes: DataFrame, threshold: float, recall: float) -> tuple[Dat
     return arrow_map(dealt, run, "u long, v long").distinct(), last
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """``c, wide, set``: the shingles of each row, rows of one id and set once."""
+def _sets(members: DataFrame, words: int) -> DataFrame:
+    """``comp, n, c, wide, set``: the shingles of rows ``comp, n, c, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.int64())
         for x in batches:
             sets = [shingle_set(t.as_py(), words) for t in x.column("text")]
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([wide_print(h).view(np.int64) for h in sets], kind), pa.array([h.view(np.int64) for h in sets], kind)], ["c", "wide", "set"])
+            arrays = [pa.array([wide_print(h).view(np.int64) for h in sets], kind), pa.array([h.view(np.int64) for h in sets], kind)]
+            yield pa.RecordBatch.from_arrays([x.column("comp"), x.column("n"), x.column("c"), *arrays], ["comp", "n", "c", "wide", "set"])
 
-    return arrow_map(docs, run, "c long, wide array<long>, set array<long>").dropDuplicates(["c", "wide"])
+    return arrow_map(members, run, "comp long, n long, c long, wide array<long>, set array<long>")
 
 
-def _decided(members: DataFrame, threshold: float, budget: int) -> DataFrame:
-    """``node, component`` by ``comp, c, wide, set``: every pair of a component is compared, or is in one group before its turn.
+def decide(sets: list[np.ndarray], label: np.ndarray, threshold: float) -> np.ndarray:
+    """Labels after linking all pairs of sets (sorted, without repeats) that reach the threshold; the sets' labels before.
+
+    A set in turn is compared with all others, by postings. Once all sets
+    outside one group had their turn, every pair of different groups was
+    compared; so sets of the smallest group come first.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    if n == 2:
+        same = len(np.intersect1d(*sets, assume_unique=True))
+        return np.full(2, label.min()) if same >= threshold * (sizes.sum() - same) - 1e-9 else label
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(code, kind="stable")
+    posted, ends = owner[order], np.cumsum(np.bincount(code))
+    starts, first = np.r_[0, ends[:-1]], np.r_[0, np.cumsum(sizes)]
+    label, open_ = label.copy(), np.ones(n, bool)
+    while len(np.unique(label[open_])) > 1:
+        held = np.unique(label, return_inverse=True, return_counts=True)
+        i = int(np.argmin(np.where(open_, held[2][held[1]], n + 1)))
+        own = code[first[i] : first[i + 1]]
+        times = ends[own] - starts[own]
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[own], times)
+        same = np.bincount(posted[at], minlength=n)
+        near = np.unique(label[same >= threshold * (sizes[i] + sizes - same) - 1e-9])
+        label[np.isin(label, near)] = near.min()
+        open_[i] = False
+    return label
+
+
+def _in_one_task(rows: DataFrame, threshold: float) -> DataFrame:
+    """``node, component`` by ``comp, c, set``; each component is decided by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for x in batches:
+            if not len(x):
+                continue
+            comp = x.column("comp").to_numpy()
+            last = int(np.searchsorted(comp, comp[-1]))  # a component may go on in the next batch
+            if held and held[0].column("comp")[0].as_py() != comp[0]:
+                yield from found(held)
+                held = []
+            if last:
+                yield from found([*held, x.slice(0, last)])
+                held = []
+            held.append(x.slice(last))
+        if held:
+            yield from found(held)
+
+    def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        comp, c, sets = rows["comp"].to_numpy(), rows["c"].to_numpy(), rows["set"].chunk(0)
+        flat, at = sets.flatten().to_numpy(), np.r_[0, np.cumsum(np.array(sets.value_lengths()))]
+        edges = np.r_[0, np.flatnonzero(np.diff(comp)) + 1, len(comp)].tolist()
+        nodes, tops = [], []
+        for a, b in zip(edges, edges[1:], strict=False):
+            # rows of one id are one node from the start
+            ids, label = np.unique(c[a:b], return_inverse=True)
+            if len(ids) > 1:
+                label = decide([flat[at[i] : at[i + 1]].view(np.uint64) for i in range(a, b)], label, threshold)
+                of = dict(zip(c[a:b].tolist(), label.tolist(), strict=True))
+                least: dict[int, int] = {}
+                for d, k in of.items():
+                    least[k] = min(d, least.get(k, d))
+                nodes += of
+                tops += [least[k] for k in of.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tops, pa.int64())], ["node", "component"])
+
+    return arrow_map(rows.select("comp", "c", "set").repartition("comp").sortWithinPartitions("comp"), run, "node long, component long")
+
+
+def _by_rounds(members: DataFrame, threshold: float, budget: int) -> DataFrame:
+    """The same by ``comp, n, c, wide, set`` for components of any size.
 
     Each class is a pivot in one round and meets the classes whose round isn't
-    over yet; a component's first round has about one pivot, each next one
-    twice as many, so large groups grow together before most pairs come up.
-    Pivots go to every salt of their component, other classes to one of them.
+    over yet; a component's first round has about ``PIVOTS`` pivots, each next
+    one four times as many, so large groups grow together before most pairs
+    come up. Pivots go to every salt of their component, other classes to one.
     """
     n = F.col("n")
-    sizes = members.groupBy("comp").agg(F.count_distinct("c").alias("n"))
-    place = F.pmod(F.xxhash64("c"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rows = members.join(sizes, "comp").withColumn("round", F.when(n <= SMALL, 0).otherwise(F.floor(F.log2(1 + place * n))).cast("int"))
-    rows = cut(rows.withColumn("salts", F.ceil(n / SALTED).cast("int")).withColumn("salt", F.pmod(F.xxhash64("c", F.lit(1)), F.col("salts")).cast("int")).drop("n"))
-    last = rows.agg(F.max("round")).first()[0]
-    links, groups = None, None
-    for k in range((-1 if last is None else last) + 1):
-        now = rows.where(F.col("round") >= k).withColumn("g", F.col("c"))
-        if groups is not None:
-            now = now.drop("g").join(groups.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
-        still = now.groupBy("comp").agg((F.min("g") < F.max("g")).alias("open"), F.count_if(F.col("round") == k).alias("pivots"))
-        still = cut(still.where("open").select("comp", "pivots"))
-        if still.isEmpty():
-            if k == 0 or groups is None:
-                break
-            # a component may be one group among the classes left, but earlier ones were compared with all
+    place = F.pmod(F.xxhash64("c"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * n
+    turn = F.when(place < PIVOTS, 0).otherwise(F.floor(F.log2(place / PIVOTS) / 2) + 1).cast("int")
+    salts = F.ceil(n / SALTED).cast("int")
+    rows = cut(members.select("comp", "c", "wide", "set", turn.alias("round"), salts.alias("salts"), F.pmod(F.xxhash64("c", F.lit(1)), salts).cast("int").alias("salt")))
+    who = cut(rows.groupBy("c", "comp", "round").agg(F.first("c").alias("g")))
+    for k in range((rows.agg(F.max("round")).first()[0] or 0) + 1):
+        left = who.where(F.col("round") >= k)
+        open_ = left.groupBy("comp").agg((F.min("g") < F.max("g")).alias("open")).where("open").select("comp")
+        now = cut(left.join(open_, "comp", "left_semi").select("c", "g"))
+        if now.isEmpty():
             break
-        some = now.join(still.where("pivots > 0").select("comp"), "comp", "left_semi")
+        some = rows.join(now, "c")
         pivots = some.where(F.col("round") == k).select("comp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.struct("c", "g", "wide", "set").alias("p"))
         apart = sum((F.bit_count(F.get("wide", F.lit(i)).bitwiseXOR(F.get("p.wide", F.lit(i)))) for i in range(WIDTH)), F.lit(0))
-        turn = (F.col("round") > k) | (F.col("p.c") < F.col("c"))
-        pairs = some.join(pivots, ["comp", "salt"]).where((F.col("g") != F.col("p.g")) & turn & (apart <= budget))
+        due = (F.col("round") > k) | (F.col("p.c") < F.col("c"))
+        pairs = some.join(pivots, ["comp", "salt"]).where((F.col("g") != F.col("p.g")) & due & (apart <= budget))
         shared = F.size(F.array_intersect("set", "p.set"))
         alike = shared >= F.lit(threshold) * (F.size("set") + F.size("p.set") - shared) - 1e-9
-        found = cut(pairs.where(alike).select(F.col("p.c").alias("u"), F.col("c").alias("v")).distinct())
+        found = cut(pairs.where(alike).select(F.col("p.g").alias("u"), F.col("g").alias("v")).distinct())
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            groups = cut(connected_components(links))
-    return groups if groups is not None else rows.select(F.col("c").alias("node"), F.col("comp").alias("component")).limit(0)
+            moved = connected_components(found).select(F.col("node").alias("g"), "component")
+            who = cut(who.join(moved, "g", "left").select("c", "comp", "round", F.coalesce("component", "g").alias("g")))
+    return who.select(F.col("c").alias("node"), F.col("g").alias("component")).distinct()
 
 
 def alike_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = RECALL, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -206,13 +275,17 @@ def alike_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     signed = cut(signatures(docs, words))
-    classes = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("c"), F.first("wide").alias("wide")))
+    classes = cut(signed.groupBy("digest").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("wide").alias("wide")))
     links, budget = candidates(classes.where("wide is not null"), threshold, recall)
-    near = cut(connected_components(links))
-    ids = near.select(F.col("node").alias("_c"))
-    some = docs.join(F.broadcast(ids) if ids.count() <= most_broadcast else ids, F.col("doc_id") == F.col("_c"), "left_semi")
-    members = _sets(some, words).join(near.select(F.col("node").alias("c"), F.col("component").alias("comp")), "c")
-    groups = _decided(members, threshold, budget)
+    near = connected_components(links).join(classes.groupBy(F.col("c").alias("node")).agg(F.sum("n").alias("hashes")), "node")
+    near = cut(near.select(F.col("node").alias("c"), F.col("component").alias("comp"), "hashes"))
+    sizes = near.groupBy("comp").agg(F.count("*").alias("n"), F.sum("hashes").alias("all"))
+    near = cut(near.join(sizes, "comp").select("c", "comp", "n", "all"))
+    few = near.count() <= most_broadcast
+    members = docs.join(F.broadcast(near) if few else near, F.col("doc_id") == F.col("c")).select("comp", "n", "c", "text", "all")
+    groups = _in_one_task(_sets(members.where(F.col("all") <= BOUND).drop("all"), words), threshold)
+    if not near.where(F.col("all") > BOUND).isEmpty():
+        groups = groups.unionByName(_by_rounds(_sets(members.where(F.col("all") > BOUND).drop("all"), words), threshold, budget))
     of_class = classes.join(groups, F.col("c") == F.col("node"), "left").select("digest", F.coalesce("component", "c").alias("component_id"))
     return signed.select("doc_id", "digest").join(of_class, "digest").select("doc_id", "component_id")
 

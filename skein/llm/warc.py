@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, commit, cut, new_folder, one_each, parts_for, ranges, store_of
+from .common import arrow_map, commit, cut, input_bytes, new_folder, one_each, ranges, store_of
 
 #: Compressed bytes after which a file is full; payloads below this size are never revisits; a date, since pages have none.
 ROLL, LEAST, DATE = 64 << 20, 100, "1970-01-01T00:00:00Z"
@@ -72,8 +72,8 @@ def write_warc(pages: DataFrame, folder: str | None = None, page_id: str = "page
     folder = folder or new_folder(spark, "warc")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    parts = parts_for(pages)
-    cuts = ranges(rows, "page_id", parts)
+    # by the table's size alone, whatever the session's settings: a range fills about one file
+    cuts = ranges(rows, "page_id", max(1, 2 * input_bytes(pages) // roll))
     # which page a copy refers to is settled on ids and digests alone; the writer finds it in a row before the page's own
     narrow = cut(rows.where(F.octet_length("payload") >= least).select("page_id", "digest"))
     first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")

@@ -68,7 +68,8 @@ class ByteLevelIds:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.dtype = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+        self.size = max(ranks.values()) + 1
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(self.library.encode_ordinary(t), self.dtype).tobytes() for t in texts]

@@ -131,5 +131,5 @@ def test_op10(spark, sf, table):
         host, path = brute.url(r["url"])
         fits = [x for x in Q.RULES if (host == (h := x.text.split("/")[0]) or host.endswith("." + h)) and path.startswith("/" + x.text.split("/", 1)[1])]
         rule = max(fits, key=lambda x: len(x.text), default=None)
-        listed = any(w in __import__("re").split("[.-]", host) for w in Q.LISTED)
+        listed = bool({"adult", "spam", "pills", "ads", "casino", "bets"} & set(__import__("re").split("[.-]", host)))
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule and rule.text, rule.verdict if rule else "block" if listed else "allow")

@@ -241,6 +241,54 @@ def test_fingerprints(spark, odd):
     assert got[:3] == [1.0, 0.0, 1.0] and got[3] < 0.1 and got[4] > 0.9
 
 
+def plain_sketch(text):
+    """One-permutation MinHash with its walk, written out: XXH64 of words, chained over five, bins by low bits."""
+    from xxhash import xxh64_intdigest as xxh
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    words = [xxh(w.encode(), 42) for w in brute.WORD.findall(text or "")]
+    if not words:
+        return ""
+    bins = [None] * 256
+    for i in range(max(1, len(words) - 4)):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxh(w.to_bytes(8, "little"), h)
+        b, v = h % 256, h >> 10
+        bins[b] = v if bins[b] is None else min(v, bins[b])
+    full = list(bins)
+    for i, v in enumerate(bins):
+        at, step = mix(2 * i) % 256, mix(2 * i + 1) % 256 | 1
+        while v is None:
+            v, at = bins[at], (at + step) % 256
+        full[i] = v
+    low = [v % 256 for v in full]
+    return "".join(f"{sum(x << 8 * j for j, x in enumerate(low[k : k + 8])):016x}" for k in range(0, 256, 8))
+
+
+def test_fingerprints_written_out(spark, docs):
+    some = [None, "", "one two three", *[t for _, t in sorted(docs.items())[:40]]]
+    df = spark.createDataFrame(list(enumerate(some)), "i long, text string").select("*", F.lit("x").alias("fp_a"), F.lit("y").alias("_fp_b"), F.lit("z").alias("FP"))
+    got = fingerprints.sketch(df, "text", "fp")
+    assert got.columns == ["i", "text", "fp_a", "_fp_b", "fp"] or got.columns == ["i", "text", "fp_a", "_fp_b", "FP"]
+    for r in got.select("i", fingerprints.as_text(F.col("fp")).alias("p"), "fp_a").collect():
+        assert r["p"] == plain_sketch(some[r["i"]]) and r["fp_a"] == "x"
+
+
+def test_decoded_replaces_a_column(spark):
+    from public_tokenizers import path
+
+    model = path("piece_bpe_32k.model")
+    ids = sentencepiece_bpe.encode_pieces(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).withColumn("decoded", F.lit("old"))
+    got = sentencepiece_bpe.decode_pieces(ids, model)
+    assert got.columns == ["doc_id", "ids", "decoded"] and got.first()["decoded"] == "a b"
+
+
 def test_warc(spark):
     big = "x" * 150
     rows = [(3, "http://a/", big), (1, None, big), (2, "http://b/ c\r\nX: y", "small"), (5, "u", "small"), (None, "u", big), (7, "u", None), (3, "http://a/", big), (9, "u", "é" * 60), (8, "u", "é" * 60), (-4, "u", "")]
@@ -342,6 +390,19 @@ def test_packing(odd):
     assert packing.pack(odd.limit(0), path("byte_bpe_50k.tiktoken"), PATTERN, 1).count() == 0
 
 
+def test_packing_with_wide_ids(spark):
+    """Ids that don't fit into two bytes, by an end id beyond them."""
+    from public_tokenizers import PATTERN, path
+
+    docs = spark.createDataFrame([(i, f"some words {i} " * 40) for i in range(12)], "doc_id long, text string")
+    file, end = path("byte_bpe_50k.tiktoken"), 70_000
+    wide, narrow = ({r["doc_id"]: [] for r in docs.collect()} for _ in range(2))
+    for out, e in ((wide, end), (narrow, 1)):
+        for r in packing.pack(docs, file, PATTERN, e, window=256).orderBy("doc_id", "start").collect():
+            out[r["doc_id"]] += np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+    assert all(w[-1] == end and w[:-1] == narrow[d][:-1] for d, w in wide.items())
+
+
 def test_packing_brings_like_texts_together(spark):
     """Two vocabularies in turn: windows of one seed hold one of them."""
     from public_tokenizers import PATTERN, path
@@ -357,15 +418,19 @@ def test_packing_brings_like_texts_together(spark):
 
 
 def test_urls(spark):
-    rows = [None, "", "no scheme", "HTTP://Example.COM/en/7x?q#f", "http://a.com/en/1", "http://xcom/en/1", "http://spam.host", "://", "x://H/?a://b/c", "http://é.net/de/\n9#z", "http://a.net#/de/1"]
+    rows = [None, "", "no scheme", "HTTP://Example.COM/en/7x?q#f", "http://a.com/en/1", "http://xcom/en/1", "http://www.spam.host", "://", "x://H/?a://b/c", "http://é.net/de/\n9#z", "http://a.net#/de/1"]
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(rows)], "page_id long, url string, host string, rule string")
     rules = [url_filter.Rule("com/en/", "block"), url_filter.Rule("example.com/en/7", "allow"), url_filter.Rule("net/de/", "block")]
-    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, rules, lambda h: h.contains("spam")).collect()}
+    listed = spark.createDataFrame([("SPAM.host",), ("spam.host",), ("",), (None,), ("nowhere",)], "key string")
+    assert url_filter.filter_urls(pages, rules, listed.limit(0)).where("verdict = 'block'").count() == 2
+    joined = url_filter.filter_urls(pages, rules, listed, most_bits=0).collect()
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, rules, listed).collect()}
+    assert {r["page_id"]: r for r in joined} == got
     for i, u in enumerate(rows):
         assert (got[i]["host"], got[i]["path"]) == brute.url(u)
     assert [got[i]["rule"] for i in range(len(rows))] == [None, None, None, "example.com/en/7", "com/en/", None, None, None, None, "net/de/", None]
     assert got[6]["verdict"] == "block" and got[3]["verdict"] == "allow" and got[0]["verdict"] == "allow"
-    assert url_filter.filter_urls(pages.limit(0), rules, lambda h: h == "x").count() == 0
+    assert url_filter.filter_urls(pages.limit(0), rules, listed).count() == 0
 
 
 def test_cascade_is_exact(spark):
@@ -373,8 +438,7 @@ def test_cascade_is_exact(spark):
     cascade = url_filter.build_cascade(keys)
     assert 2 <= len(cascade.levels) < 12
     assert keys.where(cascade.has(F.col("key")) != F.col("listed")).count() == 0
-    with pytest.raises(ValueError):
-        url_filter.build_cascade(keys, most_bits=64)
+    assert url_filter.build_cascade(keys, most_bits=64) is None
 
 
 def test_chats(spark):

@@ -44,10 +44,13 @@ def test_stage_on_a_table(spark, sf):
     assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("small", [0, 8])
-def test_chains_and_large_groups(spark, monkeypatch, small):
-    """Edits at and around 0.8, a chain, a large group, empty texts, null ids; every pair is decided whatever the bucket's size."""
-    monkeypatch.setattr(simhash_groups, "SMALL", small)
+@pytest.mark.parametrize("bound", [0, 1 << 20])
+def test_chains_and_large_groups(spark, monkeypatch, bound):
+    """Edits at and around 0.8, a chain, a large group, empty texts, null ids; every pair is decided in one task and in rounds."""
+    monkeypatch.setattr(simhash_groups, "BOUND", bound)
+    monkeypatch.setattr(simhash_groups, "PIVOTS", 2)
+    monkeypatch.setattr(simhash_groups, "SALTED", 8)
+    monkeypatch.setattr(simhash_groups, "SUBTREE", 1 << 20 if bound else 4)
     rng = random.Random(3)
     base = [[f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(4)]
     texts = [None, "", " \n", "one two", "one two", "One  two", "three"]
