@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..runtime import cut
+from .market import simple_returns
+from .themes import top_by
 
 
 def cohort(bars: DataFrame, length: int) -> DataFrame:
@@ -41,9 +44,9 @@ def pair_correlations(res: DataFrame, value: str = "resid", least: int = 2, grou
 
 
 def by_sector(pairs: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Adds whether both series are of one sector."""
+    """Adds whether both series are of one sector ("(none)" is nobody's)."""
     a, b = sectors.select(F.col("series").alias("a"), F.col("sector").alias("sa")), sectors.select(F.col("series").alias("b"), F.col("sector").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").withColumn("same", F.col("sa") == F.col("sb")).drop("sa", "sb")
+    return pairs.join(a, "a").join(b, "b").withColumn("same", (F.col("sa") == F.col("sb")) & (F.col("sa") != "(none)")).drop("sa", "sb")
 
 
 def distribution(pairs: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
@@ -105,7 +108,7 @@ def macro_links(prices: DataFrame, macros: DataFrame, least: int = 60, floor: fl
 
 
 def rand_index(labels: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Adjusted Rand index of two labelings; 1 if both are trivial."""
+    """Adjusted Rand index of two labelings, to four digits; 0 if both are trivial."""
     c2 = lambda n: n * (n - 1) / 2
     pairs = labels.groupBy(x, y).agg(F.count("*").alias("n"))
     of = lambda df: df.agg(F.sum(c2(F.col("n"))).alias("s"))
@@ -113,7 +116,7 @@ def rand_index(labels: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     got = of(pairs).withColumnRenamed("s", "both").join(of(a).withColumnRenamed("s", "sa")).join(of(b).withColumnRenamed("s", "sb")).join(labels.agg(c2(F.count("*")).alias("all")))
     expected = F.try_divide(F.col("sa") * F.col("sb"), F.col("all"))
     top = (F.col("sa") + F.col("sb")) / 2
-    return got.select(F.round(F.coalesce(F.try_divide(F.col("both") - expected, top - expected), F.lit(1.0)), 6).alias("ari"))
+    return got.select(F.round(F.coalesce(F.try_divide(F.col("both") - expected, top - expected), F.lit(0.0)), 4).alias("ari"))
 
 
 def purity(members: DataFrame, cross_below: float = 0.6) -> DataFrame:
@@ -142,26 +145,54 @@ def average_linkage(dist: np.ndarray, cut_at: float) -> np.ndarray:
 
 
 def silhouette(dist: np.ndarray, labels: np.ndarray) -> float:
-    """Mean silhouette on given distances; singletons count 0, one cluster -1."""
-    kinds = np.unique(labels)
-    if len(kinds) < 2:
-        return -1.0
-    mean = np.stack([dist[:, labels == k].sum(1) for k in kinds], 1)
-    count = np.array([(labels == k).sum() for k in kinds])
-    own = np.searchsorted(kinds, labels)
+    """Mean silhouette on given distances of the points that share a cluster, to four digits; 0 if there is none, or one cluster only."""
+    kinds, own, count = np.unique(labels, return_inverse=True, return_counts=True)
+    some = count[own] > 1
+    if len(kinds) < 2 or not some.any():
+        return 0.0
+    total = dist @ (own[:, None] == np.arange(len(kinds)))
     rows = np.arange(len(labels))
-    inside = mean[rows, own] / np.maximum(count[own] - 1, 1)
-    mean = mean / count
-    mean[rows, own] = np.inf
-    outside = mean.min(1)
-    return float(np.where(count[own] > 1, (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-12), 0.0).mean())
+    inside = (total[rows, own] - dist[rows, rows]) / np.maximum(count[own] - 1, 1)
+    other = total / count
+    other[rows, own] = np.inf
+    outside = other.min(axis=1)
+    top = np.maximum(inside, outside)
+    score = np.divide(outside - inside, top, out=np.zeros(len(top)), where=top != 0)
+    return round(float(score[some].mean()), 4)
 
 
-def flow_clusters(pairs: DataFrame, most: int = 2000, cuts: tuple[float, ...] = (0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85), least: int = 3) -> DataFrame:
-    """``series, cluster`` of the cut with the best silhouette (the smaller of equals); -1 for clusters below ``least``.
+#: Cuts that are tried (fixed values).
+CUTS = (0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85)
+
+
+def _distances(rows: pd.DataFrame, names: np.ndarray) -> np.ndarray:
+    d = np.ones((len(names), len(names)))
+    i, j = np.searchsorted(names, rows["a"].to_numpy(str)), np.searchsorted(names, rows["b"].to_numpy(str))
+    d[i, j] = d[j, i] = np.clip(1 - rows["r"].to_numpy(float), 0, 2)
+    np.fill_diagonal(d, 0)
+    return d
+
+
+def _best_cut(d: np.ndarray, cuts: tuple[float, ...], least: int) -> tuple[float, float, np.ndarray] | None:
+    """(cut, silhouette, labels) of the best silhouette, the smaller cut of equals; None if no cut has two clusters of ``least``."""
+    best = None
+    for c in sorted(cuts):
+        label = average_linkage(d, c)
+        if (np.bincount(label) >= least).sum() >= 2 and (best is None or silhouette(d, label) > best[1]):
+            best = c, silhouette(d, label), label
+    return best
+
+
+def flow_clusters(pairs: DataFrame, most: int = 2000, cuts: tuple[float, ...] = CUTS, least: int = 3) -> DataFrame:
+    """``series, cluster, cut, silhouette, ari`` of the cut with the best silhouette (the smaller of equals); -1 for clusters below ``least``.
+
+    pairs: (a, b, r), and a column ``win`` if there is more than the whole
+    window (``full``): the halves ``h1`` and ``h2`` are clustered apart at the
+    same cut, and ``ari`` says how far they agree (else null). A pair without a
+    correlation has none (0). No cut with two clusters gives no rows.
 
     Clustering needs the whole distance matrix of one cohort. It runs in one
-    task over at most ``most`` series (32 MB) and refuses more.
+    task over at most ``most`` series (32 MB a matrix) and refuses more.
     """
     names = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
     if (n := names.count()) > most:
@@ -169,19 +200,87 @@ def flow_clusters(pairs: DataFrame, most: int = 2000, cuts: tuple[float, ...] =
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         s = np.unique(np.r_[rows["a"].to_numpy(str), rows["b"].to_numpy(str)])
-        d = np.ones((len(s), len(s)))
-        i, j = np.searchsorted(s, rows["a"].to_numpy(str)), np.searchsorted(s, rows["b"].to_numpy(str))
-        d[i, j] = d[j, i] = 1 - rows["r"].to_numpy()
-        np.fill_diagonal(d, 0)
-        best, label = -2.0, np.zeros(len(s), int)
-        for c in cuts:
-            got = average_linkage(d, c)
-            size = np.bincount(got)
-            if (size >= least).sum() >= 2 and (score := silhouette(d, got)) > best:
-                best, label = score, np.where(size[got] >= least, got, -1)
-        return pd.DataFrame({"series": s, "cluster": label})
-
-    return pairs.select("a", "b", "r", F.lit(0).alias("one")).groupBy("one").applyInPandas(run, "series string, cluster int")
+        got = _best_cut(_distances(rows[rows["win"] == "full"], s), cuts, least)
+        if got is None:
+            return pd.DataFrame({"series": [], "cluster": [], "cut": [], "silhouette": [], "ari": []})
+        cut_at, score, label = got
+        halves = [average_linkage(_distances(rows[rows["win"] == h], s), cut_at) for h in ("h1", "h2") if (rows["win"] == h).any()]
+        ari = adjusted_rand(*halves) if len(halves) == 2 else None
+        size = np.bincount(label)
+        return pd.DataFrame({"series": s, "cluster": np.where(size[label] >= least, label, -1), "cut": cut_at, "silhouette": score, "ari": ari})
+
+    win = F.col("win") if "win" in pairs.columns else F.lit("full").alias("win")
+    return pairs.select("a", "b", "r", win, F.lit(0).alias("one")).groupBy("one").applyInPandas(run, "series string, cluster int, cut double, silhouette double, ari double")
+
+
+def adjusted_rand(x: np.ndarray, y: np.ndarray) -> float:
+    """:func:`rand_index` of two arrays of labels."""
+    c2 = lambda n: (n * (n - 1) / 2).sum()
+    both = np.unique(np.stack([x, y]), axis=1, return_counts=True)[1].astype(float)
+    a, b, total = c2(np.bincount(x).astype(float)), c2(np.bincount(y).astype(float)), len(x) * (len(x) - 1) / 2
+    expected, top = a * b / total if total else 0.0, (a + b) / 2
+    return round((c2(both) - expected) / (top - expected), 4) if top != expected else 0.0
+
+
+def windows(rets: DataFrame) -> DataFrame:
+    """Each return once in ``full`` and once in its half, ``h1`` or ``h2`` (column ``win``)."""
+    own = F.when(F.col("half") == 0, "h1").otherwise("h2")
+    return halves(rets).withColumn("win", F.explode(F.array(F.lit("full"), own))).drop("half")
+
+
+def flow_report(rets: DataFrame, sectors: DataFrame, tags: DataFrame | None = None, least_names: int = 40, least: int = 3, floor: float = 0.25, least_full: int = 50, least_half: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(members, clusters) of an aligned cohort's returns (series, day, ret).
+
+    members: series, cluster, sector, loading (correlation with the cluster's
+    mean residual). clusters: size, purity, top sector, whether it crosses
+    sectors, its three commonest themes (tags: series, theme), cut, silhouette,
+    the agreement of the halves and whether it reaches ``floor``. Fewer than
+    ``least_names`` series, or no cut with two clusters, give no rows.
+    """
+    enough = rets.agg(F.count_distinct("series").alias("_n")).where(F.col("_n") >= least_names).select(F.lit(1).alias("_ok"))
+    rets = rets.join(F.broadcast(enough)).drop("_ok")
+    res = residuals(windows(rets), ("win",))
+    pairs = pair_correlations(res, group=("win",)).where(F.col("n") >= F.when(F.col("win") == "full", least_full).otherwise(least_half))
+    found = cut(flow_clusters(pairs, least=least).where("cluster >= 0"))
+    whole = res.where("win = 'full'").select("series", "day", "resid").join(found.select("series", "cluster"), "series")
+    centre = whole.groupBy("cluster", "day").agg(F.avg("resid").alias("centre"))
+    loading = whole.join(centre, ["cluster", "day"]).groupBy("series", "cluster").agg(F.coalesce(F.round(numbers.pearson(F.col("resid"), F.col("centre")), 2), F.lit(0.0)).alias("loading"))
+    members = loading.join(sectors.select("series", "sector"), "series", "left")
+    named = found.groupBy("cluster").agg(*[F.first(c).alias(c) for c in ("cut", "silhouette", "ari")])
+    clusters = purity(members).join(named, "cluster").withColumn("stable", F.coalesce(F.col("ari") >= floor, F.lit(False)))
+    if tags is not None:
+        n = members.join(tags, "series").groupBy("cluster", "theme").agg(F.count("*").alias("c"))
+        best = top_by(n, ["cluster"], [F.desc("c"), F.asc("theme")], 3, "_k").groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "theme"))), lambda x: x["theme"]).alias("themes"))
+        clusters = clusters.join(best, "cluster", "left")
+    return members, clusters
+
+
+def yardstick(bars: DataFrame, sectors: DataFrame, length: int = 90, least_names: int = 40, least_full: int = 50, least_half: int = 40, retain: float = 0.35, history: DataFrame | None = None) -> DataFrame:
+    """One row: how much closer same-sector pairs move, in the whole window and both halves, and whether that is stable.
+
+    issuers, mu_same and mu_cross, gap_full, gap_h1, gap_h2 (four digits);
+    stable: all gaps above zero, the halves keeping ``retain`` of the whole.
+    skipped: fewer than ``least_names`` series; then all is null and not
+    stable. history: (gap, cross_mu) of earlier windows; the row then has the
+    percentiles gap_pct and cross_mu_pct. Residuals are made in each window.
+    """
+    rets = simple_returns(cohort(bars, length)).where("ret is not null")
+    pairs = pair_correlations(residuals(windows(rets), ("win",)), group=("win",)).where(F.col("n") >= F.when(F.col("win") == "full", least_full).otherwise(least_half))
+    both = by_sector(pairs, sectors)
+    mu = lambda w, s: F.round(F.avg(F.when((F.col("win") == w) & (F.col("same") == F.lit(s)), F.col("r"))), 4)
+    got = both.agg(*[mu(w, s).alias(f"{w}_{s}") for w in ("full", "h1", "h2") for s in (True, False)])
+    gaps = got.select(F.col("full_True").alias("mu_same"), F.col("full_False").alias("mu_cross"), *[F.round(F.col(f"{w}_True") - F.col(f"{w}_False"), 4).alias(f"gap_{w}") for w in ("full", "h1", "h2")])
+    row = rets.agg(F.count_distinct("series").alias("issuers"), F.max("day").alias("end_day")).join(gaps)
+    row = row.withColumn("skipped", F.col("issuers") < least_names)
+    for c in ("mu_same", "mu_cross", "gap_full", "gap_h1", "gap_h2"):
+        row = row.withColumn(c, F.when(~F.col("skipped"), F.col(c)))
+    g, h1, h2 = F.col("gap_full"), F.col("gap_h1"), F.col("gap_h2")
+    row = row.withColumn("stable", F.coalesce((g > 0) & (h1 > 0) & (h2 > 0) & (h1 >= retain * g) & (h2 >= retain * g), F.lit(False)))
+    if history is None:
+        return row
+    share = lambda c, now: F.round(100 * F.avg(F.when(F.col(c) <= F.col(now), 1.0).otherwise(0.0)), 1)
+    placed = history.join(row.select("gap_full", "mu_cross")).agg(share("gap", "gap_full").alias("gap_pct"), share("cross_mu", "mu_cross").alias("cross_mu_pct"))
+    return row.join(placed)
 
 
 def communities(edges: DataFrame, most: int = 500) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each step is a grouped minimum (combined on the map side, so a hub with a
 third of all edges is summed up before the shuffle) and an equi-join. Every
-round is checkpointed; links never reach the driver.
+round is written and the one before it deleted; links never reach the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, drop_cut
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def _distinct(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return _distinct(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -45,5 +45,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most_roun
             # every node above its least points to it; the least nodes stand for themselves
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = print_of
-        now = cut(_small_star(_large_star(now)))
+        after = cut(_small_star(_large_star(now)))
+        drop_cut(now)
+        now = after
     raise RuntimeError(f"no end after {most_rounds} rounds")

@@ -20,20 +20,28 @@ def grounding(claims: DataFrame, span: str = "source_span", negation: Sequence[s
     return claims.where((neg | soft) & firm).withColumn("issue", F.when(neg, "polarity-inverted").otherwise("hedge/attribution-dropped"))
 
 
-def omission(docs: DataFrame, elevated: DataFrame, gazetteer: Sequence[str], triggers: Sequence[str] = L.MATERIAL, doc: str = "doc_id", body: str = "text") -> DataFrame:
-    """Documents whose extraction leaves a material trigger out.
+def omission(docs: DataFrame, elevated: DataFrame, gazetteer: Sequence[str], triggers: Sequence[str] = L.MATERIAL, aliases: dict[str, str] | None = None, doc: str = "doc_id", body: str = "text") -> DataFrame:
+    """Documents whose extraction leaves a material trigger out; documents without an extraction aren't judged.
 
-    Found: gazetteer names and triggers in the text; elevated: (doc_id, names).
-    Returns recall, and how many facts stay hidden by the Chapman estimate.
+    Found in the NFKC text: gazetteer names as written, triggers in any case;
+    elevated: (doc_id, names). ``aliases`` brings names of both to one form.
+    Returns recall, everything left out, the triggers left out, how many facts
+    stay hidden by the Chapman estimate, and that as a percentage.
     """
-    t = F.lower(F.col(body))
-    present = lambda words: F.filter(F.array(*[F.when(F.contains(t, F.lit(w.lower())), F.lit(w)) for w in words]), lambda w: w.isNotNull())
-    got = docs.withColumn("names", present(gazetteer)).withColumn("triggers", present(triggers)).join(elevated.select(doc, "elevated"), doc, "left")
-    got = got.withColumn("elevated", F.coalesce("elevated", F.expr("cast(array() as array<string>)"))).withColumn("full", F.array_union("names", "triggers"))
+    canon = lambda names: F.array_distinct(F.transform(names, lambda w: F.coalesce(F.try_element_at(same, w), w))) if aliases else names
+    same = F.create_map(*[F.lit(x) for kv in (aliases or {}).items() for x in kv])
+    listed = lambda t, words: F.filter(F.array(*[F.when(F.contains(t, F.lit(w)), F.lit(w)) for w in words]), lambda w: w.isNotNull())
+    held = F.filter(F.array(*[F.when(F.contains(F.lower("_nfkc"), F.lit(w.casefold())), F.lit(w)) for w in triggers]), lambda w: w.isNotNull())
+    got = docs.join(elevated.select(doc, "elevated"), doc).withColumn("_nfkc", text.nfkc(F.coalesce(F.col(body), F.lit(""))))
+    got = got.withColumn("names", canon(listed(F.col("_nfkc"), [w for w in gazetteer if w]))).withColumn("triggers", held)
+    got = got.withColumn("elevated", canon(F.array_distinct("elevated"))).withColumn("full", F.array_union("names", "triggers"))
     got = got.where((F.size("full") > 0) & (F.size(F.array_except("triggers", "elevated")) > 0))
     m, n1, n2 = F.size(F.array_intersect("full", "elevated")), F.greatest(F.size("elevated"), F.lit(1)), F.size("full")
-    hidden = F.greatest(numbers.chapman(n1, n2, m) - F.size(F.array_union("full", "elevated")), F.lit(0.0))
-    return got.select(doc, F.array_sort(F.array_except("triggers", "elevated")).alias("dropped"), (m / n2).alias("recall"), F.round(hidden, 1).alias("hidden"))
+    total = numbers.chapman(n1, n2, m)
+    hidden = F.greatest(total - F.size(F.array_union("full", "elevated")), F.lit(0.0))
+    missed = lambda a: F.array_sort(F.array_except(a, "elevated"))
+    pct = F.round(F.when(total > 0, 100 * hidden / total).otherwise(0.0), 1)
+    return got.select(doc, missed("triggers").alias("dropped"), (m / n2).alias("recall"), F.round(hidden, 1).alias("hidden"), missed("full").alias("omissions"), pct.alias("hidden_pct"))
 
 
 def stance_dispersion(docs: DataFrame, claims: DataFrame, bull: Sequence[str] = L.BULLISH, bear: Sequence[str] = L.BEARISH, threshold: float = DEFAULTS.stance_skew, doc: str = "doc_id", body: str = "text") -> DataFrame:
@@ -73,3 +81,20 @@ def layered(sessions: DataFrame, rules: DataFrame, doc: str = "doc_id") -> DataF
 def span_grounded(claims: DataFrame, docs: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Adds whether a claim's span occurs in its document."""
     return claims.join(docs.select(doc, F.col("text").alias("_t")), doc, "left").withColumn("span_grounded", F.coalesce(F.contains("_t", "source_span"), F.lit(False))).drop("_t")
+
+
+def spans_within(spans: DataFrame, docs: DataFrame, span_id: str, doc: str, body: str = "text", words: int = 5) -> DataFrame:
+    """``doc, span_id`` of the spans that occur whole, word by word, in a document; empty spans occur nowhere.
+
+    The first ``words`` words of a span (all, if it has fewer) meet the
+    documents' runs of as many words; what meets is compared whole.
+    """
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    s = spans.select(F.col(span_id), split(F.col(body)).alias("_w")).where(F.size("_w") > 0).withColumn("_n", F.least(F.size("_w"), F.lit(words)))
+    lengths = sorted(r[0] for r in s.select("_n").distinct().collect())
+    own = docs.select(doc, split(F.col(body)).alias("_w"))
+    runs = F.array_distinct(F.concat(*[text.ngrams(F.col("_w"), n) for n in lengths])) if lengths else F.expr("cast(array() as array<string>)")
+    met = own.select(doc, F.explode(runs).alias("_k")).join(s.select(span_id, F.array_join(F.slice("_w", F.lit(1), F.col("_n")), " ").alias("_k")), "_k").select(doc, span_id).distinct()
+    padded = lambda df, key, name: df.select(key, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")).alias(name))
+    both = met.join(padded(s, span_id, "_s"), span_id).join(padded(own, doc, "_d"), doc)
+    return both.where(F.contains("_d", F.col("_s"))).select(doc, span_id).distinct()

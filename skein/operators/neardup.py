@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..runtime import cut
+from ..runtime import cut, drop_cut
 from ..settings import DEFAULTS
 from .components import connected_components
 
@@ -19,18 +19,36 @@ def jaccard_pairs(docs: DataFrame, key: str = "doc_id", body: str = "text", thre
     only: two sets that reach the threshold share one of those. The hot words
     of a corpus are never joined on.
     """
-    sets = docs.select(F.col(key).alias("id"), F.array_sort(text.tokens(F.col(body))).alias("t")).where(F.size("t") > 0)
-    members = cut(sets.withColumn("class", F.sha2(F.array_join("t", " "), 256)))
-    classes = cut(members.groupBy("class").agg(F.min("id").alias("id"), F.first("t").alias("t")))
-    terms = classes.select("id", F.explode("t").alias("w"), F.size("t").alias("n"))
-    df = terms.groupBy("w").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("id").orderBy("df", "w")
-    prefix = terms.join(df, "w").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    x, y = prefix.select("w", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("w", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = x.join(y, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    sets = docs.select(F.col(key).alias("id"), F.array_sort(F.transform(text.tokens(F.col(body)), lambda w: F.xxhash64(w))).alias("t")).where(F.size("t") > 0)
+    classes = cut(sets.groupBy(F.sha2(F.array_join(F.col("t").cast("array<string>"), " "), 256).alias("class")).agg(F.min("id").alias("id"), F.first("t").alias("t")))
+    rare = _rarest(classes.select("id", F.col("t").alias("g")), lambda n: n - F.ceil(F.lit(threshold) * n - 1e-9) + 1)
+    x = rare.select("w", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"))
+    y = rare.select("w", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    # what two sets can still share after their first common token, and have to
+    most, need = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")), F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb"))
+    near = x.join(y, "w").where((F.col("a") < F.col("b")) & (most >= need - 1e-9)).select("a", "b").distinct()
     ta, tb = classes.select(F.col("id").alias("a"), F.col("t").alias("ta")), classes.select(F.col("id").alias("b"), F.col("t").alias("tb"))
-    scored = near.join(ta, "a").join(tb, "b").select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    return scored
+    shared = F.size(F.array_intersect("ta", "tb"))
+    scored = near.join(ta, "a").join(tb, "b").select("a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("jaccard"))
+    return scored.where(F.col("jaccard") >= threshold)
+
+
+#: Different tokens whose frequencies are broadcast at most (some 32 MB).
+MOST_TOKENS = 2_000_000
+
+
+def _rarest(sets: DataFrame, how_many) -> DataFrame:
+    """``id, n, place, w``: of each set (id, g) the rarest elements, ``how_many`` of its size, from the rarest on.
+
+    Frequencies are counted first; they are broadcast if their number allows,
+    so that an element of every set isn't one key of a join.
+    """
+    grams = sets.select("id", F.explode("g").alias("w"))
+    df = cut(grams.groupBy("w").agg(F.count("*").alias("df")))
+    ranked = grams.join(F.broadcast(df) if df.count() <= MOST_TOKENS else df, "w").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("r"))
+    n = F.size("r")
+    some = ranked.select("id", n.alias("n"), F.posexplode(F.slice("r", F.lit(1), F.greatest(how_many(n).cast("int"), F.lit(0)))).alias("place", "x"))
+    return some.select("id", "n", (F.col("place") + 1).alias("place"), F.col("x.w").alias("w"))
 
 
 def jaccard_classes(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
@@ -41,27 +59,38 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", body: str = "text") ->
     return rep.join(first.where("class is not null"), "class", "left").select("id", F.coalesce("rep", "id").alias("rep"))
 
 
-def leaders(docs: DataFrame, key: str = "doc_id", body: str = "text", threshold: float = DEFAULTS.near_dup, most_rounds: int = 200) -> DataFrame:
-    """``id, leader``: leader clustering in key order. A document joins the earliest leader within the threshold, else leads.
+def standing(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """``id, stays`` of all ends of pairs (a comes before b): one stays if no earlier neighbour of it does.
 
-    That is the first independent set of the similarity graph in key order:
-    in each round, whoever has no undecided and no leading earlier neighbour
-    becomes a leader, and neighbours of leaders don't.
+    In each round, whoever has no undecided and no staying earlier neighbour
+    stays, and neighbours of those don't. Raises after ``most_rounds``; the
+    rounds are those of the longest chain of such decisions.
     """
-    pairs = cut(jaccard_pairs(docs, key, body, threshold).select("a", "b"))
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     state = cut(nodes.withColumn("s", F.lit(0)))
     for _ in range(most_rounds):
         if state.where("s = 0").isEmpty():
-            break
-        earlier = pairs.join(state.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("id")).agg(F.max(F.when(F.col("sa") == 1, 1).otherwise(0)).alias("led"), F.max(F.when(F.col("sa") == 0, 1).otherwise(0)).alias("open"))
+            return state.select("id", (F.col("s") == 1).alias("stays"))
+        earlier = pairs.join(state.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").groupBy(F.col("b").alias("id"))
+        earlier = earlier.agg(F.max(F.when(F.col("sa") == 1, 1).otherwise(0)).alias("led"), F.max(F.when(F.col("sa") == 0, 1).otherwise(0)).alias("open"))
         new = F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("led", F.lit(0)) == 1, 2).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0)
-        state = cut(state.join(earlier, "id", "left").select("id", new.alias("s")))
-    else:
-        raise RuntimeError(f"no end after {most_rounds} rounds")
-    lead = state.where("s = 1").select(F.col("id").alias("a"))
+        after = cut(state.join(earlier, "id", "left").select("id", new.alias("s")))
+        drop_cut(state)
+        state = after
+    raise RuntimeError(f"no end after {most_rounds} rounds")
+
+
+def leaders(docs: DataFrame, key: str = "doc_id", body: str = "text", threshold: float = DEFAULTS.near_dup, most_rounds: int = 200) -> DataFrame:
+    """``id, leader``: leader clustering in key order. A document joins the earliest leader within the threshold, else leads.
+
+    That is the first independent set of the similarity graph in key order
+    (:func:`standing`).
+    """
+    pairs = cut(jaccard_pairs(docs, key, body, threshold).select("a", "b"))
+    state = standing(pairs, most_rounds)
+    lead = state.where("stays").select(F.col("id").alias("a"))
     of = pairs.join(lead, "a").groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("l"))
-    is_lead = state.where("s = 1").select(F.col("id").alias("rep"), F.lit(True).alias("leads"))
+    is_lead = state.where("stays").select(F.col("id").alias("rep"), F.lit(True).alias("leads"))
     return jaccard_classes(docs, key, body).join(of, "rep", "left").join(is_lead, "rep", "left").select("id", F.when(F.coalesce("leads", F.lit(False)), F.col("rep")).otherwise(F.coalesce("l", "rep")).alias("leader"))
 
 
@@ -80,16 +109,20 @@ def story_pairs(records: DataFrame, shared: int = DEFAULTS.story_shared, overlap
     bigrams share one of those.
     """
     r = cut(records.select("id", "day", "ent", text.bigrams(F.col("text")).alias("g")).where(F.size("g") >= shared))
-    grams = r.select("id", "day", "ent", F.size("g").alias("n"), F.explode("g").alias("w"))
-    df = grams.groupBy("day", "w").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    p = grams.join(df, ["day", "w"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - shared + 1)
-    x, y = p.select("day", "w", F.col("id").alias("a"), F.col("ent").alias("ea")), p.select("day", "w", F.col("id").alias("b"), F.col("ent").alias("eb"))
+    return _alike(r, "day", "day", shared, overlap).select("a", "b", "n_shared")
+
+
+def _alike(r: DataFrame, day_a, day_b, shared: int, overlap: float) -> DataFrame:
+    """``a, b, n_shared`` of records (id, day, ent, g) whose days meet and whose bigrams and entities agree; the days as columns or expressions."""
+    # two that share so many bigrams share one of the rarest of each, left over when all but so many are gone
+    rare = _rarest(r.select("id", "g"), lambda n: n - shared + 1).join(r.select("id", "day", "ent"), "id")
+    side = lambda day, k: rare.select("w", (F.col(day) if isinstance(day, str) else day).alias("d"), F.col("id").alias(k), F.col("ent").alias(f"e{k}"))
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    near = x.join(y, ["day", "w"]).where((F.col("a") < F.col("b")) & (blank("ea") | blank("eb") | (F.col("ea") == F.col("eb")))).select("a", "b").distinct()
+    once = F.col("a") < F.col("b") if isinstance(day_a, str) else F.col("a") != F.col("b")
+    near = side(day_a, "a").join(side(day_b, "b"), ["d", "w"]).where(once & (blank("ea") | blank("eb") | (F.col("ea") == F.col("eb")))).select("a", "b").distinct()
     got = near.join(r.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(r.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b")
     got = got.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("n_shared"), F.least(F.size("ga"), F.size("gb")).alias("smaller"))
-    return got.where((F.col("n_shared") >= shared) & (F.col("n_shared") >= F.lit(overlap) * F.col("smaller") - 1e-9)).select("a", "b", "n_shared")
+    return got.where((F.col("n_shared") >= shared) & (F.col("n_shared") >= F.lit(overlap) * F.col("smaller") - 1e-9))
 
 
 def story_components(records: DataFrame, **of_pairs) -> DataFrame:
@@ -109,31 +142,18 @@ def collapse_stories(records: DataFrame, adjacent: float = DEFAULTS.adjacent_ove
 
     After the days' own stories, a story may go on the next day: a root of the
     day before absorbs a root of this day (not one that was absorbed itself,
-    so that daily templates don't chain). Roots of two days are joined by
-    bigram like pairs; which root of the day before wins is the earliest, as
-    an aggregate.
+    so that daily templates don't chain: :func:`standing`). Roots of two days
+    are joined by their rarest bigrams like pairs; which root of the day
+    before wins is the earliest, as an aggregate.
     """
     r = cut(records.where(F.coalesce("text", F.lit("")) != ""))
     own = cut(story_components(r, shared=shared, **of_pairs))
-    roots = r.join(own.select(F.col("root").alias("id")).distinct(), "id").select("id", "day", "ent", "text", text.bigrams(F.col("text")).alias("g"))
-    grams = roots.select("id", "day", "ent", F.size("g").alias("n"), F.explode("g").alias("w"))
-    x = grams.select(F.date_add(F.col("day").cast("date"), 1).alias("d"), "w", F.col("id").alias("a"), F.col("ent").alias("ea"), F.col("n").alias("na"))
-    y = grams.select(F.col("day").cast("date").alias("d"), "w", F.col("id").alias("b"), F.col("ent").alias("eb"), F.col("n").alias("nb"))
-    blank = lambda c: F.coalesce(c, F.lit("")) == ""
-    both = x.join(y, ["d", "w"]).where(blank("ea") | blank("eb") | (F.col("ea") == F.col("eb"))).groupBy("a", "b").agg(F.count("*").alias("n"), F.first(F.least("na", "nb")).alias("m"), F.first("d").alias("d"))
-    links = both.where((F.col("n") >= shared) & (F.col("n") >= F.lit(adjacent) * F.col("m") - 1e-9))
+    roots = cut(r.join(own.select(F.col("root").alias("id")).distinct(), "id").select("id", F.col("day").cast("date").alias("day"), "ent", "text", text.bigrams(F.col("text")).alias("g")).where(F.size("g") >= shared))
+    links = cut(_alike(roots, F.date_add("day", 1), "day", shared, adjacent).select("a", "b"))
     order = roots.select(F.col("id").alias("a"), F.struct("day", "text", "id").alias("o"))
-    links = links.join(order, "a")
-    # a day's roots absorb the next day's; one that was absorbed isn't a root of its day any more: days in order
-    taken = cut(links.select("a", "b", "d", "o"))
-    absorbed = None
-    for d in [x[0] for x in taken.select("d").distinct().orderBy("d").collect()]:
-        today = taken.where(F.col("d") == F.lit(d))
-        if absorbed is not None:
-            today = today.join(absorbed.select(F.col("b").alias("a")), "a", "left_anti")
-        won = today.groupBy("b").agg(F.min_by("a", "o").alias("a"))
-        absorbed = cut(won if absorbed is None else absorbed.unionByName(won))
-    final = own if absorbed is None else own.join(absorbed.select(F.col("b").alias("root"), "a"), "root", "left").select("id", F.coalesce("a", "root").alias("root"))
+    left = standing(links).where("stays").select(F.col("id").alias("a"))
+    absorbed = links.join(left, "a").join(order, "a").groupBy("b").agg(F.min_by("a", "o").alias("a"))
+    final = own.join(absorbed.select(F.col("b").alias("root"), "a"), "root", "left").select("id", F.coalesce("a", "root").alias("root"))
     rep = r.select(F.col("id").alias("root"), F.col("text").alias("rep"), F.col("day").alias("rep_day"))
     ents = F.array_sort(F.collect_set(F.when(F.coalesce("ent", F.lit("")) != "", F.col("ent"))))
     return r.join(final, "id").groupBy("root").agg(ents.alias("ents"), F.count("*").alias("n_src")).join(rep, "root").select("root", F.col("rep").alias("text"), F.col("rep_day").alias("day"), "ents", "n_src")
@@ -142,13 +162,23 @@ def collapse_stories(records: DataFrame, adjacent: float = DEFAULTS.adjacent_ove
 def diverse(items: DataFrame, group: str, order: list[str], body: str, most: int = 8, overlap: float = DEFAULTS.diverse_overlap) -> DataFrame:
     """Per group the first items in order that overlap with none kept before, at most ``most``.
 
-    Greedy, so each group is one fold; the fold's state is the few kept items.
-    A group is a display list (a day's or theme's heads), which is one row here.
+    Greedy in ``most`` rounds: the first of each group's items is kept, and
+    what overlaps with it goes. No group is put into one row.
     """
-    spec = [F.col(c) for c in order]
-    rows = items.withColumn("_g", text.bigrams(F.col(body))).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*spec)))
-    lists = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_r", "_g"))).alias("all"))
-    empty = F.expr("cast(array() as array<struct<_r:int,_g:array<string>>>)")
-    step = lambda kept, x: F.when((F.size(kept) >= most) | F.exists(kept, lambda k: text.overlap(k["_g"], x["_g"]) >= overlap), kept).otherwise(F.concat(kept, F.array(x)))
-    kept = lists.select(group, F.explode(F.aggregate("all", empty, step)).alias("k")).select(group, F.col("k._r").alias("_r"))
-    return rows.join(kept, [group, "_r"], "left_semi").drop("_g", "_r")
+    bare = items.columns
+    first = F.struct(*[F.col(c) for c in order], "_i")
+    left = cut(items.withColumn("_g", text.bigrams(F.col(body))).withColumn("_i", F.monotonically_increasing_id()))
+    kept, whole = [], left
+    for _ in range(most):
+        best = cut(left.groupBy(group).agg(F.min_by(F.struct("_i", "_g"), first).alias("_k")))
+        if best.isEmpty():
+            break
+        kept.append(best.select(F.col("_k._i").alias("_i")))
+        met = left.join(best, group).where((F.col("_i") != F.col("_k._i")) & (text.overlap(F.col("_g"), F.col("_k._g")) < overlap))
+        left = cut(met.drop("_k"))
+    if not kept:
+        return items.limit(0)
+    ids = kept[0]
+    for k in kept[1:]:
+        ids = ids.unionByName(k)
+    return whole.join(ids, "_i", "left_semi").select(*bare)

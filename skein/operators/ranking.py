@@ -1,52 +1,89 @@
-"""Weighted PageRank by power iteration over DataFrames."""
+"""Weighted PageRank by power iteration: over DataFrames, or in one task if the graph is small."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Observation
 
-from ..runtime import cut
+from ..runtime import cut, drop_cut
 from ..settings import DEFAULTS
 
+#: Edges up to which one task solves the graph in memory (some 100 MB).
+SMALL = 2_000_000
+
 
-def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = DEFAULTS.alpha, tolerance: float = DEFAULTS.tolerance, most: int = DEFAULTS.most_iterations, fixed: int | None = None, every: int = 1) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame | None = None, alpha: float = DEFAULTS.alpha, tolerance: float = DEFAULTS.tolerance, most: int = DEFAULTS.most_iterations, small: int = SMALL) -> DataFrame:
     """``node, score`` over ``src, dst, weight``.
 
     Teleport and dangling mass go to the nodes of ``seeds`` (column ``node``)
     that are in the graph, evenly; without any of them in the graph in
     proportion to weighted in-degree; without ``seeds`` to all nodes evenly.
-    Stops when the L1 change is below N times ``tolerance``, or after ``fixed``
-    rounds if given. Only that one number reaches the driver in a round; the
-    lineage is cut every few rounds by a checkpoint.
+    Stops when the L1 change is below N times ``tolerance``, or after ``most``
+    rounds. A graph of at most ``small`` edges, which are counted, is one
+    task's; a larger one takes a job for each round, which writes the scores,
+    observes the change and the mass to give back on the way, and deletes the
+    round before it.
     """
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    inward = edges.groupBy(F.col("dst").alias("node")).agg(F.greatest(F.sum("weight"), F.lit(1e-9)).alias("w_in"))
-    if seeds is None:
-        weight = nodes.withColumn("t", F.lit(1.0))
-    else:
-        held = nodes.join(seeds.select("node").distinct(), "node", "left_semi")
-        if held.isEmpty():
-            weight = nodes.join(inward, "node", "left").select("node", F.coalesce("w_in", F.lit(1e-9)).alias("t"))
-        else:
-            weight = nodes.join(held.withColumn("t", F.lit(1.0)), "node", "left").select("node", F.coalesce("t", F.lit(0.0)).alias("t"))
+    edges = cut(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    if edges.count() <= small:
+        return _in_one_task(edges, seeds, alpha, tolerance, most)
     out = edges.groupBy("src").agg(F.sum("weight").alias("w_out"))
+    into = edges.groupBy("dst").agg(F.sum("weight").alias("w_in"))
     graph = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("w_out")).alias("p")))
-    weight = cut(weight.join(out.select(F.col("src").alias("node"), F.lit(True).alias("sends")), "node", "left").select("node", "t", F.coalesce("sends", F.lit(False)).alias("sends")))
-    n, total = weight.agg(F.count("*"), F.sum("t")).first()
-    if not n:
-        return nodes.withColumn("score", F.lit(0.0))
-    base = weight.select("node", "sends", (F.col("t") / total).alias("t"))
-    ranks = base.withColumn("score", F.lit(1.0 / n))
-    for i in range(fixed or most):
-        lost = ranks.agg(F.sum(F.when(~F.col("sends"), F.col("score")).otherwise(0.0))).first()[0]
-        sent = ranks.select("node", "score").join(graph, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("got"))
-        now = base.join(sent, F.col("node") == F.col("dst"), "left").select("node", "sends", "t", (alpha * (F.coalesce("got", F.lit(0.0)) + lost * F.col("t")) + (1 - alpha) * F.col("t")).alias("new"))
-        if fixed is None:
-            now = cut(now.join(ranks.select("node", F.col("score").alias("old")), "node"))
-            change = now.agg(F.sum(F.abs(F.col("new") - F.col("old")))).first()[0]
-        else:
-            now, change = cut(now) if i % every == every - 1 else now, None
-        ranks = now.select("node", "sends", "t", F.col("new").alias("score"))
-        if change is not None and change < n * tolerance:
+    base = out.withColumnRenamed("src", "node").join(into.withColumnRenamed("dst", "node"), "node", "full_outer").select("node", F.col("w_out").isNotNull().alias("sends"), F.greatest(F.coalesce("w_in", F.lit(0.0)), F.lit(1e-9)).alias("w_in"))
+    if seeds is None:
+        base = base.withColumn("t", F.lit(1.0))
+    else:
+        base = base.join(seeds.select("node", F.lit(1.0).alias("seed")).distinct(), "node", "left")
+        base = base.withColumn("t", F.coalesce("seed", F.lit(0.0))) if not base.where("seed = 1").isEmpty() else base.withColumn("t", F.col("w_in"))
+    base = cut(base.select("node", "sends", "t"))
+    n, total, silent = base.agg(F.count("*"), F.sum("t"), F.count_if(~F.col("sends"))).first()
+    base = base.select("node", "sends", (F.col("t") / total).alias("t"))
+    written, ranks, lost = None, base.withColumn("score", F.lit(1.0 / n)), silent / n
+    for _ in range(most):
+        got = ranks.select("node", "score").join(graph, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("p")).alias("got"))
+        new = alpha * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("t")) + (1 - alpha) * F.col("t")
+        now = ranks.join(got, F.col("node") == F.col("dst"), "left").select("node", "sends", "t", new.alias("score"), F.col("score").alias("old"))
+        seen = Observation()
+        now = cut(now.observe(seen, F.sum(F.abs(F.col("score") - F.col("old"))).alias("change"), F.sum(F.when(F.col("sends"), 0.0).otherwise(F.col("score"))).alias("lost")))
+        if written is not None:
+            drop_cut(written)
+        written, ranks, lost = now, now.drop("old"), seen.get["lost"]
+        if seen.get["change"] < n * tolerance:
             break
     return ranks.select("node", "score")
+
+
+def _in_one_task(edges: DataFrame, seeds: DataFrame | None, alpha: float, tolerance: float, most: int) -> DataFrame:
+    """The same over flat arrays. Seeds are rows without a ``dst``."""
+    rows = edges if seeds is None else edges.unionByName(seeds.select(F.col("node").alias("src")).distinct(), allowMissingColumns=True)
+    seeded = seeds is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches, schema=pa.schema([("src", pa.string()), ("dst", pa.string()), ("weight", pa.float64())]))
+        link = whole.filter(whole["dst"].is_valid())
+        if not len(link):
+            return
+        both = pa.chunked_array(link["src"].chunks + link["dst"].chunks, pa.string()).combine_chunks().dictionary_encode()
+        names, at = both.dictionary, both.indices.to_numpy()
+        src, dst, w, n = at[: len(link)], at[len(link) :], link["weight"].to_numpy(), len(both.dictionary)
+        w_out = np.bincount(src, w, n)
+        t = np.ones(n)
+        if seeded:
+            t = names.is_valid().to_numpy(zero_copy_only=False) & np.isin(names.to_numpy(zero_copy_only=False), whole.filter(whole["dst"].is_null())["src"].to_numpy())
+            t = t.astype(float) if t.any() else np.maximum(np.bincount(dst, w, n), 1e-9)
+        t /= t.sum()
+        p, silent, score = w / w_out[src], np.bincount(src, minlength=n) == 0, np.full(n, 1 / n)
+        for _ in range(most):
+            new = alpha * (np.bincount(dst, score[src] * p, n) + score[silent].sum() * t) + (1 - alpha) * t
+            change, score = np.abs(new - score).sum(), new
+            if change < n * tolerance:
+                break
+        yield pa.RecordBatch.from_arrays([names, pa.array(score)], ["node", "score"])
+
+    return rows.repartition(1).mapInArrow(run, "node string, score double")

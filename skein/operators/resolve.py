@@ -5,8 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType
 
+from ..functions import text
+from ..runtime import cut
 from ..settings import DEFAULTS, Settings
 from . import temporal
 
@@ -54,9 +57,14 @@ def token_ratio(a: str, b: str, score=ratio) -> float:
     return max(found)
 
 
+def _plain(t: str | None) -> str:
+    """Letters and digits of any script in lower case, single spaces between words."""
+    return " ".join("".join(c if c.isalnum() else " " for c in (t or "")).lower().split())
+
+
 def weighted_ratio(a: str | None, b: str | None) -> float:
     """The weighted blend of the publicly documented WRatio: whole, token and, for unlike lengths, partial similarity; 0 for empty texts."""
-    a, b = (" ".join("".join(c if c.isalnum() else " " for c in (t or "")).lower().split()) for t in (a, b))
+    a, b = _plain(a), _plain(b)
     if not a or not b:
         return 0.0
     longer = max(len(a), len(b)) / min(len(a), len(b))
@@ -72,24 +80,63 @@ def wratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def candidates(surfaces: DataFrame, issuers: DataFrame, floor: float = DEFAULTS.block_min, top: int = 5, gram: int = 2) -> DataFrame:
-    """``surface, target, score`` (0 to 1) of the best fuzzy matches by name at the floor or above.
+_BAG = T.ArrayType(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bag", T.ArrayType(T.StringType())), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("n", T.IntegerType())]))
+
+
+@F.pandas_udf(_BAG)
+def _bags(s: pd.Series) -> pd.Series:
+    """What :func:`weighted_ratio` sees of a text: its characters (each with its number), once as it is and once with each word once, and its words."""
+
+    def of(t: str | None) -> list[dict]:
+        words = _plain(t).split()
+        out = []
+        for kind, held in enumerate((words, sorted(set(words)))):
+            seen: dict[str, int] = {}
+            bag = []
+            for c in " ".join(held):
+                seen[c] = seen.get(c, 0) + 1
+                bag.append(f"{c}{seen[c]}")
+            out.append({"kind": kind, "bag": bag, "words": held if kind else [], "n": len(bag)})
+        return out if words else []
 
-    Surfaces and names meet where they share a pair of letters, instead of all
-    with all; any two texts that score at the floor share one.
+    return s.map(of)
+
+
+def candidates(surfaces: DataFrame, issuers: DataFrame, floor: float = DEFAULTS.block_min, top: int = 5) -> DataFrame:
+    """``surface, target, score`` (0 to 1) of the best fuzzy matches by name at the floor or above, in any script; none is lost.
+
+    A blend that reaches the floor comes from two texts (each word once or as
+    they are) of which the shorter one has a share of its characters in the
+    other, or from a shared word. So the texts meet at shared words, and at
+    the rarest characters of the shorter one: more than it can do without.
+    The bags are compared whole before anything is scored.
     """
-    from ..functions.text import bigrams
     from .themes import top_by
 
-    grams = lambda c: F.when(F.size(bigrams(c)) > 0, bigrams(c)).otherwise(F.array(F.lower(c)))
-    s = surfaces.select("surface", F.explode(grams(F.col("surface"))).alias("g"))
-    n = issuers.select(F.col("issuer_id").alias("target"), "name", F.explode(grams(F.col("name"))).alias("g"))
-    # fewer than a third of the shorter side's pairs in common can't reach the floor
-    size = lambda df, k: df.groupBy(k).agg(F.count("*").alias(f"n_{k}"))
-    shared = s.join(n, "g").groupBy("surface", "target", "name").agg(F.count("*").alias("c")).join(size(s, "surface"), "surface").join(size(n, "target"), "target")
-    met = shared.where(F.col("c") * 3 >= F.least("n_surface", "n_target")).select("surface", "target", "name")
-    scored = met.withColumn("score", wratio("surface", "name")).where(F.col("score") >= floor)
-    return top_by(scored.withColumn("score", F.col("score") / 100), ["surface"], [F.desc("score"), F.asc("target")], top).drop("name")
+    part = floor / 0.9
+    share = min(floor / 100, part / (200 - part)) if part < 200 else 1.0
+    side = lambda df, key, name: cut(df.select(F.col(key).alias("key"), F.col(name).alias("name")).distinct().withColumn("x", F.explode(_bags("name"))).select("key", "name", "x.*"))
+    s, t = side(surfaces, "surface", "surface"), side(issuers, "issuer_id", "name")
+    chars = lambda df: df.select("key", "name", "kind", "n", F.explode("bag").alias("c"))
+    df = chars(s).unionByName(chars(t)).groupBy("kind", "c").agg(F.count("*").alias("df"))
+    # fewer different characters than an alphabet has, times how often one occurs in a name
+    rare = chars(s).withColumn("of", F.lit("s")).unionByName(chars(t).withColumn("of", F.lit("t"))).join(df, ["kind", "c"])
+    rare = rare.groupBy("of", "key", "name", "kind", "n").agg(F.sort_array(F.collect_list(F.struct("df", "c"))).alias("r"))
+    rare = rare.select("of", "key", "name", "kind", "n", F.explode(F.slice("r", 1, (F.col("n") - F.ceil(F.lit(share) * F.col("n") - 1e-9) + 1).cast("int"))).alias("r")).select("of", "key", "name", "kind", "n", F.col("r.c").alias("c"))
+    named = lambda d, p: d.select("kind", "c", *[F.col(c).alias(f"{p}_{c}") for c in ("key", "name", "n")])
+    by_char = lambda x, y, shorter: x.join(y, ["kind", "c"]).where(shorter).select("s_key", "s_name", "t_key", "t_name", "kind")
+    short_s = by_char(named(rare.where("of = 's'"), "s"), named(chars(t), "t"), F.col("s_n") <= F.col("t_n"))
+    short_t = by_char(named(chars(s), "s"), named(rare.where("of = 't'"), "t"), F.col("t_n") < F.col("s_n"))
+    met = short_s.unionByName(short_t).distinct()
+    bag = lambda d, p: d.select("kind", F.col("key").alias(f"{p}_key"), F.col("name").alias(f"{p}_name"), F.col("bag").alias(f"{p}_bag"))
+    met = met.join(bag(s, "s"), ["kind", "s_key", "s_name"]).join(bag(t, "t"), ["kind", "t_key", "t_name"])
+    near = F.size(F.array_intersect("s_bag", "t_bag")) >= F.lit(share) * F.least(F.size("s_bag"), F.size("t_bag")) - 1e-9
+    word = lambda d, p: d.where("kind = 1").select(F.col("key").alias(f"{p}_key"), F.col("name").alias(f"{p}_name"), F.explode("words").alias("w"))
+    by_word = word(s, "s").join(word(t, "t"), "w").select("s_name", "t_key", "t_name")
+    both = met.where(near).select("s_name", "t_key", "t_name").unionByName(by_word).distinct()
+    scored = both.select(F.col("s_name").alias("surface"), F.col("t_key").alias("target"), wratio("s_name", "t_name").alias("score")).where(F.col("score") >= floor)
+    best = scored.groupBy("surface", "target").agg((F.max("score") / 100).alias("score"))
+    return top_by(best, ["surface"], [F.desc("score"), F.asc("target")], top)
 
 
 def resolve(surfaces: DataFrame, aliases: DataFrame, issuers: DataFrame, instant: str, must_not_link: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:
@@ -119,16 +166,23 @@ def resolve(surfaces: DataFrame, aliases: DataFrame, issuers: DataFrame, instant
 
 
 def naive_resolve(surfaces: DataFrame) -> DataFrame:
-    """How many entities there would be if every normalised surface were one."""
-    return surfaces.agg(F.count_distinct(F.lower(F.trim("surface"))).alias("n_entities"))
+    """How many entities there would be if every normalised surface (NFKC, case folded, trimmed) were one."""
+    return surfaces.select(text.norm_nfkc("surface").alias("s")).agg(F.count_distinct("s").alias("n_entities"))
 
 
 def build_claims(extractions: DataFrame, docs: DataFrame, sources: DataFrame, resolution: DataFrame) -> DataFrame:
-    """Claims of exploded extractions: subjects and objects resolved alike, ids from document and place, provisional surfaces kept as such."""
+    """Claims of exploded extractions: subjects and objects resolved alike, ids from document and place, provisional surfaces kept as such.
+
+    A claim whose document, or whose document's source, isn't there is an error.
+    """
     each = extractions.select("doc_id", F.posexplode("claims").alias("i", "c")).select("doc_id", "i", "c.*")
     of = lambda k: resolution.select(F.col("surface").alias(f"_{k}"), F.col("target_id").alias(f"_{k}_id"))
     got = each.join(of("s"), F.col("subject_surface") == F.col("_s"), "left").join(of("o"), F.col("object_text") == F.col("_o"), "left")
     name = lambda known, surface: F.when(F.coalesce(surface, F.lit("")) == "", F.lit("")).otherwise(F.coalesce(known, F.concat(F.lit("provisional::"), surface)))
     got = got.withColumn("subject_id", name(F.col("_s_id"), F.col("subject_surface"))).withColumn("object_id", name(F.col("_o_id"), F.col("object_text")))
-    d = docs.select("doc_id", "source_id", "event_time", "ingest_time", F.col("ingest_time").alias("knowledge_time"))
-    return got.withColumn("claim_id", F.concat("doc_id", F.lit("#c"), "i")).drop("_s", "_s_id", "_o", "_o_id", "i").join(d, "doc_id").join(sources.select("source_id", "credibility"), "source_id")
+    there = F.lit(True)
+    d = docs.select("doc_id", "source_id", "event_time", "ingest_time", F.col("ingest_time").alias("knowledge_time"), there.alias("_d"))
+    got = got.withColumn("claim_id", F.concat("doc_id", F.lit("#c"), "i")).drop("_s", "_s_id", "_o", "_o_id", "i")
+    got = got.join(d, "doc_id", "left").join(sources.select("source_id", "credibility", there.alias("_k")), "source_id", "left")
+    lost = F.when(F.col("_d").isNull(), F.raise_error(F.concat(F.lit("no document "), "doc_id"))).when(F.col("_k").isNull(), F.raise_error(F.concat(F.lit("no source "), "source_id")))
+    return got.withColumn("credibility", F.coalesce(lost.cast("double"), F.col("credibility"))).drop("_d", "_k")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..runtime import cut
 from .themes import cooccurrence
 
 
@@ -18,36 +24,86 @@ def topical(docs: DataFrame, stop: tuple[str, ...] = (), key: str = "doc_id", bo
     return docs.select(F.col(key).alias("doc_id"), F.explode(text.topical_tokens(F.col(body), stop)).alias("term"))
 
 
+#: Pairs that a task holds at once.
+PAIRS = 1 << 22
+
+
+def pair_counts(tokens: DataFrame, key: str = "doc_id", item: str = "term") -> DataFrame:
+    """``a, b, w``: in how many rows two items occur, the items as 64-bit hashes, a < b as numbers.
+
+    For long sets (every kept word of a text): a task numbers its batch's items,
+    counts equal pairs in flat arrays and gives out each of them once, so that
+    much fewer rows meet in the grouped sum. A set's pairs are made in slices,
+    whatever its length.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sets = x.column("s")
+            names, codes = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            ends = np.cumsum(pc.list_value_length(sets).to_numpy(zero_copy_only=False))
+            held, n = [], 0
+            for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                own = np.sort(codes[lo:hi]).astype(np.int64)
+                step = max(1, PAIRS // max(1, len(own)))
+                for i in range(0, len(own), step):
+                    first = np.arange(i, min(i + step, len(own)))
+                    times = len(own) - 1 - first
+                    other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first + 1, times)
+                    held.append(np.repeat(own[first], times) << 32 | own[other])
+                    n += len(other)
+                    if n > PAIRS:
+                        yield counted(names, held)
+                        held, n = [], 0
+            if n:
+                yield counted(names, held)
+
+    def counted(names: np.ndarray, held: list[np.ndarray]) -> pa.RecordBatch:
+        pair, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names[pair >> 32]), pa.array(names[pair & 0xFFFFFFFF]), pa.array(n)], ["a", "b", "n"])
+
+    sets = tokens.groupBy(key).agg(F.collect_set(F.xxhash64(item)).alias("s")).where(F.size("s") > 1).select("s")
+    return sets.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("w"))
+
+
 def emergent(tokens: DataFrame, n_docs: int, df_low: int = 10, df_high: float = 0.02, least: int = 5, top: int = 120) -> tuple[DataFrame, DataFrame]:
-    """(terms, edges): terms of middling frequency by number of partners, and the edges among the best ``top``.
+    """(terms, edges): terms of middling frequency with most partners, and the edges among the best ``top``.
 
-    A term's degree counts partners among all kept terms; then only the top
-    terms stay, edges need ``least`` documents, and degrees are counted anew.
+    Terms are ranked by their partners among all kept terms; of the ``top``
+    that stay, ``degree`` counts the partners among themselves, and edges need
+    ``least`` documents. The pairs of all kept terms serve the ranking alone;
+    edges come from the few rows of the best terms.
     """
-    df = doc_frequency(tokens).where((F.col("df") >= df_low) & (F.col("df") <= df_high * n_docs))
+    df = cut(doc_frequency(tokens).where((F.col("df") >= df_low) & (F.col("df") <= df_high * n_docs)))
     kept = tokens.join(df.select("term"), "term", "left_semi")
-    pairs = cooccurrence(kept, 1, item="term")
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("term")).groupBy("term").agg(F.count("*").alias("degree"))
-    best = df.join(degree, "term", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).orderBy(F.desc("degree"), F.desc("df"), "term").limit(top)
-    a, b = best.select(F.col("term").alias("a")), best.select(F.col("term").alias("b"))
-    edges = pairs.where(F.col("w") >= least).join(F.broadcast(a), "a", "left_semi").join(F.broadcast(b), "b", "left_semi")
-    return best, edges
+    partners = pair_counts(kept).select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("all"))
+    ranked = df.withColumn("h", F.xxhash64("term")).join(partners, "h", "left").withColumn("all", F.coalesce("all", F.lit(0)))
+    best = cut(ranked.orderBy(F.desc("all"), F.desc("df"), "term").limit(top).select("term", "df"))
+    pairs = cut(cooccurrence(tokens.join(F.broadcast(best.select("term")), "term", "left_semi"), 1, item="term"))
+    inside = pairs.select(F.explode(F.array("a", "b")).alias("term")).groupBy("term").agg(F.count("*").alias("degree"))
+    terms = best.join(inside, "term", "left").select("term", "df", F.coalesce("degree", F.lit(0)).alias("degree"))
+    return terms, pairs.where(F.col("w") >= least)
 
 
-def phrase_lift(docs: DataFrame, buckets: DataFrame, least: int = 4, top: int = 30, least_bucket: int = 8, stop: tuple[str, ...] = (), key: str = "doc_id", body: str = "text") -> DataFrame:
-    """Phrases of 2 and 3 words that a bucket (theme) has more often than the corpus: lift times log1p of the count.
+def phrase_lift(docs: DataFrame, themes: Sequence[str], least: int = 4, top: int = 30, least_bucket: int = 8, stop: tuple[str, ...] = (), body: str = "text", tags: str = "themes") -> DataFrame:
+    """Phrases of 2 and 3 words that a theme has more often than the corpus: lift times log1p of the count.
 
-    Document frequencies over the corpus are counted once for all buckets.
+    docs: with an array of each document's themes (``themes.tagged``). Each
+    phrase is made once, and its documents, all and by theme, are counted in
+    one grouped sum. The driver gets the themes' sizes.
     """
-    words = docs.select(F.col(key).alias("doc_id"), text.topical_tokens(F.col(body), stop, distinct=False).alias("w"))
-    grams = words.select("doc_id", F.explode(F.array_distinct(F.concat(text.ngrams(F.col("w"), 2), text.ngrams(F.col("w"), 3)))).alias("phrase"))
-    size = buckets.groupBy("theme").agg(F.count("*").alias("n")).where(F.col("n") >= least_bucket)
-    total = docs.count()
-    here = grams.join(buckets.join(F.broadcast(size), "theme"), "doc_id").groupBy("theme", "phrase").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= least)
-    everywhere = grams.join(here.select("phrase").distinct(), "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("df"))
-    got = here.join(everywhere, "phrase").withColumn("lift", F.round((F.col("c") / F.col("n")) / (F.col("df") / F.lit(total)), 6))
     from .themes import top_by
 
+    held = [F.array_contains(tags, t) for t in themes]
+    total, *sizes = docs.agg(F.count("*"), *[F.count_if(h) for h in held]).first()
+    words = docs.select(text.topical_tokens(F.col(body), stop, distinct=False).alias("w"), *[h.alias(f"t{i}") for i, h in enumerate(held)])
+    grams = words.select(F.explode(F.array_distinct(F.concat(text.ngrams(F.col("w"), 2), text.ngrams(F.col("w"), 3)))).alias("phrase"), *words.columns[1:])
+    counts = grams.groupBy("phrase").agg(F.count("*").alias("df"), *[F.count_if(F.col(f"t{i}")).alias(f"c{i}") for i in range(len(held))]).where(F.col("df") >= least)
+    one = lambda i, t: F.struct(F.lit(t).alias("theme"), F.col(f"c{i}").alias("c"), F.lit(sizes[i]).cast("long").alias("n"))
+    large = [one(i, t) for i, t in enumerate(themes) if sizes[i] >= least_bucket]
+    each = F.array(*large) if large else F.expr("cast(array() as array<struct<theme:string,c:bigint,n:bigint>>)")
+    got = counts.select("phrase", "df", F.explode(F.filter(each, lambda x: x["c"] >= least)).alias("x")).select("phrase", "df", "x.*")
+    got = got.withColumn("lift", F.round((F.col("c") / F.col("n")) / (F.col("df") / F.lit(total)), 6))
     got = got.withColumn("score", F.round(F.col("lift") * F.log1p("c"), 6))
     return top_by(got, ["theme"], [F.desc("score"), F.asc("phrase")], top).select("theme", "phrase", "c", "df", "lift", "score")
 

@@ -12,17 +12,16 @@ from ..settings import DEFAULTS
 BLOCKS = "▁▂▃▄▅▆▇█"
 
 
-def tag(docs: DataFrame, themes: dict[str, list[str]], key: str = "doc_id", body: str = "text") -> DataFrame:
-    """``doc_id, theme``: every theme of which a keyword occurs. One pass over the texts, one expression for each theme."""
-    hit = [F.when(_any([text.keyword_hit(F.col(body), k) for k in kws]), F.lit(t)) for t, kws in themes.items()]
-    return docs.select(F.col(key).alias("doc_id"), F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull())).alias("theme"))
+def tagged(docs: DataFrame, themes: dict[str, list[str]], body: str = "text", out: str = "themes") -> DataFrame:
+    """``docs`` with an array of every theme of which a keyword occurs: one pass over the texts, one pattern for each theme."""
+    hit = [F.when(text.any_keyword(F.col(body), kws), F.lit(t)) for t, kws in themes.items()]
+    return docs.withColumn(out, F.filter(F.array(*hit), lambda x: x.isNotNull()))
 
 
-def _any(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out | c
-    return out
+def tag(docs: DataFrame, themes: dict[str, list[str]], key: str = "doc_id", body: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, theme``, a row for each theme of a document, and the columns to ``carry`` along, so that no join brings them back."""
+    got = tagged(docs.select(F.col(key).alias("doc_id"), *{body: None, **dict.fromkeys(carry)}), themes, body)
+    return got.select("doc_id", F.explode("themes").alias("theme"), *carry)
 
 
 def cooccurrence(tags: DataFrame, least: int = 1, key: str = "doc_id", item: str = "theme") -> DataFrame:
@@ -40,14 +39,16 @@ def lift(edges: DataFrame, frequency: DataFrame, total: Column, weak: float = 1.
 
 
 def anchors(tags: DataFrame, entities: DataFrame, least: int = 3, top: int = 8, key: str = "doc_id") -> DataFrame:
-    """Per theme the entities that stand out: lift times log1p of the count, count at least ``least``, the best ``top``."""
-    both = tags.join(entities, key).groupBy("theme", "ent").agg(F.count("*").alias("c"))
-    n_theme = tags.groupBy("theme").agg(F.count_distinct(key).alias("n_theme"))
-    n_ent = entities.groupBy("ent").agg(F.count("*").alias("n_ent"))
-    n = entities.agg(F.count("*").alias("n"))
-    got = both.where(F.col("c") >= least).join(F.broadcast(n_theme), "theme").join(n_ent, "ent").join(F.broadcast(n))
-    got = got.withColumn("score", F.round((F.col("c") / F.col("n_theme")) / (F.col("n_ent") / F.col("n")) * F.log1p("c"), 6))
-    return top_by(got, ["theme"], [F.desc("score"), F.asc("ent")], top).select("theme", "ent", "c", "score")
+    """Per theme the entities that stand out: ``score``, the theme's part of an entity's rows times log1p of the count.
+
+    Counts are ``least`` or more, the best ``top`` stay (equal scores: by
+    count, then by falling name); macro series and empty names don't count.
+    """
+    named = entities.where((F.coalesce("ent", F.lit("")) != "") & ~F.col("ent").startswith("MACRO:"))
+    both = tags.join(named, key).groupBy("theme", "ent").agg(F.count("*").alias("c"))
+    n_ent = named.groupBy("ent").agg(F.count("*").alias("n_ent"))
+    got = both.where(F.col("c") >= least).join(n_ent, "ent").withColumn("score", F.round(F.col("c") / F.col("n_ent") * F.log1p("c"), 6))
+    return top_by(got, ["theme"], [F.desc("score"), F.desc("c"), F.desc("ent")], top).select("theme", "ent", "c", "score")
 
 
 def top_by(df: DataFrame, group: list[str], order: list, k: int, rank: str | None = None) -> DataFrame:
@@ -70,7 +71,7 @@ def heat(rows: DataFrame, as_of: str, half_life: float = DEFAULTS.half_life_days
 
 
 def surge(buckets: DataFrame, as_of: str, recent: int = 7, base: int = 28, least: int = 5) -> DataFrame:
-    """Rate of the last ``recent`` days over that of the ``base`` days before, each count plus 0.5; null below ``least`` recent ones.
+    """Daily rate of the last ``recent`` days over that of the ``base`` days before, each rate plus 0.5; null below ``least`` recent ones.
 
     Days count back from the latest day with a story up to ``as_of``.
     """
@@ -80,13 +81,14 @@ def surge(buckets: DataFrame, as_of: str, recent: int = 7, base: int = 28, least
         F.coalesce(F.sum(F.when(age < recent, F.col("count"))), F.lit(0)).alias("recent_n"),
         F.coalesce(F.sum(F.when((age >= recent) & (age < recent + base), F.col("count"))), F.lit(0)).alias("base_n"),
     )
-    ratio = ((F.col("recent_n") + 0.5) / recent) / ((F.col("base_n") + 0.5) / base)
-    return got.withColumn("surge", F.when(F.col("recent_n") >= least, F.round(ratio, 6)))
+    ratio = (F.col("recent_n") / recent + 0.5) / (F.col("base_n") / base + 0.5)
+    return got.withColumn("surge", F.when(F.col("recent_n") >= least, F.round(ratio, 2)))
 
 
 def trend(buckets: DataFrame, as_of: str, days: int = 21) -> DataFrame:
-    """``theme, series``: counts of each of the last ``days`` calendar days, zeros filled in, oldest first."""
-    span = buckets.select("theme").distinct().select("theme", F.explode(F.sequence(F.date_sub(F.lit(as_of).cast("date"), days - 1), F.lit(as_of).cast("date"))).alias("day"))
+    """``theme, series``: counts of each of ``days`` calendar days up to the latest day with a story by ``as_of``, zeros filled in, oldest first."""
+    last = buckets.where(F.col("day") <= F.lit(as_of).cast("date")).agg(F.coalesce(F.max("day"), F.lit(as_of).cast("date")).alias("last"))
+    span = buckets.select("theme").distinct().join(F.broadcast(last)).select("theme", F.explode(F.sequence(F.date_sub("last", days - 1), F.col("last"))).alias("day"))
     full = span.join(buckets.select("theme", "day", "count"), ["theme", "day"], "left")
     row = F.struct("day", F.coalesce("count", F.lit(0)).alias("n"))
     return full.groupBy("theme").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["n"]).alias("series"))
@@ -113,7 +115,7 @@ def rescue(edges: DataFrame, weak: DataFrame, nodes: list[str]) -> tuple[list[tu
     on the driver over those few rows. Returns added edges and isolated nodes.
     """
     linked = {x for r in edges.select("a", "b").collect() for x in r}
-    ranked = [tuple(r) for r in weak.where("w >= 2").orderBy(F.desc("w"), "a", "b").select("a", "b", "w").collect()]
+    ranked = [tuple(r) for r in weak.where("w >= 2").orderBy(F.desc("w"), F.desc("a"), F.desc("b")).select("a", "b", "w").collect()]
     added, alone = [], []
     for node in sorted(nodes):
         if node in linked:

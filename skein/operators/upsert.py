@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 
 def upsert_patch(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` with the non-null fields of ``new``; rows and columns of either side stay. One full outer join on the keys."""
@@ -54,8 +56,53 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def append_new(df: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Rows to append to a write-once table: ids that it doesn't have, one row for each."""
-    return df.join(existing.select(key), key, "left_anti").dropDuplicates([key])
+    """Rows to append to a write-once table: ids that it doesn't have, one row for each, without private columns (``_`` first)."""
+    public = df.select(*[c for c in df.columns if not c.startswith("_")])
+    return public.join(existing.select(key), key, "left_anti").dropDuplicates([key])
+
+
+def stamp(nodes: DataFrame, values: DataFrame, key: str, path: list[tuple[DataFrame, str, str]] = ()) -> DataFrame:
+    """``nodes`` with the attributes of ``values`` on the rows that match; others keep theirs.
+
+    path: links (table, from, to) that lead from the key of ``values`` to that
+    of the nodes, such as listing to security to issuer.
+    """
+    for link, start, end in path:
+        values = values.join(link.select(F.col(start).alias(key), F.col(end).alias("_to")), key).drop(key).withColumnRenamed("_to", key)
+    return upsert_patch(nodes, values.dropDuplicates([key]).join(nodes.select(key), key, "left_semi"), [key])
+
+
+def replace(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` in place of all that is at ``path``, and read it. ``df`` may itself come from there: it is written beside it first."""
+    held = cut(df)
+    held.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def would_prune(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """A dry run: ``before, kept, pruned`` of a retention, nothing is written."""
+    n = lambda x, name: x.agg(F.count("*").alias(name))
+    return n(df, "before").join(n(kept, "kept")).withColumn("pruned", F.col("before") - F.col("kept"))
+
+
+def gate_universe(members: DataFrame | None, issuers: DataFrame, securities: DataFrame, listings: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
+    """The four tables restricted to members (``issuer_id``); without a list all of them, as they are."""
+    tables = {"issuers": issuers, "securities": securities, "listings": listings, "aliases": aliases}
+    if members is None:
+        return tables
+    ids = members.select("issuer_id").distinct()
+    kept = securities.join(ids, "issuer_id", "left_semi")
+    return {
+        "issuers": issuers.join(ids, "issuer_id", "left_semi"),
+        "securities": kept,
+        "listings": listings.join(kept.select("security_id").distinct(), "security_id", "left_semi"),
+        "aliases": aliases.join(ids.withColumnRenamed("issuer_id", "target_id"), "target_id", "left_semi"),
+    }
+
+
+def long_enough(bars: DataFrame, least: int = 200, key: str = "series") -> DataFrame:
+    """Only series of at least ``least`` bars: what a backfill writes."""
+    return bars.join(bars.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key), key, "left_semi")
 
 
 def first_by(df: DataFrame, key: str, *order) -> DataFrame:

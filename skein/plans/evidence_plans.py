@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence, ranking, temporal, themes, upsert
+from ..operators import assemble, evidence, ranking, temporal, upsert
 from . import adapter as A
 from .registry import plan
 
@@ -74,8 +74,8 @@ def trusted_share(spark, d):
 @plan(f"WITH {A.CLAIMS} SELECT subject_id, {_SHARE} AS trusted_share, count(*) AS m_raw FROM claims GROUP BY 1 HAVING count(*) >= 3 ORDER BY trusted_share, subject_id LIMIT 5")
 def least_trusted(spark, d):
     c = A.claims(spark, d)
-    got = evidence.trusted_share(c).join(evidence.effective_counts(c), "subject_id").where("m_raw >= 3").select("subject_id", F.round("trusted_share", 9).alias("trusted_share"), "m_raw")
-    return got.orderBy("trusted_share", "subject_id").limit(5)
+    shares = evidence.trusted_share(c).withColumn("trusted_share", F.round("trusted_share", 9))
+    return assemble.least_trusted(shares, evidence.effective_counts(c)).select("subject_id", "trusted_share", "m_raw")
 
 
 _SETTLED = "settled AS (SELECT * FROM claims WHERE NOT starts_with(subject_id, 'provisional::') AND NOT starts_with(object_id, 'provisional::'))"
@@ -96,39 +96,44 @@ def naive_edges(spark, d):
     return evidence.mentions(evidence.settled(A.claims(spark, d)))
 
 
-ROUNDS = 10
+#: Rounds that the SQL unrolls; it takes the first that the stopping rule accepts.
+ROUNDS = 130
 
 
 def _rank_sql(edges: str, seeded: bool, p: str) -> str:
-    """Unrolled power iteration as CTEs."""
+    """Unrolled power iteration as CTEs; ``{p}r`` is the round at which the change is below N * 1e-10."""
     seed = "CASE WHEN node IN (SELECT source_id FROM src WHERE credibility >= 0.92) THEN 1.0 ELSE 0.0 END" if seeded else "1.0"
     out = f"""{p}n0 AS MATERIALIZED (SELECT node, {seed} AS t FROM (SELECT src AS node FROM {edges} UNION SELECT dst FROM {edges})),
-{p}n AS MATERIALIZED (SELECT node, t / (SELECT sum(t) FROM {p}n0) AS t, node IN (SELECT src FROM {edges}) AS sends FROM {p}n0),
-{p}g AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM {edges}),
-{p}r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM {p}n) AS score FROM {p}n)"""
+{p}n AS MATERIALIZED (SELECT node, row_number() OVER (ORDER BY node) AS k, t / (SELECT sum(t) FROM {p}n0) AS t, node IN (SELECT src FROM {edges}) AS sends FROM {p}n0),
+{p}g AS MATERIALIZED (SELECT x.k AS a, y.k AS b, weight / sum(weight) OVER (PARTITION BY src) AS p FROM {edges} JOIN {p}n x ON x.node = src JOIN {p}n y ON y.node = dst),
+{p}r0 AS MATERIALIZED (SELECT k, sends, t, 1.0::DOUBLE / (SELECT count(*) FROM {p}n) AS score, 1.0::DOUBLE AS old FROM {p}n)"""
     for i in range(1, ROUNDS + 1):
         out += f""",
-{p}r{i} AS MATERIALIZED (SELECT n.node, 0.85 * (coalesce(s.got, 0) + (SELECT coalesce(sum(score), 0) FROM {p}r{i - 1} JOIN {p}n USING (node) WHERE NOT sends) * n.t) + 0.15 * n.t AS score
-  FROM {p}n n LEFT JOIN (SELECT dst, sum(score * p) AS got FROM {p}g JOIN {p}r{i - 1} ON node = src GROUP BY dst) s ON n.node = s.dst)"""
-    return out
+{p}r{i} AS MATERIALIZED (SELECT n.k, sends, t, 0.85 * (coalesce(s.got, 0) + (SELECT coalesce(sum(score), 0) FROM {p}r{i - 1} WHERE NOT sends) * t) + 0.15 * t AS score, n.score AS old
+  FROM {p}r{i - 1} n LEFT JOIN (SELECT b, sum(score * p) AS got FROM {p}g JOIN {p}r{i - 1} ON k = a GROUP BY b) s ON n.k = s.b)"""
+    change = " UNION ALL ".join(f"SELECT {i} AS i, sum(abs(score - old)) AS c FROM {p}r{i}" for i in range(1, ROUNDS + 1))
+    taken = " UNION ALL ".join(f"SELECT k, score FROM {p}r{i} WHERE (SELECT i FROM {p}stop) = {i}" for i in range(1, ROUNDS + 1))
+    return out + f""",
+{p}stop AS MATERIALIZED (SELECT min(i) AS i FROM ({change}) WHERE c < (SELECT count(*) FROM {p}n) * 1e-10),
+{p}r AS MATERIALIZED (SELECT node, x.score FROM ({taken}) x JOIN {p}n USING (k))"""
 
 
-@plan(f"WITH {A.CLAIMS}, {_SETTLED}, {_NAIVE}, {_rank_sql('ne', False, 'a')} SELECT node, round(score, 9) AS score FROM ar{ROUNDS}")
+@plan(f"WITH {A.CLAIMS}, {_SETTLED}, {_NAIVE}, {_rank_sql('ne', False, 'a')} SELECT node, round(score, 9) AS score FROM ar")
 def naive_pagerank(spark, d):
-    return ranking.pagerank(evidence.mentions(evidence.settled(A.claims(spark, d))), fixed=ROUNDS).select("node", F.round("score", 9).alias("score"))
+    return ranking.pagerank(evidence.mentions(evidence.settled(A.claims(spark, d)))).select("node", F.round("score", 9).alias("score"))
 
 
 def _seeds(spark, d):
     return A.sources(spark, d).where("is_trust_seed").select(F.col("source_id").alias("node"))
 
 
-@plan(f"WITH {A.CLAIMS}, {_SETTLED}, {_ENDORSE}, {_rank_sql('ce', True, 'b')} SELECT node, round(score, 9) AS score FROM br{ROUNDS}")
+@plan(f"WITH {A.CLAIMS}, {_SETTLED}, {_ENDORSE}, {_rank_sql('ce', True, 'b')} SELECT node, round(score, 9) AS score FROM br")
 def credible_pagerank(spark, d):
-    return ranking.pagerank(evidence.endorsements(evidence.settled(A.claims(spark, d))), seeds=_seeds(spark, d), fixed=ROUNDS).select("node", F.round("score", 9).alias("score"))
+    return ranking.pagerank(evidence.endorsements(evidence.settled(A.claims(spark, d))), seeds=_seeds(spark, d)).select("node", F.round("score", 9).alias("score"))
 
 
 def _importance(spark, d):
-    return evidence.importance(A.claims(spark, d), _seeds(spark, d), fixed=ROUNDS)
+    return evidence.importance(A.claims(spark, d), _seeds(spark, d))
 
 
 def importance_report(spark, d):
@@ -140,29 +145,27 @@ def importance_report(spark, d):
 _IMP = f"""WITH {A.CLAIMS}, {_SETTLED}, {_NAIVE}, {_ENDORSE}, {_rank_sql("ne", False, "a")}, {_rank_sql("ce", True, "b")},
 ents AS (SELECT DISTINCT subject_id AS node FROM settled UNION SELECT DISTINCT object_id FROM settled WHERE object_id <> ''),
 rk AS (SELECT node, a.score AS ppr_naive, b.score AS ppr_credible, CAST(row_number() OVER (ORDER BY a.score DESC, node) AS INTEGER) AS rank_naive,
-  CAST(row_number() OVER (ORDER BY b.score DESC, node) AS INTEGER) AS rank_credible FROM ents JOIN ar{ROUNDS} a USING (node) JOIN br{ROUNDS} b USING (node)),
+  CAST(row_number() OVER (ORDER BY b.score DESC, node) AS INTEGER) AS rank_credible FROM ents JOIN ar a USING (node) JOIN br b USING (node)),
 ev AS (SELECT subject_id, {_EFF}, {_SHARE} AS trusted_share FROM settled GROUP BY 1)"""
 plan(f"{_IMP} SELECT node, round(ppr_naive, 7) AS ppr_naive, round(ppr_credible, 7) AS ppr_credible, m_raw, k_eff, round(trusted_share, 6) AS trusted_share, rank_credible FROM rk LEFT JOIN ev ON node = subject_id WHERE rank_credible <= 20")(importance_report)
 
 
 @plan(f"{_IMP} SELECT node, rank_credible - rank_naive AS shift FROM rk WHERE rank_credible > rank_naive ORDER BY shift DESC, node LIMIT 1")
 def most_demoted(spark, d):
-    return _importance(spark, d).where("shift > 0").orderBy(F.desc("shift"), "node").limit(1).select("node", "shift")
+    return assemble.most_demoted(_importance(spark, d)).select("node", "shift")
 
 
 @plan(f"""WITH {A.CLAIMS} SELECT subject_id, string_agg(DISTINCT source_id, '|' ORDER BY source_id) AS sources, count(DISTINCT source_id) AS n_sources,
   count(*) FILTER (relation = 'supplies') AS n_relations, string_agg(claim_id, '|' ORDER BY claim_id) FILTER (object_id <> '') AS citations FROM claims GROUP BY 1""")
 def entity_detail(spark, d):
-    joined = lambda c: F.array_join(F.array_sort(c), "|")
-    related = F.collect_list(F.when(F.col("object_id") != "", F.col("claim_id")))
-    return A.claims(spark, d).groupBy("subject_id").agg(joined(F.collect_set("source_id")).alias("sources"), F.count_distinct("source_id").alias("n_sources"), F.count_if(F.col("relation") == "supplies").alias("n_relations"), F.when(F.size(related) > 0, joined(related)).alias("citations"))
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, "|"))
+    return assemble.details(A.claims(spark, d)).withColumn("sources", joined("sources")).withColumn("citations", joined("citations"))
 
 
 @plan(f"""WITH {A.CLAIMS}, r AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY claim_id) AS k FROM claims WHERE stance = 'bearish' AND relation <> 'sentiment')
 SELECT subject_id, string_agg(claim_id, '|' ORDER BY claim_id) AS flags FROM r WHERE k <= 3 GROUP BY 1""")
 def flags_by_entity(spark, d):
-    bad = A.claims(spark, d).where("stance = 'bearish' and relation <> 'sentiment'")
-    return themes.top_by(bad, ["subject_id"], [F.asc("claim_id")], 3).groupBy("subject_id").agg(F.array_join(F.array_sort(F.collect_list("claim_id")), "|").alias("flags"))
+    return assemble.flags(A.claims(spark, d)).withColumn("flags", F.array_join("flags", "|"))
 
 
 @plan(f"WITH {A.CLAIMS} SELECT source_id, min(claim_id) AS first_claim FROM claims GROUP BY 1")
@@ -172,14 +175,13 @@ def first_register(spark, d):
 
 @plan(f"WITH {A.CLAIMS} SELECT credibility_class, stance, count(*) AS n, count(DISTINCT subject_id) AS subjects, max(CAST(knowledge_time AS DATE)) AS latest FROM claims JOIN src USING (source_id) GROUP BY ALL")
 def claims_by_class(spark, d):
-    j = A.claims(spark, d).join(A.sources(spark, d).select("source_id", "credibility_class"), "source_id", "left")
+    j = assemble.with_source(A.claims(spark, d), A.sources(spark, d), ["credibility_class"])
     return j.groupBy("credibility_class", "stance").agg(F.count("*").alias("n"), F.count_distinct("subject_id").alias("subjects"), F.max(F.col("knowledge_time").cast("date")).alias("latest"))
 
 
 @plan(f"WITH {A.CLAIMS} SELECT count(*) AS claims, round(avg(CASE WHEN stance = 'neutral' THEN 1.0 ELSE 0.0 END), 6) AS neutral_share, round(avg(CASE WHEN stance = 'bullish' THEN 1.0 ELSE 0.0 END), 6) AS bullish_share FROM claims")
 def soft_metrics(spark, d):
-    share = lambda s: F.round(F.avg(F.when(F.col("stance") == s, 1.0).otherwise(0.0)), 6).alias(f"{s}_share")
-    return A.claims(spark, d).agg(F.count("*").alias("claims"), share("neutral"), share("bullish"))
+    return assemble.stance_shares(A.claims(spark, d))
 
 
 @plan(f"WITH {A.CLAIMS} SELECT count(DISTINCT lower(trim(subject_id))) AS n_entities FROM claims")
@@ -187,3 +189,12 @@ def naive_resolve(spark, d):
     from ..operators import resolve
 
     return resolve.naive_resolve(A.claims(spark, d).select(F.col("subject_id").alias("surface")))
+
+
+@plan(f"""WITH {A.CLAIMS} SELECT s_name AS source_name, coalesce(c_name, p_name) AS ent, count(*) AS n
+FROM claims JOIN supplier ON source_id = 'S' || s_suppkey LEFT JOIN part ON subject_id = 'P' || p_partkey AND p_partkey % 2 = 0 LEFT JOIN customer ON subject_id = 'P' || c_custkey AND c_custkey % 2 = 1 GROUP BY ALL""")
+def claims_with_entity(spark, d):
+    """Claims with their source's name, and the name of the issuer or macro series that they are about."""
+    issuers = A.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("P"), "p_partkey").alias("issuer_id"), F.col("p_name").alias("name"))
+    macros = A.table(spark, d, "customer").where("c_custkey % 2 = 1").select(F.concat(F.lit("P"), "c_custkey").alias("indicator_id"), F.col("c_name").alias("name"))
+    return assemble.with_entity(A.claims(spark, d), A.sources(spark, d), issuers, macros).groupBy("source_name", "ent").agg(F.count("*").alias("n"))

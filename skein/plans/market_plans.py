@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lookup
-from ..operators import comove, market
+from ..operators import assemble, comove, market, upsert
 from . import adapter as A
 from .registry import plan
 
@@ -192,7 +192,7 @@ _C2 = "sum(n * (n - 1) / 2)"
 
 
 @plan(f"""WITH l AS (SELECT label AS x, vec_id % 7 % 3 AS y FROM embeddings), p AS (SELECT {_C2} AS s FROM (SELECT count(*) AS n FROM l GROUP BY x, y)), a AS (SELECT {_C2} AS s FROM (SELECT count(*) AS n FROM l GROUP BY x)), b AS (SELECT {_C2} AS s FROM (SELECT count(*) AS n FROM l GROUP BY y)), t AS (SELECT count(*) * (count(*) - 1) / 2 AS s FROM l)
-SELECT round((p.s - a.s * b.s / t.s) / ((a.s + b.s) / 2 - a.s * b.s / t.s), 6) AS ari FROM p, a, b, t""")
+SELECT round((p.s - a.s * b.s / t.s) / ((a.s + b.s) / 2 - a.s * b.s / t.s), 4) AS ari FROM p, a, b, t""")
 def label_ari(spark, d):
     return comove.rand_index(A.table(spark, d, "embeddings").select(F.col("label").alias("x"), (F.col("vec_id") % 7 % 3).alias("y")))
 
@@ -206,7 +206,43 @@ def cluster_purity(spark, d):
 @plan()
 def flow_clusters(spark, d):
     """Clusters of nations by residual co-movement; linkage is tested on planted blocks."""
-    return comove.flow_clusters(_pairs(spark, d))
+    return comove.flow_clusters(_pairs(spark, d)).select("series", "cluster")
+
+
+@plan()
+def flow_report(spark, d):
+    """Clusters of nations with loadings, purity and the agreement of the halves; its parts are tested apart."""
+    members, clusters = comove.flow_report(_rets(spark, d), _sectors(spark, d), least_names=20, least_full=50, least_half=20)
+    return members.join(clusters.select("cluster", "cut", "silhouette", "ari", "stable", "purity"), "cluster")
+
+
+_COH = f"""{A.MONTHLY}, e AS (SELECT series, max(day) AS e, count(*) AS n FROM mb GROUP BY 1), dm AS (SELECT e FROM e GROUP BY 1 ORDER BY count(*) DESC, e DESC LIMIT 1),
+ch AS (SELECT * FROM (SELECT mb.*, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS k FROM mb JOIN e USING (series) WHERE n >= 60 AND e.e = (SELECT e FROM dm)) WHERE k <= 60),
+rt AS (SELECT series, sector, day, (close - p) / p AS ret FROM (SELECT *, {LAG} AS p FROM ch) WHERE p <> 0),
+ix AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY series) AS n0 FROM rt),
+wn AS (SELECT series, sector, day, ret, 'full' AS win FROM ix UNION ALL SELECT series, sector, day, ret, CASE WHEN i < n0 // 2 THEN 'h1' ELSE 'h2' END FROM ix)"""
+_MU = lambda w, s: f"round(avg(r) FILTER (win = '{w}' AND {s}), 4)"
+_GAP = lambda w: f"round({_MU(w, 'same')} - {_MU(w, 'NOT same')}, 4)"
+
+
+@plan(f"""WITH {_COH}, {_res_sql("wn", "win")}, q AS (SELECT * FROM pc WHERE isfinite(r) AND n >= CASE WHEN win = 'full' THEN 50 ELSE 20 END),
+g AS (SELECT {_MU("full", "same")} AS mu_same, {_MU("full", "NOT same")} AS mu_cross, {_GAP("full")} AS gap_full, {_GAP("h1")} AS gap_h1, {_GAP("h2")} AS gap_h2 FROM q)
+SELECT (SELECT count(DISTINCT series) FROM rt) AS issuers, (SELECT max(day) FROM rt) AS end_day, *, false AS skipped,
+  coalesce(gap_full > 0 AND gap_h1 > 0 AND gap_h2 > 0 AND gap_h1 >= 0.35 * gap_full AND gap_h2 >= 0.35 * gap_full, false) AS stable FROM g""")
+def regime_yardstick(spark, d):
+    """How much closer nations of one region move, whole and by halves."""
+    return comove.yardstick(A.monthly(spark, d).select("series", "day", "close"), _sectors(spark, d), 60, 20, 50, 20)
+
+
+@plan(f"WITH {_RET}, {_res_sql('rt')} SELECT a, b, round(r, 6) AS corr FROM pc WHERE n >= 50 AND isfinite(r) ORDER BY abs(round(r, 6)) DESC, a, b LIMIT 12")
+def strongest_pairs(spark, d):
+    return assemble.strongest(_pairs(spark, d).select("a", "b", F.round("r", 6).alias("corr")))
+
+
+@plan(f"WITH {A.MONTHLY} SELECT series, count(*) AS bars FROM mb GROUP BY 1 HAVING count(*) >= 75")
+def backfill_series(spark, d):
+    """Only series that are long enough are written."""
+    return upsert.long_enough(A.monthly(spark, d), 75).groupBy("series").agg(F.count("*").alias("bars"))
 
 
 _CELLS = "cells AS (SELECT p_partkey, split_part(p_brand, '#', 1) AS sector, p_brand AS industry, CASE WHEN p_size % 9 > 0 THEN p_retailprice END AS cap, CASE WHEN p_partkey % 11 > 0 THEN round((p_partkey % 41 - 20) / 100.0, 4) END AS chg FROM part)"
@@ -227,14 +263,32 @@ def movers(spark, d):
     return market.movers(_cells(spark, d).select("p_partkey", F.col("chg").cast("double").alias("chg")), "p_partkey")
 
 
-_DIV = "CASE " + " ".join(f"WHEN mg BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in lookup.DIVISIONS) + " ELSE 'Other' END"
-
-
-@plan(f"SELECT division, count(*) AS n FROM (SELECT {_DIV} AS division FROM (SELECT CAST(substr(lpad(CAST(p_partkey * 37 % 10000 AS VARCHAR), 4, '0'), 1, 2) AS INTEGER) AS mg FROM part)) GROUP BY 1")
+@plan("""SELECT division, count(*) AS n FROM (SELECT CASE WHEN mg = 0 THEN 'Other' WHEN mg < 10 THEN 'Agriculture' WHEN mg < 15 THEN 'Mining' WHEN mg < 18 THEN 'Construction' WHEN mg < 20 THEN 'Other' WHEN mg < 40 THEN 'Manufacturing'
+  WHEN mg < 50 THEN 'Transport & Utilities' WHEN mg < 52 THEN 'Wholesale' WHEN mg < 60 THEN 'Retail' WHEN mg < 68 THEN 'Finance' WHEN mg < 70 THEN 'Other' WHEN mg < 90 THEN 'Services' ELSE 'Public' END AS division
+  FROM (SELECT p_partkey * 37 % 10000 // 100 AS mg FROM part)) GROUP BY 1""")
 def sic_division(spark, d):
     return A.table(spark, d, "part").select(lookup.division(F.col("p_partkey") * 37 % 10000).alias("division")).groupBy("division").agg(F.count("*").alias("n"))
 
 
+_CODES = ("3571", "3674", "6021", "2834", "1311", "4911", "7372", "6798", "5812", "0100", "9999", "1799", "3999", "62", "x")
+
+
+@plan("""SELECT p_partkey, ['기술','기술','금융','헬스케어','에너지','유틸리티','기술','부동산','경기소비재','필수소비재','기타','산업재','경기소비재','기타','기타'][1 + p_partkey % 15] AS sector_ko,
+  ['Consumer Electronics','Semiconductors','Banks','Drug Manufacturers - General','Oil & Gas','Utilities-Regulated Electric','Software','REIT','Restaurants','Farm Products','Other','Industrials','Consumer Cyclical','Other','Other'][1 + p_partkey % 15] AS industry,
+  ['Technology','Technology','Financial','Healthcare','Energy','Utilities','Technology','Real Estate','Consumer Cyclical','Consumer Defensive','Other','Industrials','Consumer Cyclical','Other','Other'][1 + p_partkey % 15] AS sector FROM part""")
+def sic_sectors(spark, d):
+    """Listed codes, codes of which only the major group is known, and others."""
+    code = F.get(F.array(*[F.lit(c) for c in _CODES]), (F.col("p_partkey") % 15).cast("int"))
+    return A.table(spark, d, "part").select("p_partkey", lookup.sic_sector(code).alias("s")).select("p_partkey", "s.*")
+
+
+@plan("""SELECT p_partkey, ['식료품','전자부품·반도체','금융','교육','기타(99)','기타()'][1 + p_partkey % 6] AS industry, ['필수소비재','기술','금융','기타','기타','기타'][1 + p_partkey % 6] AS sector_ko,
+  ['Consumer Defensive','Technology','Financial','Other','Other','Other'][1 + p_partkey % 6] AS sector FROM part""")
+def ksic_sectors(spark, d):
+    code = F.get(F.array(*[F.lit(c) for c in ("10", "2612", "64", "85", "99", "")]), (F.col("p_partkey") % 6).cast("int"))
+    return A.table(spark, d, "part").select("p_partkey", lookup.ksic_sector(lookup.ksic_name(code)).alias("s")).select("p_partkey", "s.*")
+
+
 @plan("""WITH c AS (SELECT p_partkey, lpad(CAST(p_partkey * 37 % 10000 AS VARCHAR), 4, '0') AS code FROM part)
 SELECT p_partkey, CASE WHEN n1.n_name IS NOT NULL THEN n1.n_name WHEN n2.r_name IS NOT NULL THEN n2.r_name ELSE 'Other' END AS sector FROM c LEFT JOIN nation n1 ON code = lpad(CAST(n_nationkey * 111 AS VARCHAR), 4, '0') LEFT JOIN region n2 ON substr(code, 1, 2) = lpad(CAST(r_regionkey * 7 AS VARCHAR), 2, '0')""")
 def taxonomy_fallback(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lookup, numbers
-from ..operators import gate, resolve, themes, upsert
+from ..operators import assemble, gate, resolve, upsert
 from ..sources import landed
 from . import adapter as A
 from .registry import plan
@@ -49,11 +49,12 @@ def universe_prune(spark, d):
     return n(kept, "kept").join(n(gone, "pruned"), "c_mktsegment", "full_outer").select("c_mktsegment", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("pruned", F.lit(0)).alias("pruned"))
 
 
-@plan("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@plan("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)")
 def append_new(spark, d):
-    """Ids that the write-once table doesn't have."""
-    have = A.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return upsert.append_new(A.table(spark, d, "customer").select("c_custkey"), have, "c_custkey")
+    """Rows that the write-once table doesn't have, once each and without private columns."""
+    have = A.table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    rows = A.table(spark, d, "customer").select("c_custkey", "c_name", F.lit("x").alias("_private"))
+    return upsert.append_new(rows.unionByName(rows), have, "c_custkey")
 
 
 @plan("SELECT count(*) AS n, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS with_orders, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01')) AS with_recent FROM customer")
@@ -66,7 +67,7 @@ def coverage_exists(spark, d):
 def macro_optional_count(spark, d):
     """Hubs with their counts, zeros kept."""
     s = A.table(spark, d, "supplier").where("s_acctbal < 0")
-    return A.table(spark, d, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_name").agg(F.count("s_suppkey").alias("n"))
+    return assemble.optional_count(A.table(spark, d, "nation"), s, "n_nationkey", "s_nationkey").select("n_name", "n")
 
 
 @plan("SELECT count(*) AS claims, count(DISTINCT text) AS texts, round(count(*) / greatest(count(DISTINCT text), 1), 6) AS ratio FROM documents")
@@ -113,31 +114,29 @@ def quality_report(spark, d):
 
 @plan("SELECT s.s_suppkey, string_agg(CAST(p.s_suppkey AS VARCHAR), '|' ORDER BY p.s_suppkey) AS peers FROM supplier s JOIN (SELECT x.s_suppkey AS k, y.s_suppkey, row_number() OVER (PARTITION BY x.s_suppkey ORDER BY y.s_suppkey) AS i FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey <> y.s_suppkey) p ON p.k = s.s_suppkey AND i <= 6 GROUP BY 1")
 def sector_peers(spark, d):
-    """The first six others of the same nation, from each nation's seven smallest keys: no self-join."""
-    s = A.table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    few = themes.top_by(s, ["s_nationkey"], [F.asc("s_suppkey")], 7).groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("few"))
-    peers = F.slice(F.filter("few", lambda k: k != F.col("s_suppkey")), 1, 6)
-    return s.join(few, "s_nationkey").select("s_suppkey", F.array_join(peers.cast("array<string>"), "|").alias("peers")).where("peers <> ''")
+    got = assemble.peers(A.table(spark, d, "supplier"), "s_suppkey", "s_nationkey")
+    return got.select("s_suppkey", F.array_join(F.col("peers").cast("array<string>"), "|").alias("peers"))
 
 
 @plan("SELECT c_custkey, r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0")
 def path_3hop(spark, d):
     c, n, r = (A.table(spark, d, t) for t in ("customer", "nation", "region"))
-    return c.where("c_acctbal > 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "r_name", "n_name")
+    return assemble.chain(c.where("c_acctbal > 0"), (n, "c_nationkey", "n_nationkey"), (r, "n_regionkey", "r_regionkey")).select("c_custkey", "r_name", "n_name")
 
 
 @plan("WITH i AS (SELECT c_mktsegment AS name, max(c_custkey) AS id FROM customer GROUP BY 1) SELECT o_orderkey, id FROM orders JOIN customer ON o_custkey = c_custkey JOIN i ON i.name = c_mktsegment")
 def name_join(spark, d):
     """Display names to ids; of equal names the last row's."""
     c = A.table(spark, d, "customer")
-    ids = upsert.first_by(c.select(F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("id")), "name", F.desc("id"))
-    return A.table(spark, d, "orders").join(c.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).join(ids, F.col("name") == F.col("c_mktsegment")).select("o_orderkey", "id")
+    rows = A.table(spark, d, "orders").join(c.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    return assemble.ids_by_name(rows, c.select("c_mktsegment", "c_custkey"), "c_mktsegment").select("o_orderkey", "id")
 
 
 @plan("SELECT n_name, round(p, 4) AS price FROM nation LEFT JOIN (SELECT s_nationkey, avg(s_acctbal) AS p FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON s_nationkey = n_nationkey")
 def price_attach(spark, d):
     s = A.table(spark, d, "supplier").where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("p"))
-    return A.table(spark, d, "nation").join(s, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("n_name", F.round("p", 4).alias("price"))
+    nations = A.table(spark, d, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
+    return assemble.attach(nations, s, "s_nationkey", ["p"]).select("n_name", F.round("p", 4).alias("price"))
 
 
 _TOP = "t AS (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20)"
@@ -148,14 +147,13 @@ def endpoint_backfill(spark, d):
     """Ends of verified pairs that missed the top list are added to it."""
     c = A.table(spark, d, "customer")
     top = c.orderBy(F.desc("c_acctbal"), "c_custkey").limit(20).select("c_custkey")
-    return top.unionByName(c.where(F.col("c_custkey").isin(1, 2, 3)).select("c_custkey").join(top, "c_custkey", "left_anti"))
+    return assemble.with_ends(top, c, spark.createDataFrame([(1,), (2,), (3,)], "c_custkey long"), "c_custkey")
 
 
 @plan("SELECT * FROM (SELECT c_custkey, 'A' AS market FROM customer WHERE c_nationkey < 12 ORDER BY c_acctbal DESC, c_custkey LIMIT 15) UNION ALL SELECT * FROM (SELECT c_custkey, 'B' FROM customer WHERE c_nationkey >= 12 ORDER BY c_acctbal DESC, c_custkey LIMIT 10)")
 def reserved_slots(spark, d):
-    c = A.table(spark, d, "customer")
-    best = lambda cond, n, m: c.where(cond).orderBy(F.desc("c_acctbal"), "c_custkey").limit(n).select("c_custkey", F.lit(m).alias("market"))
-    return best("c_nationkey < 12", 15, "A").unionByName(best("c_nationkey >= 12", 10, "B"))
+    order = [F.desc("c_acctbal"), F.asc("c_custkey")]
+    return assemble.reserved(A.table(spark, d, "customer"), "c_custkey", [("A", F.col("c_nationkey") < 12, 15, order), ("B", F.col("c_nationkey") >= 12, 10, order)])
 
 
 @plan("SELECT s_suppkey, CASE WHEN v IN ('KS', 'KQ') THEN s_name || '.' || v ELSE s_name END AS symbol FROM (SELECT *, ['KS','KQ','US'][1 + s_suppkey % 3] AS v FROM supplier)")
@@ -191,7 +189,7 @@ def same_group_pairs(spark, d):
     return pairs.select("a", "b", lookup.same_group(F.col("a"), F.col("b"), {"U": ("united", "rom"), "I": ("ir",)}).alias("same"))
 
 
-@plan("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN true WHEN c_custkey % 3 = 1 THEN c_mktsegment = 'BUILDING' ELSE false END AS member FROM customer")
+@plan("SELECT c_custkey, c_custkey % 3 = 0 OR c_mktsegment = 'BUILDING' AS member FROM customer")
 def universe_predicate(spark, d):
     k = F.col("c_custkey")
     who = F.concat(F.when(k % 3 == 0, "DART").when(k % 3 == 1, "CIK").otherwise("X"), k.cast("string"))
@@ -233,11 +231,91 @@ def cluster_loading(spark, d):
 
 @plan()
 def resolve_surfaces(spark, d):
-    """Supplier names with changes resolved against suppliers; the score is tested on listed pairs."""
+    """Surfaces of aliases, and nations under changed names, resolved at an instant; the candidates are tested against all pairs."""
     s = A.table(spark, d, "supplier")
-    issuers = s.select(F.concat(F.lit("S"), "s_suppkey").alias("issuer_id"), F.col("s_name").alias("name"), F.lit("1990-01-01T00:00:00").alias("status_valid_from"), F.lit(None).cast("string").alias("status_valid_to"), F.lit("1990-01-01T00:00:00").alias("knowledge_time"))
     aliases = s.where("s_suppkey % 3 = 0").select(F.concat(F.lit("alias "), "s_suppkey").alias("surface_form"), F.concat(F.lit("S"), "s_suppkey").alias("target_id"), F.lit("1995-01-01T00:00:00").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"))
     surfaces = aliases.select(F.col("surface_form").alias("surface")).unionByName(A.table(spark, d, "nation").select(F.concat(F.lit("Nation of "), "n_name").alias("surface")))
     nations = A.table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("issuer_id"), F.concat(F.lit("nation  of "), F.lower("n_name")).alias("name"))
-    both = issuers.limit(0).unionByName(nations.withColumn("status_valid_from", F.lit("1990-01-01T00:00:00")).withColumn("status_valid_to", F.lit(None).cast("string")).withColumn("knowledge_time", F.lit("1990-01-01T00:00:00")))
-    return resolve.resolve(surfaces, aliases, both, "2000-01-01T00:00:00")
+    issuers = nations.select("*", F.lit("1990-01-01T00:00:00").alias("status_valid_from"), F.lit(None).cast("string").alias("status_valid_to"), F.lit("1990-01-01T00:00:00").alias("knowledge_time"))
+    return resolve.resolve(surfaces, aliases, issuers, "2000-01-01T00:00:00")
+
+
+@plan("""WITH m AS (SELECT c_custkey FROM customer WHERE c_nationkey < 5), s AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM m))
+SELECT 'issuers' AS label, (SELECT count(*) FROM m) AS n UNION ALL SELECT 'securities', (SELECT count(*) FROM s) UNION ALL SELECT 'listings', (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM s)) UNION ALL SELECT 'aliases', (SELECT count(*) FROM m)""")
+def universe_gate(spark, d):
+    """Four related tables restricted to members, counted."""
+    c = A.table(spark, d, "customer")
+    members = c.where("c_nationkey < 5").select(F.col("c_custkey").alias("issuer_id"))
+    issuers, aliases = c.select(F.col("c_custkey").alias("issuer_id")), c.select(F.col("c_custkey").alias("target_id"))
+    securities = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("security_id"), F.col("o_custkey").alias("issuer_id"))
+    return assemble.node_counts(upsert.gate_universe(members, issuers, securities, A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("security_id")), aliases))
+
+
+@plan("""SELECT c_custkey, s_acctbal AS market_cap, CASE WHEN s_suppkey % 3 = 1 THEN 'KS' ELSE 'KQ' END AS venue FROM customer JOIN supplier ON c_custkey = s_suppkey WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') LIMIT 20""")
+def market_cap_rank(spark, d):
+    """Listed companies met with the market's table on padded codes, the largest first."""
+    corps = A.table(spark, d, "customer").select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("stock_code"))
+    market = F.when(F.col("s_suppkey") % 3 == 1, "KOSPI").when(F.col("s_suppkey") % 3 == 2, "kosdaq").otherwise("KOSDAQ GLOBAL")
+    listing = A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("cap"), market.alias("market"))
+    return assemble.by_market_cap(corps, listing, 20).select("c_custkey", "market_cap", "venue")
+
+
+@plan("SELECT c_nationkey, count(DISTINCT c_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def hub_counts(spark, d):
+    links = A.table(spark, d, "orders").join(A.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return assemble.hub_counts(links, "c_nationkey", "c_custkey")
+
+
+@plan("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 30)")
+def among_top(spark, d):
+    """Rows of the thirty first in a ranking."""
+    ranked = A.table(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    return assemble.among_top(A.table(spark, d, "orders"), ranked, "o_custkey", [F.desc("c_acctbal"), F.asc("o_custkey")], 30).select("o_orderkey")
+
+
+@plan("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 2 END AS buy FROM customer")
+def json_fallback(spark, d):
+    """Broken, empty and missing JSON is null and stops nothing."""
+    k = F.col("c_custkey") % 4
+    raw = F.when(k == 0, '{"strong_buy": 1, "buy": 2}').when(k == 1, "broken{").when(k == 2, " ")
+    return A.table(spark, d, "customer").select("c_custkey", lookup.parsed(raw, "strong_buy int, buy int")["buy"].alias("buy"))
+
+
+@plan("SELECT c_custkey, c_name, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) THEN true END AS large FROM customer")
+def stamp_path(spark, d):
+    """An attribute of orders stamped on the customers that they lead to."""
+    values = A.table(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_orderkey").alias("c_custkey"), F.lit(True).alias("large"))
+    return upsert.stamp(A.table(spark, d, "customer").select("c_custkey", "c_name"), values, "c_custkey", [(A.table(spark, d, "orders"), "o_orderkey", "o_custkey")])
+
+
+@plan("SELECT 'ATLANTIS,MU' AS missing")
+def missing_themes(spark, d):
+    return gate.missing(A.table(spark, d, "region"), "r_name", ("MU", "AFRICA", "ASIA", "ATLANTIS")).select(F.array_join("missing", ",").alias("missing"))
+
+
+@plan("SELECT count(*) AS before, count(*) FILTER (NOT (event_type = 'click' AND DATE '2024-01-30' - CAST(ts AS DATE) > 10)) AS kept, count(*) FILTER (event_type = 'click' AND DATE '2024-01-30' - CAST(ts AS DATE) > 10) AS pruned FROM events")
+def retention_dry_run(spark, d):
+    e = A.table(spark, d, "events")
+    return upsert.would_prune(e, upsert.prune_older(e, "ts", "2024-01-30", 10, F.col("event_type") == "click"))
+
+
+@plan("""SELECT 'floor-themes' AS code, '25 < 70' AS msg UNION ALL SELECT 'empty-list', 'cold' UNION ALL SELECT 'retention-themes', 'atlantis' UNION ALL SELECT 'label', '2001-08-03T00:00:00 <> 2001-08-02T00:00:00'
+UNION ALL SELECT 'label-future', count(*) || ' after, last 2002-01-01' FROM customer WHERE c_custkey % 50 = 0 HAVING count(*) > 0 UNION ALL SELECT 'fresh-macro', '4 stale, 1 undated of 25' UNION ALL SELECT 'fresh-price', '55.0 < 60.0'
+UNION ALL SELECT 'mdd', '6 < 8' UNION ALL SELECT 'turnover', m || ' ' || n FROM (SELECT 'kr' AS m, count(*) FILTER (s_suppkey % 50 = 0) AS n FROM supplier UNION ALL SELECT 'us', count(*) FILTER (s_suppkey % 50 > 0) FROM supplier) WHERE n < 5
+UNION ALL SELECT 'rising', 'not made' UNION ALL SELECT 'edge-summary', '1 without' UNION ALL SELECT 'repeated-heads', count(*) || ' lists' FROM customer WHERE c_custkey % 60 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'raw-sector', count(*) || ' issuers' FROM customer WHERE c_custkey % 40 = 0 HAVING count(*) > 0""")
+def artifact_gate(spark, d):
+    """The published tables' invariants over stand-ins of which many fail."""
+    c, n, k = A.table(spark, d, "customer"), A.table(spark, d, "nation"), F.col("c_custkey")
+    head = lambda at, t: F.struct(at.alias("d"), t.alias("t"))
+    heads = F.array(head(F.when(k % 50 == 0, "2002-01-01").otherwise("1998-01-01"), F.lit("a")), head(F.lit("1998-01-02"), F.when(k % 60 == 0, "a").otherwise("b")))
+    graph = c.select(F.col("c_name").alias("name"), F.when(k % 40 == 0, "KSIC 26").otherwise(F.col("c_mktsegment")).alias("sector"), F.col("c_acctbal").alias("mktcap"), heads.alias("heads"))
+    themes = n.select(F.lower("n_name").alias("id"), F.array(head(F.lit("1998-01-01"), F.col("n_name"))).alias("heads"))
+    edges = A.table(spark, d, "region").select(F.col("r_name").alias("a"), F.col("r_name").alias("b"), F.when(F.col("r_regionkey") != 2, F.col("r_name")).alias("summary"))
+    i = F.col("n_nationkey")
+    macros = n.select(F.col("n_name").alias("name"), F.when(i < 4, "2001-07-01").when(i == 4, "unknown").otherwise("2001-08-01").alias("end"), F.when(i < 6, -0.1).alias("mdd"))
+    lists = c.select(F.when(F.col("c_nationkey") % 3 == 0, "us").when(F.col("c_nationkey") % 3 == 1, "kr").otherwise("hot").alias("list"))
+    turnover = A.table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 50 == 0, "kr").otherwise("us").alias("market"))
+    meta = spark.createDataFrame([("2001-08-03T00:00:00", 55.0)], "as_of string, price_fresh_pct double")
+    board = spark.createDataFrame([("2001-08-02T00:00:00",)], "as_of string")
+    return gate.artifact_gate(meta, board, lists, graph, themes, edges, A.table(spark, d, "part"), macros, turnover, None, {"graph": 10, "terms": 1}, "Customer#", ("nation_0", "atlantis"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import comove, terms, themes
+from ..operators import comove, composites, terms, themes
 from . import adapter as A
 from .registry import plan
 
@@ -12,8 +12,7 @@ AS_OF = "2024-01-30"
 
 
 def _tags(spark, d):
-    docs = A.docs(spark, d)
-    return themes.tag(docs, A.THEMES).join(docs.select("doc_id", "day", "stance", "ent"), "doc_id")
+    return themes.tag(A.docs(spark, d), A.THEMES, carry=("day", "stance", "ent"))
 
 
 def _buckets(spark, d):
@@ -52,9 +51,9 @@ def edge_cap(spark, d):
     return themes.cooccurrence(_tags(spark, d)).orderBy(F.desc("w"), "a", "b").limit(5)
 
 
-@plan(f"""WITH {A.TAGS}, te AS (SELECT theme, ent, count(*) AS c FROM tags GROUP BY 1, 2), nt AS (SELECT theme, count(DISTINCT doc_id) AS nt FROM tags GROUP BY 1),
-ne AS (SELECT ent, count(*) AS ne FROM docs GROUP BY 1), s AS (SELECT theme, ent, c, round((c / nt) / (ne / (SELECT count(*) FROM docs)) * ln(1 + c), 6) AS score FROM te JOIN nt USING (theme) JOIN ne USING (ent) WHERE c >= 3)
-SELECT theme, ent, c, score FROM (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY score DESC, ent) AS k FROM s) WHERE k <= 8""")
+@plan(f"""WITH {A.TAGS}, te AS (SELECT theme, ent, count(*) AS c FROM tags GROUP BY 1, 2),
+ne AS (SELECT ent, count(*) AS ne FROM docs GROUP BY 1), s AS (SELECT theme, ent, c, round(c / ne * ln(1 + c), 6) AS score FROM te JOIN ne USING (ent) WHERE c >= 3)
+SELECT theme, ent, c, score FROM (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY score DESC, c DESC, ent DESC) AS k FROM s) WHERE k <= 8""")
 def theme_entities(spark, d):
     docs = A.docs(spark, d)
     return themes.anchors(themes.tag(docs, A.THEMES), docs.select("doc_id", "ent"))
@@ -75,7 +74,7 @@ def heat_decay(spark, d):
 
 _SURGE = f"""{A.BUCKETS}, an AS (SELECT max(day) AS anchor FROM b WHERE day <= DATE '{AS_OF}'),
 sg AS (SELECT theme, CAST(coalesce(sum(count) FILTER (anchor - day < 7), 0) AS BIGINT) AS recent_n, CAST(coalesce(sum(count) FILTER (anchor - day >= 7 AND anchor - day < 35), 0) AS BIGINT) AS base_n FROM b, an WHERE day <= DATE '{AS_OF}' GROUP BY 1),
-su AS (SELECT *, CASE WHEN recent_n >= 5 THEN round(((recent_n + 0.5) / 7) / ((base_n + 0.5) / 28), 6) END AS surge FROM sg)"""
+su AS (SELECT *, CASE WHEN recent_n >= 5 THEN round((recent_n / 7 + 0.5) / (base_n / 28 + 0.5), 2) END AS surge FROM sg)"""
 
 
 @plan(f"WITH {_SURGE} SELECT * FROM su")
@@ -86,12 +85,12 @@ def surge_7_28(spark, d):
 @plan(f"""WITH {_SURGE} SELECT su.theme, surge, recent_n, arg_max(text, (t.day, text)) AS why FROM (SELECT * FROM su WHERE surge >= 1.0 ORDER BY surge DESC, recent_n DESC, theme LIMIT 3) su
 JOIN (SELECT theme, tags.day, text[1:60] AS text FROM tags JOIN documents USING (doc_id)) t ON t.theme = su.theme GROUP BY ALL""")
 def rising(spark, d):
-    heads = _tags(spark, d).join(A.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("text")), "doc_id")
+    heads = themes.tag(A.docs(spark, d), A.THEMES, carry=("day", "text")).withColumn("text", F.substring("text", 1, 60))
     return themes.rising(themes.surge(_buckets(spark, d), AS_OF), heads, least=1.0, top=3).select("theme", "surge", "recent_n", "why")
 
 
 _TREND = f"""{A.BUCKETS}, g AS (SELECT DISTINCT theme, unnest(range(0, 21)) AS i FROM b),
-tr AS (SELECT g.theme, i, coalesce(count, 0) AS n FROM g LEFT JOIN b ON b.theme = g.theme AND b.day = DATE '{AS_OF}' - CAST(20 - i AS INTEGER))"""
+tr AS (SELECT g.theme, i, coalesce(count, 0) AS n FROM g LEFT JOIN b ON b.theme = g.theme AND b.day = (SELECT max(day) FROM b WHERE day <= DATE '{AS_OF}') - CAST(20 - i AS INTEGER))"""
 
 
 @plan(f"WITH {_TREND} SELECT theme, string_agg(CAST(n AS VARCHAR), ',' ORDER BY i) AS series FROM tr GROUP BY 1")
@@ -138,8 +137,9 @@ def df_filter(spark, d):
 
 _KEPT = f"""{_DF}, kt AS (SELECT term, df FROM df WHERE df BETWEEN 10 AND 0.02 * (SELECT count(*) FROM documents)), kd AS (SELECT doc_id, term FROM terms JOIN kt USING (term)),
 pr AS (SELECT x.term AS a, y.term AS b, count(*) AS w FROM kd x JOIN kd y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY 1, 2),
-dg AS (SELECT term, count(*) AS degree FROM (SELECT a AS term FROM pr UNION ALL SELECT b FROM pr) GROUP BY 1),
-top AS (SELECT term, df, coalesce(degree, 0) AS degree FROM kt LEFT JOIN dg USING (term) ORDER BY degree DESC, df DESC, term LIMIT 120)"""
+dg AS (SELECT term, count(*) AS partners FROM (SELECT a AS term FROM pr UNION ALL SELECT b FROM pr) GROUP BY 1),
+top AS (SELECT term, df FROM kt LEFT JOIN dg USING (term) ORDER BY coalesce(partners, 0) DESC, df DESC, term LIMIT 120),
+pt AS (SELECT * FROM pr WHERE a IN (SELECT term FROM top) AND b IN (SELECT term FROM top))"""
 
 
 def _emergent(spark, d):
@@ -147,12 +147,12 @@ def _emergent(spark, d):
     return terms.emergent(terms.topical(docs), docs.count())
 
 
-@plan(f"WITH {_KEPT} SELECT * FROM top")
+@plan(f"WITH {_KEPT} SELECT term, df, (SELECT count(*) FROM pt WHERE a = term OR b = term) AS degree FROM top")
 def emergent_terms(spark, d):
     return _emergent(spark, d)[0].select("term", "df", "degree")
 
 
-@plan(f"WITH {_KEPT} SELECT a, b, w FROM pr WHERE w >= 5 AND a IN (SELECT term FROM top) AND b IN (SELECT term FROM top)")
+@plan(f"WITH {_KEPT} SELECT a, b, w FROM pt WHERE w >= 5")
 def emergent_edges(spark, d):
     return _emergent(spark, d)[1].select("a", "b", "w")
 
@@ -173,8 +173,7 @@ SELECT theme, phrase, c, df, lift FROM (SELECT *, row_number() OVER (PARTITION B
 
 @plan(f"WITH {_PH}")
 def phrase_lift(spark, d):
-    docs = A.docs(spark, d)
-    return terms.phrase_lift(docs, themes.tag(docs, A.THEMES)).select("theme", "phrase", "c", "df", "lift")
+    return terms.phrase_lift(themes.tagged(A.docs(spark, d), A.THEMES), list(A.THEMES)).select("theme", "phrase", "c", "df", "lift")
 
 
 @plan("""WITH r AS (SELECT source, count(*) AS n, round(avg(CASE WHEN regexp_matches(lower(text), 'license|rights reserved') THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM documents GROUP BY 1) SELECT * FROM r WHERE n >= 10 AND ratio >= 0.01""")
@@ -211,3 +210,61 @@ def profile_cosine(spark, d):
     e = prof.select("ent").distinct()
     pairs = e.select(F.col("ent").alias("a"), F.lit(1).alias("k")).join(e.select(F.col("ent").alias("b"), F.lit(1).alias("k")), "k").where("a < b")
     return terms.profile_cosine(prof, pairs.select("a", "b"))
+
+
+#: One theme hangs below another.
+CHILD = "ma"
+_VIEW = f"""{_SURGE}, par AS (SELECT * FROM tags WHERE theme <> '{CHILD}'),
+pw AS (SELECT x.theme AS a, y.theme AS b, count(*) AS w, count(*) FILTER (x.stance = 'bullish') AS bull, count(*) FILTER (x.stance = 'bearish') AS bear, count(*) FILTER (x.stance = 'neutral') AS neut
+  FROM par x JOIN par y ON x.doc_id = y.doc_id AND x.theme < y.theme GROUP BY 1, 2),
+top AS (SELECT * FROM pw WHERE w >= 4 ORDER BY w DESC, a, b LIMIT 60), {_FREQ}"""
+
+
+def _view(spark, d):
+    found = A.docs(spark, d).select(F.col("doc_id").alias("id"), "text", "day", F.array("ent").alias("ents"))
+    spine = {t: k for t, k in A.THEMES.items() if t != CHILD}
+    return composites.theme_view(found, spine, AS_OF, {CHILD: ("ai", A.THEMES[CHILD])}, A.BULL, A.BEAR, with_heads=False)
+
+
+@plan(f"""WITH {_VIEW}, {_TREND.removeprefix(A.BUCKETS + ", ")}, ts AS (SELECT theme, string_agg(CAST(n AS VARCHAR), ',' ORDER BY i) AS series FROM tr GROUP BY 1),
+he AS (SELECT theme, count(*) AS freq, round(sum({_W}), 1) AS heat, round(coalesce(sum({_W}) FILTER (stance = 'bullish'), 0), 1) AS bull, round(coalesce(sum({_W}) FILTER (stance = 'bearish'), 0), 1) AS bear,
+  round(coalesce(sum({_W}) FILTER (stance = 'neutral'), 0), 1) AS neut FROM tags GROUP BY 1),
+re AS (SELECT theme, string_agg(o, ',' ORDER BY w DESC, o DESC) AS related FROM (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY w DESC, o DESC) AS k FROM (SELECT a AS theme, b AS o, w FROM pw WHERE w >= 4 UNION ALL SELECT b, a, w FROM pw WHERE w >= 4)) WHERE k <= 6 GROUP BY 1)
+SELECT theme, freq, heat, bull, bear, neut, surge, coalesce(recent_n, 0) AS recent_n, CASE WHEN theme = '{CHILD}' THEN 1 ELSE 0 END AS level, CASE WHEN theme = '{CHILD}' THEN 'ai' END AS parent,
+  CASE WHEN theme = 'ai' AND '{CHILD}' IN (SELECT theme FROM he) THEN '{CHILD}' ELSE '' END AS children, coalesce(related, '') AS related, series,
+  theme <> '{CHILD}' AND theme NOT IN (SELECT a FROM pw WHERE w >= 2 UNION ALL SELECT b FROM pw WHERE w >= 2) AS isolated
+FROM he LEFT JOIN su USING (theme) LEFT JOIN re USING (theme) LEFT JOIN ts USING (theme)""")
+def theme_view_nodes(spark, d):
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return _view(spark, d)["nodes"].select("theme", "freq", "heat", "bull", "bear", "neut", "surge", "recent_n", "level", "parent", joined("children"), joined("related"), joined("series"), "isolated")
+
+
+@plan(f"""WITH {_VIEW} SELECT a, b, w, round(w / (x.freq * y.freq / CAST((SELECT count(*) FROM documents) AS DOUBLE)), 1) AS lift, round(w / (x.freq * y.freq / CAST((SELECT count(*) FROM documents) AS DOUBLE)), 1) < 1.5 AS volume_only, bull, bear, neut
+FROM top JOIN fr x ON x.theme = a JOIN fr y ON y.theme = b""")
+def theme_view_edges(spark, d):
+    return _view(spark, d)["edges"].where("not weak").drop("weak")
+
+
+BRIDGE, CONTEXT = ("que", "der", "los", "und"), ("with", "was", "from", "this")
+_HIT = lambda words: "list_filter([" + ",".join(f"'{w}'" for w in words) + "], lambda w: regexp_matches(lower(text), '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))"
+
+
+@plan(f"""WITH r AS MATERIALIZED (SELECT doc_id AS id, trim(text) AS text, list_sort(list_distinct(['P' || doc_id % 23, 'P' || doc_id % 29])) AS ents, {_HIT(BRIDGE)} AS hit, {_HIT(CONTEXT)} AS seen FROM documents WHERE trim(coalesce(text, '')) <> ''),
+df AS (SELECT unnest(hit) AS term, count(*) AS df FROM r GROUP BY 1),
+held AS MATERIALIZED (SELECT term, ent, arg_min(text, id) AS ev FROM (SELECT id, text, term, unnest(ents) AS ent FROM (SELECT id, text, ents, unnest(hit) AS term FROM r)) GROUP BY 1, 2),
+direct AS (SELECT DISTINCT ents[1] AS a, ents[2] AS b FROM r WHERE len(ents) = 2),
+sh AS (SELECT x.ent AS a, y.ent AS b, list_sort(list(term)) AS terms, min(df) AS rarity FROM held x JOIN held y USING (term) JOIN df USING (term) WHERE x.ent < y.ent GROUP BY 1, 2),
+ok AS (SELECT * FROM sh WHERE NOT EXISTS (SELECT 1 FROM direct WHERE direct.a = sh.a AND direct.b = sh.b) AND NOT starts_with(b, a) AND NOT starts_with(a, b)),
+pf AS (SELECT ent, term, count(*) AS c FROM (SELECT unnest(ents) AS ent, term FROM (SELECT ents, unnest(seen) AS term FROM r)) GROUP BY 1, 2), nm AS (SELECT ent, sqrt(sum(c * c)) AS n, sum(c) AS m FROM pf GROUP BY 1),
+co AS (SELECT x.ent AS a, y.ent AS b, sum(x.c * y.c) AS dot FROM pf x JOIN pf y USING (term) GROUP BY 1, 2),
+f AS (SELECT ok.*, coalesce(round(dot / (u.n * v.n), 6), 0) AS cosine, coalesce(u.m, 0) AS ma, coalesce(v.m, 0) AS mb FROM ok LEFT JOIN co USING (a, b) LEFT JOIN nm u ON u.ent = ok.a LEFT JOIN nm v ON v.ent = ok.b)
+SELECT f.a, f.b, array_to_string(terms, ',') AS terms, CAST(len(terms) AS INTEGER) AS n_terms, round(cosine, 2) AS cosine, rarity, CASE WHEN ma < 3 OR mb < 3 THEN 'thin' WHEN cosine >= 0.35 THEN 'alike' ELSE 'apart' END AS flag, x.ev[1:20] AS evidence_a, y.ev[1:20] AS evidence_b
+FROM f JOIN held x ON x.ent = f.a AND x.term = terms[1] JOIN held y ON y.ent = f.b AND y.term = terms[1]""")
+def bridge_candidates(spark, d):
+    """Entities that share a word, were never named together and aren't of one group."""
+    k = F.col("doc_id")
+    heads = A.table(spark, d, "documents").select(k.alias("id"), "text", F.array(F.concat(F.lit("P"), k % 23), F.concat(F.lit("P"), k % 29)).alias("ents"))
+    got = composites.mine_bridges(heads, BRIDGE, CONTEXT)
+    for c in ("evidence_a", "evidence_b"):
+        got = got.withColumn(c, F.substring(c, 1, 20))
+    return composites.ranked_bridges(got.withColumn("terms", F.array_join("terms", ",")))

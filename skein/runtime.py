@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests) a new temporary one, set on the context."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset a new temporary one, set on the context, if all runs in one process."""
     sc = spark.sparkContext
     jsc = sc._jsc.sc()
     told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not told and jsc.getCheckpointDir().isEmpty() and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if jsc.getCheckpointDir().isEmpty():
         sc.setCheckpointDir(told or "file://" + tempfile.mkdtemp(prefix="skein-"))
     return told or jsc.getCheckpointDir().get()
@@ -36,3 +38,13 @@ def cut(df: DataFrame) -> DataFrame:
     folder = new_folder(df.sparkSession, "cut")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete what :func:`cut` wrote for ``df``, which a loop needs no more; other frames stay as they are."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if f.rpartition("/")[2].startswith("cut-"):
+            p = jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(conf).delete(p, True)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import text
+from ..functions import lexicons as L
+from ..functions import lookup, text
+from ..operators.themes import top_by
 
 
 def _json(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -49,26 +53,47 @@ def submissions(spark: SparkSession, path: str, form: str = "8-K", most: int = 4
 
 def zipped(rows: DataFrame, form: str, most: int) -> DataFrame:
     """Filter one form and keep the first ``most`` rows of each company in their order; adds document id and normal time."""
-    from ..operators.themes import top_by
-
     got = top_by(rows.where(F.col("form") == form), ["cik"], [F.asc("i")], most)
     at = F.split_part(F.regexp_replace("acceptanceDateTime", "Z$", ""), F.lit("."), F.lit(1))
     return got.withColumn("doc_id", F.concat(F.lit("edgar_"), F.lpad("cik", 10, "0"), F.lit("_"), "accessionNumber")).withColumn("event_time", F.coalesce(at, F.concat("filingDate", F.lit("T00:00:00"))))
 
 
 def former_names(spark: SparkSession, path: str) -> DataFrame:
-    """Aliases with their time of validity from companies' former names, and the sector row's code."""
+    """Aliases with their time of validity from companies' former names (:func:`sectors` has the sector rows)."""
     s = _json(spark, path, S.SUBMISSIONS)
     f = s.select("cik", F.explode("formerNames").alias("f"))
     return f.select(F.col("f.name").alias("surface_form"), F.concat(F.lit("CIK"), F.lpad("cik", 10, "0")).alias("target_id"), F.substring("f.from", 1, 19).alias("valid_from"), F.substring("f.to", 1, 19).alias("valid_to"))
 
 
-def rss(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
-    """News items of landed RSS files, tags stripped, with ids from their links."""
+def sectors(spark: SparkSession, path: str) -> DataFrame:
+    """``issuer_id, sic, description, division`` of landed submissions; companies without a code have no row."""
+    s = _json(spark, path, S.SUBMISSIONS).where(F.coalesce("sic", F.lit("")) != "")
+    return s.select(F.concat(F.lit("CIK"), F.lpad("cik", 10, "0")).alias("issuer_id"), "sic", F.col("sicDescription").alias("description"), lookup.division(F.col("sic")).alias("division"))
+
+
+def _plain(html) -> Column:
+    """Tags to spaces, entities to characters, white space collapsed."""
+    return F.trim(F.regexp_replace(text.unescape_html(text.strip_html(F.coalesce(html, F.lit("")))), r"\s+", " "))
+
+
+def _composed(title: Column, summary: Column) -> Column:
+    """``title. summary``, or the title where the summary is empty or begins like it."""
+    return F.when((summary == "") | (F.substring(title, 1, 30) == F.substring(summary, 1, 30)), title).otherwise(F.concat_ws(". ", title, summary))
+
+
+def rss(spark: SparkSession, path: str, tag: str = "item", max_items: int | None = 8) -> DataFrame:
+    """News items of landed RSS files, the first ``max_items`` of each, tags and entities resolved, with ids from their links.
+
+    Items without a title or link are left out after the first ones were taken; an item without a source is of outlet "unknown".
+    """
     r = spark.read.format("xml").schema(S.RSS_ITEM).option("rowTag", tag).load(path)
-    title, summary = text.strip_html(F.col("title")), text.strip_html(F.col("description"))
-    body = F.when(F.substring(title, 1, 30) == F.substring(summary, 1, 30), title).otherwise(F.concat_ws(". ", title, summary))
-    return r.select(text.doc_id(F.col("link")).alias("doc_id"), body.alias("text"), F.col("source._VALUE").alias("outlet"), F.col("link").alias("url"), rss_time(F.col("pubDate")).alias("event_time"))
+    r = r.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("i"))
+    if max_items is not None:
+        r = top_by(r, ["file"], [F.asc("i")], max_items)
+    r = r.where((F.trim(F.coalesce("title", F.lit(""))) != "") & (F.trim(F.coalesce("link", F.lit(""))) != "")).withColumn("link", F.trim("link"))
+    r = r.select("link", "pubDate", F.coalesce(F.nullif(F.col("source._VALUE"), F.lit("")), F.lit("unknown")).alias("outlet"), F.trim("title").alias("t"), _plain(F.col("description")).alias("s"))
+    body = _composed(F.col("t"), F.col("s"))
+    return r.select(text.doc_id(F.col("link")).alias("doc_id"), body.alias("text"), "outlet", F.col("link").alias("url"), rss_time(F.col("pubDate")).alias("event_time"))
 
 
 def rss_time(value) -> object:
@@ -84,10 +109,42 @@ def corps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def news_json(spark: SparkSession, path: str, domains: dict[str, str]) -> DataFrame:
-    """News items of landed JSON search results, publishers by domain."""
+    """News items of landed JSON search results, tags and entities resolved, publishers by domain."""
     n = _json(spark, path, S.NEWS_ITEMS).select(F.explode("items").alias("i")).select("i.*")
     url = F.coalesce("originallink", "link")
-    return n.select(text.doc_id(url).alias("doc_id"), F.concat_ws(". ", text.strip_html(F.col("title")), text.strip_html(F.col("description"))).alias("text"), text.publisher(url, domains).alias("outlet"), url.alias("url"), rss_time(F.col("pubDate")).alias("event_time"))
+    return n.select(text.doc_id(url).alias("doc_id"), _composed(_plain(F.col("title")), _plain(F.col("description"))).alias("text"), text.publisher(url, domains).alias("outlet"), url.alias("url"), rss_time(F.col("pubDate")).alias("event_time"))
+
+
+def emitted(items: DataFrame, knowledge_time: str, subject: Column, kind: str, surface: Column, lang: str = "en") -> DataFrame:
+    """Documents of one track, ``issuer`` or ``macro``, whose subject is known from the query: with source, credibility and the carried subject (private, ``_`` first)."""
+    name, prior = text.outlet_class(F.col("outlet"), L.TIER1_OUTLETS)
+    at = F.coalesce("event_time", F.lit(knowledge_time))
+    # (of a source id only words of Latin letters, digits and Hangul stay, joined by hyphens)
+    slug = F.trim(F.regexp_replace(F.lower("outlet"), "[^a-z0-9가-힣]+", "-"), F.lit("-"))
+    source = F.concat(F.lit("news::"), F.coalesce(F.nullif(slug, F.lit("")), F.lit("unknown")))
+    private = [F.col("outlet").alias("_outlet"), name.alias("_cred_class"), prior.alias("_cred"), F.col("url").alias("_link"), subject.alias("_subject_id"), F.lit(kind).alias("_subject_kind"), surface.alias("_subject_surface")]
+    return items.select("doc_id", source.alias("source_id"), F.lit(lang).alias("lang"), "text", at.alias("event_time"), F.lit(knowledge_time).alias("ingest_time"), *private)
+
+
+def constituents(spark: SparkSession, paths: dict[str, str], tickers: str, symbol: str = "Symbol") -> DataFrame:
+    """``issuer_id, memberships`` of landed index lists (CSV, one for each index) met with the landed ticker list (JSON lines ``ticker, cik_str``).
+
+    Tickers meet without dots and hyphens, in upper case. Memberships in the order of ``paths``.
+    """
+    ids = spark.read.schema("ticker string, cik_str long").json(tickers).select(text.ticker(F.col("ticker")).alias("t"), F.concat(F.lit("CIK"), F.lpad(F.col("cik_str").cast("string"), 10, "0")).alias("issuer_id")).dropDuplicates(["t"])
+    out = None
+    for i, (name, path) in enumerate(paths.items()):
+        own = spark.read.option("header", True).csv(path).select(text.ticker(F.col(symbol)).alias("t"), F.struct(F.lit(i).alias("i"), F.lit(name).alias("name")).alias("m")).where("t <> ''").distinct()
+        out = own if out is None else out.unionByName(own)
+    return out.join(ids, "t").groupBy("issuer_id").agg(F.transform(F.array_sort(F.collect_set("m")), lambda m: m["name"]).alias("memberships"))
+
+
+def subthemes(spark: SparkSession, path: str, spine: Sequence[str]) -> DataFrame:
+    """``theme_id, label, parent_id, keywords`` of landed child themes (a JSON object: parent to list); children of unknown parents, and keys that start with ``_``, are left out."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("m")).select(F.explode("m").alias("parent_id", "v"))
+    raw = raw.where(F.col("parent_id").isin(*spine) & ~F.col("parent_id").startswith("_"))
+    one = F.explode(F.from_json("v", "array<struct<id:string,label:string,keywords:array<string>>>")).alias("c")
+    return raw.select("parent_id", one).select(F.col("c.id").alias("theme_id"), F.col("c.label").alias("label"), "parent_id", F.col("c.keywords").alias("keywords"))
 
 
 def bars(spark: SparkSession, path: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import themes
+from ..runtime import cut
 
 
 def landed(spark: SparkSession, path: str, schema, event_time: str = "event_time", watermark: str = "120 days") -> DataFrame:
@@ -21,16 +23,30 @@ def daily(tagged: DataFrame, watermark: str = "120 days") -> DataFrame:
 
 
 def upsert_days(stream: DataFrame, path: str, checkpoint: str, tags: dict[str, list[str]]):
-    """Run what has landed (availableNow): tag, count, and add to the day partitions touched. The checkpoint is the cursor."""
+    """Run what has landed (availableNow): tag, count, and add to the partitions of the days touched. The checkpoint is the cursor.
+
+    A day's partition holds the counts of each batch that touched it. A batch
+    rewrites the partitions of its own days only, and replaces its own rows in
+    them, so one that is run again changes nothing.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        new = themes.tag(df, tags).join(df.select("doc_id", F.to_date("ts").alias("day")), "doc_id").groupBy("theme", "day").agg(F.count("*").alias("n"))
-        new = new.withColumn("batch", F.lit(batch_id))
-        # a batch that is run again replaces its own rows: a day's count is the sum over batches
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        spark = df.sparkSession
+        tagged = themes.tag(df, tags, carry=("ts",))
+        new = daily(tagged).withColumnRenamed("count", "n").withColumn("batch", F.lit(batch_id).cast("long"))
+        new = cut(new.select("theme", "n", "batch", "day"))
+        try:
+            held = spark.read.schema(new.schema).parquet(path)
+            others = held.where(F.col("batch") != batch_id).join(F.broadcast(new.select("day").distinct()), "day", "left_semi")
+            whole = cut(others.select("theme", "n", "batch", "day").unionByName(new))
+        except AnalysisException:
+            # nothing is there yet
+            whole = new
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_days(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy("theme", "day").agg(F.sum("n").alias("count"))
+    """``theme, day, count`` of what has been written."""
+    return spark.read.schema("theme string, n long, batch long, day date").parquet(path).groupBy("theme", "day").agg(F.sum("n").alias("count"))
