@@ -374,6 +374,28 @@ def test_diverse(spark):
     assert sorted((r["g"], r["o"]) for r in got) == [("g", 1), ("g", 3), ("h", 1)]
 
 
+@pytest.mark.parametrize("hub", [0, 3, 1000])
+def test_components_of_random_graphs(spark, monkeypatch, hub):
+    """Stars, chains and random links against a plain search, with and without hubs."""
+    monkeypatch.setattr(components, "HUB", hub)
+    random.seed(5)
+    edges = [(100, i) for i in range(101, 130)] + [(i, i + 1) for i in range(30)] + [(random.randrange(200, 260), random.randrange(200, 260)) for _ in range(45)] + [(5, 5), (None, 1)]
+    near = {}
+    for a, b in edges[:-1]:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for a in sorted(near):
+        fringe = [a] if a not in want else []
+        while fringe:
+            x = fringe.pop()
+            want[x] = a
+            fringe += [y for y in near[x] if y not in want]
+    linked = {x for a, b in edges if a != b and None not in (a, b) for x in (a, b)}
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: c for x, c in want.items() if x in linked}
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 80)], "u long, v long")
     assert {r["node"]: r["component"] for r in components.connected_components(e).collect()} == {i: 0 for i in range(41)} | {80: 80, 90: 80}
