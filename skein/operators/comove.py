@@ -202,12 +202,12 @@ def flow_clusters(pairs: DataFrame, most: int = 2000, cuts: tuple[float, ...] =
         s = np.unique(np.r_[rows["a"].to_numpy(str), rows["b"].to_numpy(str)])
         got = _best_cut(_distances(rows[rows["win"] == "full"], s), cuts, least)
         if got is None:
-            return pd.DataFrame({"series": [], "cluster": [], "cut": [], "silhouette": [], "ari": []})
+            return pd.DataFrame({"series": np.array([], object), "cluster": np.array([], np.int32)} | {k: np.array([], float) for k in ("cut", "silhouette", "ari")})
         cut_at, score, label = got
         halves = [average_linkage(_distances(rows[rows["win"] == h], s), cut_at) for h in ("h1", "h2") if (rows["win"] == h).any()]
         ari = adjusted_rand(*halves) if len(halves) == 2 else None
         size = np.bincount(label)
-        return pd.DataFrame({"series": s, "cluster": np.where(size[label] >= least, label, -1), "cut": cut_at, "silhouette": score, "ari": ari})
+        return pd.DataFrame({"series": s.astype(object), "cluster": np.where(size[label] >= least, label, -1), "cut": cut_at, "silhouette": score, "ari": ari})
 
     win = F.col("win") if "win" in pairs.columns else F.lit("full").alias("win")
     return pairs.select("a", "b", "r", win, F.lit(0).alias("one")).groupBy("one").applyInPandas(run, "series string, cluster int, cut double, silhouette double, ari double")

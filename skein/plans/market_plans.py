@@ -226,9 +226,10 @@ _GAP = lambda w: f"round({_MU(w, 'same')} - {_MU(w, 'NOT same')}, 4)"  # noqa: E
 
 
 @plan(f"""WITH {_COH}, {_res_sql("wn", "win")}, q AS (SELECT * FROM pc WHERE isfinite(r) AND n >= CASE WHEN win = 'full' THEN 50 ELSE 20 END),
-g AS (SELECT {_MU("full", "same")} AS mu_same, {_MU("full", "NOT same")} AS mu_cross, {_GAP("full")} AS gap_full, {_GAP("h1")} AS gap_h1, {_GAP("h2")} AS gap_h2 FROM q)
-SELECT (SELECT count(DISTINCT series) FROM rt) AS issuers, (SELECT max(day) FROM rt) AS end_day, *, false AS skipped,
-  coalesce(gap_full > 0 AND gap_h1 > 0 AND gap_h2 > 0 AND gap_h1 >= 0.35 * gap_full AND gap_h2 >= 0.35 * gap_full, false) AS stable FROM g""")
+i AS (SELECT count(DISTINCT series) AS issuers, max(day) AS end_day FROM rt),
+g AS (SELECT {_MU("full", "same")} AS mu_same, {_MU("full", "NOT same")} AS mu_cross, {_GAP("full")} AS gap_full, {_GAP("h1")} AS gap_h1, {_GAP("h2")} AS gap_h2 FROM q WHERE (SELECT issuers FROM i) >= 20)
+SELECT issuers, end_day, g.*, issuers < 20 AS skipped,
+  coalesce(gap_full > 0 AND gap_h1 > 0 AND gap_h2 > 0 AND gap_h1 >= 0.35 * gap_full AND gap_h2 >= 0.35 * gap_full, false) AS stable FROM i, g""")
 def regime_yardstick(spark, d):
     """How much closer nations of one region move, whole and by halves."""
     return comove.yardstick(A.monthly(spark, d).select("series", "day", "close"), _sectors(spark, d), 60, 20, 50, 20)
