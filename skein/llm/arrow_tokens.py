@@ -2,8 +2,8 @@
 
 A file has record batches of two fixed-size-list columns: ``ids`` (sequences
 of ``length`` ids, the documents one after another, cut wherever a sequence is
-full) and ``mask`` (1 for ids, 0 for the padding that fills a file's last
-sequence, 8 bits each, so that masks are views too). Batches are not compressed and lists have no offsets, so a
+full) and ``mask`` (true for ids, false for the padding that fills a file's
+last sequence; a bit each, which reading unpacks). Batches are not compressed and lists have no offsets, so a
 memory-mapped file gives any sequence, or any run of ids, as a view. A second
 file beside it has a row for each document: where it starts, how many ids.
 
@@ -36,7 +36,7 @@ class _Writer:
     def __init__(self, store, path: str, length: int, dtype: np.dtype) -> None:
         self.length, self.dtype, self.n, self.held, self.size, self.docs = length, dtype, 0, [], 0, []
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.streams = [store.open_output_stream(path), store.open_output_stream(f"{path}.index")]
         self.files = [ipc.new_file(self.streams[0], self.schema), ipc.new_file(self.streams[1], self.index)]
@@ -58,7 +58,7 @@ class _Writer:
         for i in range(0, whole, step):
             ids = flat[i : min(i + step, whole)]
             rows = -(-len(ids) // self.length)
-            mask = (np.arange(rows * self.length) < len(ids)).astype(np.uint8)
+            mask = np.arange(rows * self.length) < len(ids)
             ids = np.concatenate([ids, np.zeros(rows * self.length - len(ids), self.dtype)])
             self.files[0].write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=self.schema))
         self.held, self.size = [flat[whole:]], len(flat) - whole
@@ -94,7 +94,7 @@ class TokenFile:
     def _row(self, column: str, i: int) -> np.ndarray:
         values = self.file.get_batch(i // BATCH).column(column).values
         at = i % BATCH * self.length
-        return values.slice(at, self.length).to_numpy(zero_copy_only=True)
+        return values.slice(at, self.length).to_numpy(zero_copy_only=column == "ids")
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """Ids start to start + n of the file; a view if they lie in one batch."""
