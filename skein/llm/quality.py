@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, WHITE_RE, const_array, held
 
-#: Hash buckets of the multinomials; the prior's weight (n-grams for each bucket); labelled rows used at most.
+#: Least hash buckets of the multinomials; the prior's weight (n-grams for each bucket); labelled rows used at most.
 BUCKETS, SMOOTH, MOST_LABELS = 16_384, 8.0, 200_000
 #: Least mean log ratio of a kept text.
 THRESHOLD = -0.075
@@ -39,7 +39,17 @@ def _grams(buckets: int) -> Column:
     return F.transform(F.concat("h", _window(2)), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", good: str = "quality", buckets: int = BUCKETS, smooth: float = SMOOTH, most_labels: int = MOST_LABELS) -> list[float]:
+def buckets_for(docs: DataFrame, text: str = "text") -> int:
+    """How many buckets the multinomials have: the square root of the texts' bytes, ``BUCKETS`` at least.
+
+    Different n-grams grow slower than the texts, and the ratios are constants
+    of the plan: 30 GB have 173,000 buckets, 100 TB ten million (80 MB).
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0]
+    return max(BUCKETS, math.isqrt(size or 0))
+
+
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, doc_id: str = "doc_id", text: str = "text", label_id: str = "doc_id", good: str = "quality", smooth: float = SMOOTH, most_labels: int = MOST_LABELS) -> list[float]:
     """``ln p_target - ln p_corpus`` of each bucket; ``buckets`` numbers reach the driver.
 
     The corpus multinomial counts all documents, and a uniform 1 for each
@@ -89,22 +99,24 @@ def _judged(rows: DataFrame, ratios: list[float], threshold: float, buckets: int
     return got.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, **of_labels) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int | None = None, **of_labels) -> DataFrame:
     """Base counts, score and verdict of every row.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, score, kept. A null text counts as empty: no
-    words, base_failed, score 0. Repeated rows and null ids stay. Empty tables
+    words, base_failed, score 0. buckets: see :func:`buckets_for`. Repeated rows and null ids stay. Empty tables
     give no rows. Other columns are ignored, whatever their names.
     """
-    ratios = log_ratios(docs, labels, doc_id, text, buckets=buckets, **of_labels)
+    buckets = buckets or buckets_for(docs, text)
+    ratios = log_ratios(docs, labels, buckets, doc_id, text, **of_labels)
     got = _judged(_words(docs, doc_id, text), ratios, threshold, buckets)
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS, **of_labels) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, buckets: int | None = None, **of_labels) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns; no shuffle besides the counts'."""
-    ratios = log_ratios(docs, labels, doc_id, text, buckets=buckets, **of_labels)
+    buckets = buckets or buckets_for(docs, text)
+    ratios = log_ratios(docs, labels, buckets, doc_id, text, **of_labels)
     held = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     rows = _words(held.withColumn("doc_id", F.lit(None)), "doc_id", "text", "row")
     return _judged(rows, ratios, threshold, buckets).where("kept").select("row.*")

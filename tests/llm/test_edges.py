@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, and extra columns with clashing names, for every operator."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -95,8 +96,6 @@ def test_quality(spark, odd):
 
 def test_quality_score(spark):
     """The score against a plain version of the two multinomials."""
-    import math
-
     good, bad = " ".join(f"word{i % 90}" for i in range(120)), " ".join(f"JUNK{i % 7}!!" for i in range(120))
     docs = spark.createDataFrame([(1, good), (2, good + " more"), (3, bad)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
@@ -121,6 +120,14 @@ def test_quality_score(spark):
     assert rows[1]["score"] > rows[3]["score"]
 
 
+def test_quality_buckets(spark, odd):
+    """They grow as the square root of the bytes; what is too small has the least number."""
+    assert quality.buckets_for(odd.limit(0)) == quality.BUCKETS
+    long = spark.range(40).select(F.repeat(F.lit("é"), 1 << 22).alias("text")).union(spark.range(1).select(F.lit(None).cast("string")))
+    assert quality.buckets_for(long) == math.isqrt(40 << 23) > quality.BUCKETS
+    assert {r["score"] for r in quality.quality_rules(odd, spark.createDataFrame([(6, 1)], "doc_id long, quality int"), buckets=50_000).collect()} != {0.0}
+
+
 def test_pieces(odd):
     import sentencepiece
     from public_tokenizers import path
