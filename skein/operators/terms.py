@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..runtime import cut
+from ..runtime import cut, drop_cut
+from .evidence import ranked
 from .themes import cooccurrence
 
 
@@ -24,46 +25,109 @@ def topical(docs: DataFrame, stop: tuple[str, ...] = (), key: str = "doc_id", bo
     return docs.select(F.col(key).alias("doc_id"), F.explode(text.topical_tokens(F.col(body), stop)).alias("term"))
 
 
-#: Pairs that a task holds at once.
-PAIRS = 1 << 22
+#: Members of sets that a task of :func:`partners` holds (about), and terms whose partners are counted before the bound is known, as a multiple of ``top``.
+HELD, FIRST = 4_000_000, 8
+#: Kept terms whose numbers are broadcast at most (some 32 MB).
+MOST_KEPT = 2_000_000
 
 
-def pair_counts(tokens: DataFrame, key: str = "doc_id", item: str = "term") -> DataFrame:
-    """``a, b, w``: in how many rows two items occur, the items as 64-bit hashes, a < b as numbers.
+def kept_sets(tokens: DataFrame, kept: DataFrame, key: str = "doc_id", item: str = "term") -> DataFrame:
+    """``s``: the different sets of two or more kept terms (``h``, the term's 64-bit hash, and ``code``, its number) in the rows, written."""
+    codes = kept.select("h", "code")
+    h = tokens.select(key, F.xxhash64(item).alias("h")).join(F.broadcast(codes) if codes.count() <= MOST_KEPT else codes, "h")
+    sets = h.groupBy(key).agg(F.array_sort(F.collect_set("code")).alias("s")).where(F.size("s") > 1)
+    return cut(sets.groupBy(F.xxhash64("s").alias("h"), F.hash("s").alias("g")).agg(F.first("s").alias("s")).select("s"))
 
-    For long sets (every kept word of a text): a task numbers its batch's items,
-    counts equal pairs in flat arrays and gives out each of them once, so that
-    much fewer rows meet in the grouped sum. A set's pairs are made in slices,
-    whatever its length.
+
+def most_partners(sets: DataFrame, sizes: list[int]) -> DataFrame:
+    """``code, most, guess, rows``: a bound of each term's different partners, about how many they are, and its sets.
+
+    Terms are numbered by falling frequency, in groups of ``sizes``. A term has
+    no more partners of a group than the group has terms, nor than its sets
+    have members of it, all added up.
     """
+    ends = np.cumsum(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, rows = np.zeros((len(ends), ends[-1] + 1), np.int32), np.zeros(ends[-1] + 1, np.int64)
+        for x in batches:
+            s = x.column("s")
+            row = np.repeat(np.arange(len(s)), pc.list_value_length(s).to_numpy(zero_copy_only=False))
+            code = s.flatten().to_numpy()
+            group = np.searchsorted(ends, code)
+            rows += np.bincount(code, minlength=len(rows))
+            for g in range(len(ends)):
+                n = np.bincount(row[group == g], minlength=len(s))
+                # beyond any number of terms it doesn't matter how many
+                got[g] = np.minimum(got[g] + np.bincount(code, n[row] - (group == g), len(rows)), 1 << 30).astype(np.int32)
+        met = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(rows[met]), *[pa.array(x[met]) for x in got]], ["code", "rows", *[f"u{g}" for g in range(len(ends))]])
+
+    seen = sets.mapInArrow(run, "code int, rows long, " + ", ".join(f"u{g} int" for g in range(len(ends))))
+    seen = seen.groupBy("code").agg(F.sum("rows").alias("rows"), *[F.sum(f"u{g}").alias(f"u{g}") for g in range(len(ends))])
+    most = [F.least(F.lit(int(n)), F.col(f"u{g}")) for g, n in enumerate(sizes)]
+    guess = [F.lit(float(n)) * (1 - F.exp(-F.col(f"u{g}") / F.lit(float(n)))) for g, n in enumerate(sizes) if n]
+    return seen.select("code", sum(most[1:], most[0]).alias("most"), sum(guess[1:], guess[0]).alias("guess"), "rows")
+
+
+def partners(sets: DataFrame, of: np.ndarray, ranges: int) -> DataFrame:
+    """``code, n``: with how many different terms each of the terms ``of`` (sorted numbers) is in a set.
+
+    The partners are dealt out by their number modulo ``ranges``; a task holds
+    what the sets have of its share and marks each term's partners in a flat
+    array. No pair is ever a row, and a term's counts of the shares add up.
+    """
+    # a key for each task, so that the shares are spread evenly
+    slot = sets.sparkSession.range(40 * ranges).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(ranges)).alias("p"))
+    keys = np.array([r["k"] for r in slot.groupBy("p").agg(F.min("k").alias("k")).orderBy("p").collect()], np.int32)
+    ranges = len(keys)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda values, first: pa.ListArray.from_arrays(pa.array(np.r_[first, len(values)].astype(np.int32)), pa.array(values.astype(np.int32)))
         for x in batches:
-            sets = x.column("s")
-            names, codes = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-            ends = np.cumsum(pc.list_value_length(sets).to_numpy(zero_copy_only=False))
-            held, n = [], 0
-            for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
-                own = np.sort(codes[lo:hi]).astype(np.int64)
-                step = max(1, PAIRS // max(1, len(own)))
-                for i in range(0, len(own), step):
-                    first = np.arange(i, min(i + step, len(own)))
-                    times = len(own) - 1 - first
-                    other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first + 1, times)
-                    held.append(np.repeat(own[first], times) << 32 | own[other])
-                    n += len(other)
-                    if n > PAIRS:
-                        yield counted(names, held)
-                        held, n = [], 0
-            if n:
-                yield counted(names, held)
-
-    def counted(names: np.ndarray, held: list[np.ndarray]) -> pa.RecordBatch:
-        pair, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(names[pair >> 32]), pa.array(names[pair & 0xFFFFFFFF]), pa.array(n)], ["a", "b", "n"])
-
-    sets = tokens.groupBy(key).agg(F.collect_set(F.xxhash64(item)).alias("s")).where(F.size("s") > 1).select("s")
-    return sets.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("w"))
+            s = x.column("s")
+            row = np.repeat(np.arange(len(s)), pc.list_value_length(s).to_numpy(zero_copy_only=False))
+            code = s.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(of, code), len(of) - 1)
+            mine = of[at] == code
+            n_of = np.bincount(row[mine], minlength=len(s))
+            begin, at = np.cumsum(n_of) - n_of, at[mine]
+            # rows without a term of ``of`` have nothing to tell
+            told = n_of[row] > 0
+            row, code = row[told], code[told]
+            part = code % ranges
+            order = np.lexsort((row, part))
+            part, row, code = part[order], row[order], code[order]
+            first = np.flatnonzero(np.diff(part, prepend=-1) | np.diff(row, prepend=-1))
+            times = n_of[row[first]]
+            gave = np.cumsum(times) - times
+            own = at[np.arange(times.sum()) + np.repeat(begin[row[first]] - gave, times)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part[first]]), lists(own, gave), lists(code, first)], ["part", "own", "other"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(x.column(name).flatten().to_numpy(), pc.list_value_length(x.column(name)).to_numpy(zero_copy_only=False)) for x in batches for name in ("own", "other")]
+        if not held:
+            return
+        own, n_own, other, n_other = (np.concatenate([x[k] for x in held[i::2]]) for i in (0, 1) for k in (0, 1))
+        begin = np.cumsum(n_other, dtype=np.int64) - n_other
+        cell = np.repeat(np.arange(len(n_own), dtype=np.int32), n_own)
+        order = np.argsort(own, kind="stable")
+        own, cell = own[order], cell[order]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        n, seen = np.zeros(len(first), np.int64), np.zeros(other.max() + 1, bool)
+        for k, (lo, hi) in enumerate(zip(first.tolist(), np.r_[first[1:], len(own)].tolist(), strict=True)):
+            seen[:] = False
+            for i in range(lo, hi, 4096):
+                c = cell[i : min(i + 4096, hi)]
+                m = n_other[c]
+                seen[other[np.arange(m.sum()) + np.repeat(begin[c] - np.cumsum(m) + m, m)]] = True
+            # a term isn't its own partner
+            me = of[own[lo]]
+            n[k] = np.count_nonzero(seen) - int(me < len(seen) and seen[me])
+        yield pa.RecordBatch.from_arrays([pa.array(of[own[first]]), pa.array(n)], ["code", "n"])
+
+    dealt = sets.mapInArrow(deal, "part int, own array<int>, other array<int>").repartition(ranges, "part")
+    return dealt.mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def emergent(tokens: DataFrame, n_docs: int, df_low: int = 10, df_high: float = 0.02, least: int = 5, top: int = 120) -> tuple[DataFrame, DataFrame]:
@@ -71,14 +135,31 @@ def emergent(tokens: DataFrame, n_docs: int, df_low: int = 10, df_high: float =
 
     Terms are ranked by their partners among all kept terms; of the ``top``
     that stay, ``degree`` counts the partners among themselves, and edges need
-    ``least`` documents. The pairs of all kept terms serve the ranking alone;
-    edges come from the few rows of the best terms.
+    ``least`` documents. Partners are counted for those terms only that can be
+    among the best: first for the likeliest ones, then for all whose
+    bound reaches the ``top``-th count found. The driver gets the numbers of
+    these. Edges come from the few rows of the best terms.
     """
-    df = cut(doc_frequency(tokens).where((F.col("df") >= df_low) & (F.col("df") <= df_high * n_docs)))
-    kept = tokens.join(df.select("term"), "term", "left_semi")
-    partners = pair_counts(kept).select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("all"))
-    ranked = df.withColumn("h", F.xxhash64("term")).join(partners, "h", "left").withColumn("all", F.coalesce("all", F.lit(0)))
-    best = cut(ranked.orderBy(F.desc("all"), F.desc("df"), "term").limit(top).select("term", "df"))
+    df = doc_frequency(tokens).where((F.col("df") >= df_low) & (F.col("df") <= df_high * n_docs)).withColumn("h", F.xxhash64("term"))
+    df = cut(ranked(df, "df", "term", "code"))
+    sets = kept_sets(tokens, df)
+    sizes = [r["count"] for r in df.groupBy(F.floor(F.log2("df")).alias("g")).count().orderBy(F.desc("g")).collect()]
+    best = df.withColumn("n", F.lit(0).cast("long"))
+    if sizes:
+        most = cut(most_partners(sets, sizes))
+        ranges = max(8, -(-(most.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]) // HELD))
+        codes = lambda x: np.sort(np.array([r["code"] for r in x.select("code").collect()], np.int32))
+        likely = codes(most.orderBy(F.desc("guess"), "code").limit(FIRST * top))
+        counted = cut(partners(sets, likely, ranges)) if len(likely) else most.select("code", F.col("most").alias("n"))
+        bound, n = counted.orderBy(F.desc("n")).limit(top).agg(F.min("n"), F.count("*")).first()
+        more = np.setdiff1d(codes(most.where(F.col("most") >= (bound if n >= top else 0))), likely)
+        if len(more):
+            counted = counted.unionByName(cut(partners(sets, more, ranges)))
+        # terms in a set that aren't counted have fewer partners than the best; terms in none have no partners
+        met = df.join(most.select("code", F.lit(True).alias("met")), "code", "left").join(counted, "code", "left")
+        best = met.where("n is not null or met is null").withColumn("n", F.coalesce("n", F.lit(0)))
+    drop_cut(sets)
+    best = cut(best.orderBy(F.desc("n"), F.desc("df"), "term").limit(top).select("term", "df"))
     pairs = cut(cooccurrence(tokens.join(F.broadcast(best.select("term")), "term", "left_semi"), 1, item="term"))
     inside = pairs.select(F.explode(F.array("a", "b")).alias("term")).groupBy("term").agg(F.count("*").alias("degree"))
     terms = best.join(inside, "term", "left").select("term", "df", F.coalesce("degree", F.lit(0)).alias("degree"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import lookup, numbers, text
-from skein.operators import comove, components, composites, detect, evidence, gate, market, neardup, ranking, resolve, temporal, themes, upsert
+from skein.operators import comove, components, composites, detect, evidence, gate, market, neardup, ranking, resolve, temporal, terms, themes, upsert
 from skein.settings import Settings
 
 
@@ -570,3 +570,50 @@ def test_yardstick_skips_small_cohorts(spark):
     history = spark.createDataFrame([(-9.0, -9.0), (9.0, 9.0)], "gap double, cross_mu double")
     r = comove.yardstick(bars, sectors, least_names=4, history=history).first()
     assert not r["skipped"] and (r["gap_pct"], r["cross_mu_pct"]) == (50.0, 50.0)
+
+
+@pytest.mark.parametrize("top", [3, 120])
+def test_emergent_against_all_pairs(spark, monkeypatch, top):
+    """The best terms by all their partners, though only some are counted; no pair of kept terms is a row."""
+    monkeypatch.setattr(terms, "FIRST", 1)
+    monkeypatch.setattr(terms, "HELD", 50)
+    random.seed(11)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    docs = [sorted({words[min(59, int(random.expovariate(0.06)))] for _ in range(random.randrange(1, 9))}) for _ in range(120)] + [["alone"]] * 4
+    df = collections.Counter(w for x in docs for w in x)
+    kept = {w for w, n in df.items() if 3 <= n <= 0.2 * len(docs)}
+    pairs = collections.Counter(p for x in docs for p in itertools.combinations([w for w in x if w in kept], 2))
+    n_of = collections.Counter(w for p in pairs for w in p)
+    best = sorted(kept, key=lambda w: (-n_of[w], -df[w], w))[:top]
+    inside = {p: n for p, n in pairs.items() if p[0] in best and p[1] in best}
+    degree = collections.Counter(w for p in inside for w in p)
+    tokens = spark.createDataFrame([(i, w) for i, x in enumerate(docs) for w in x], "doc_id long, term string")
+    nodes, edges = terms.emergent(tokens, len(docs), 3, 0.2, 2, top)
+    assert {(r["term"], r["df"], r["degree"]) for r in nodes.collect()} == {(w, df[w], degree[w]) for w in best}
+    assert {(r["a"], r["b"], r["w"]) for r in edges.collect()} == {(*p, n) for p, n in inside.items() if n >= 2}
+    assert terms.emergent(tokens.limit(0), 0)[0].count() == 0
+
+
+def written(spark):
+    """Bytes that the stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, none, sc._jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+
+def shuffled(spark, do):
+    """Bytes shuffled while ``do`` runs."""
+    before = written(spark)
+    do()
+    return sum(n for k, n in written(spark).items() if k not in before)
+
+
+def test_emergent_pairs_are_not_shuffled(spark):
+    """60 texts of 700 kept terms have 15 million pairs, some 7 million of them different; their terms are 42,000."""
+    random.seed(12)
+    rows = [(i, w) for i in range(60) for w in random.sample(range(4000), 700)]
+    tokens = spark.createDataFrame(rows, "doc_id long, term long").select("doc_id", F.concat(F.lit("t"), "term").alias("term")).cache()
+    tokens.count()
+    assert shuffled(spark, lambda: terms.emergent(tokens, 60, 2, 0.5)[1].count()) < 12_000_000
