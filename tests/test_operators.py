@@ -617,3 +617,39 @@ def test_emergent_pairs_are_not_shuffled(spark):
     tokens = spark.createDataFrame(rows, "doc_id long, term long").select("doc_id", F.concat(F.lit("t"), "term").alias("term")).cache()
     tokens.count()
     assert shuffled(spark, lambda: terms.emergent(tokens, 60, 2, 0.5)[1].count()) < 12_000_000
+
+
+def test_story_pairs_of_blocks(spark, monkeypatch):
+    """Blocks and tiles find the same pairs as all comparisons, rare bigrams and Hangul included, and a forest connects what they do."""
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    monkeypatch.setattr(neardup, "TILE", 7)
+    random.seed(13)
+    words = ["profit", "rises", "memory", "court", "recall", "반도체", "수출이", "늘었다", "금리를", "z9q", "힣가"]
+    rows = [(i, f"2024-03-0{1 + i % 2}", " ".join(random.sample(words, 5)), random.choice([None, "", "A", "B"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, day string, text string, ent string")
+    want = {}
+    for x, y in itertools.combinations(rows, 2):
+        both = len(grams(x[2]) & grams(y[2]))
+        if x[1] == y[1] and (x[3] == y[3] or not x[3] or not y[3]) and same_story(x[2], y[2], 0.6):
+            want[x[0], y[0]] = both
+    got = neardup.story_pairs(df, overlap=0.6).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["n_shared"] for r in got} == want
+    forest = neardup._alike(neardup._of_bigrams(df, 8), False, 8, 0.6, forest=True).select("a", "b").collect()
+    assert {(r["a"], r["b"]) for r in forest} <= set(want) and len(forest) < len(want)
+
+    def parts(links):
+        root = list(range(120))
+        for a, b in links:
+            old, new = sorted((root[a], root[b]), reverse=True)
+            root = [new if x == old else x for x in root]
+        return root
+
+    assert parts(forest) == parts(want)
+
+
+def test_story_candidates_are_not_shuffled(spark):
+    """1,500 texts of the same syllables: every two are candidates by their bigrams, few are alike."""
+    random.seed(14)
+    rows = [(i, "2024-03-01", "".join(random.choice("abcdefghijkl") for _ in range(60)), None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, day string, text string, ent string")
+    assert shuffled(spark, lambda: neardup.story_pairs(df, overlap=0.9).count()) < 1_500_000
