@@ -653,3 +653,17 @@ def test_story_candidates_are_not_shuffled(spark):
     rows = [(i, "2024-03-01", "".join(random.choice("abcdefghijkl") for _ in range(60)), None) for i in range(1500)]
     df = spark.createDataFrame(rows, "id long, day string, text string, ent string")
     assert shuffled(spark, lambda: neardup.story_pairs(df, overlap=0.9).count()) < 1_500_000
+
+
+def test_sets_go_to_their_part_once(spark, monkeypatch):
+    """60 near copies of a text of 3,000 words have 1,770 pairs; no pair brings its sets along. Large parts in blocks give the same."""
+    random.seed(15)
+    base = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join([*random.sample(base, 2950), f"x{i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(i, j): len(x & y) / len(x | y) for (i, x), (j, y) in itertools.combinations([(i, set(t.split())) for i, t in rows], 2)}
+    got = []
+    assert shuffled(spark, lambda: got.extend(neardup.jaccard_pairs(df).collect())) < 12_000_000
+    assert {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+    monkeypatch.setattr(neardup, "CELL", 7)
+    assert {(r["a"], r["b"]): r["jaccard"] for r in neardup.jaccard_pairs(df).collect()} == want
