@@ -20,9 +20,14 @@ def settled(claims: DataFrame) -> DataFrame:
     return claims.where(~F.coalesce("subject_id", F.lit("")).startswith(PROVISIONAL) & ~F.coalesce("object_id", F.lit("")).startswith(PROVISIONAL))
 
 
-def effective_counts(claims: DataFrame) -> DataFrame:
+def story() -> Column:
+    """What copies of one claim share: their group, or the claim itself."""
+    return F.coalesce("dup_group", F.concat(F.lit("solo_"), "claim_id"))
+
+
+def effective_counts(claims: DataFrame, group: Column | None = None) -> DataFrame:
     """``subject_id, m_raw, k_eff``: claims, and claims after a group of copies counts once."""
-    return claims.groupBy("subject_id").agg(F.count("*").alias("m_raw"), F.count_distinct(F.coalesce("dup_group", F.concat(F.lit("solo_"), "claim_id"))).alias("k_eff"))
+    return claims.groupBy("subject_id").agg(F.count("*").alias("m_raw"), F.count_distinct(story() if group is None else group).alias("k_eff"))
 
 
 def k_of_m(claims: DataFrame) -> DataFrame:
@@ -45,18 +50,26 @@ def endorsements(claims: DataFrame) -> DataFrame:
     (two levels: the maximum in each group of copies, then the sum); a subject
     endorses its object by the sum of credibilities.
     """
-    group = F.coalesce("dup_group", F.concat(F.lit("solo_"), "claim_id"))
-    best = claims.groupBy("source_id", "subject_id", group.alias("g")).agg(F.max("credibility").alias("w"))
-    by_source = best.groupBy(F.col("source_id").alias("src"), F.col("subject_id").alias("dst")).agg(F.sum("w").alias("weight"))
-    related = claims.where(is_entity(F.col("object_id"))).groupBy(F.col("subject_id").alias("src"), F.col("object_id").alias("dst")).agg(F.sum("credibility").alias("weight"))
-    return by_source.unionByName(related).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return edges(claims, story()).select("src", "dst", "weight")
+
+
+def edges(claims: DataFrame, group: Column) -> DataFrame:
+    """``src, dst, weight, n``: edges of :func:`endorsements`, with the number of their claims, which :func:`mentions` weigh by."""
+    best = claims.groupBy("source_id", "subject_id", group.alias("g")).agg(F.max("credibility").alias("w"), F.count("*").alias("n"))
+    best = best.select(F.col("source_id").alias("src"), F.col("subject_id").alias("dst"), "w", "n")
+    related = claims.where(is_entity(F.col("object_id"))).select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"), F.col("credibility").alias("w"), F.lit(1).cast("long").alias("n"))
+    return best.unionByName(related).groupBy("src", "dst").agg(F.sum("w").alias("weight"), F.sum("n").cast("double").alias("n"))
+
+
+def named(ends: DataFrame) -> DataFrame:
+    return ends.where((F.coalesce("src", F.lit("")) != "") & (F.coalesce("dst", F.lit("")) != ""))
 
 
 def mentions(claims: DataFrame) -> DataFrame:
     """Naive edges: one unit for every claim, source to subject and subject to object."""
     a = claims.select(F.col("source_id").alias("src"), F.col("subject_id").alias("dst"))
     b = claims.select(F.col("subject_id").alias("src"), F.col("object_id").alias("dst"))
-    return a.unionByName(b).where((F.coalesce("src", F.lit("")) != "") & (F.coalesce("dst", F.lit("")) != "")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    return named(a.unionByName(b)).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
 def ranked(scores: DataFrame, score: str, key: str, out: str) -> DataFrame:
@@ -76,14 +89,43 @@ def ranked(scores: DataFrame, score: str, key: str, out: str) -> DataFrame:
     return parts.withColumn("_r", F.row_number().over(within)).join(F.broadcast(before), "_p").withColumn(out, (F.col("_r") + F.col("_before")).cast("int")).drop("_i", "_p", "_r", "_before")
 
 
-def importance(claims: DataFrame, seeds: DataFrame, **of_rank) -> DataFrame:
-    """Naive and credible PageRank of the same claims side by side, restricted to entities and ranked anew, with evidence counts."""
+def importance(claims: DataFrame, seeds: DataFrame, top: int | None = None, **of_rank) -> DataFrame:
+    """Naive and credible PageRank of the same claims side by side, restricted to entities and ranked anew, with evidence counts.
+
+    ``top``: only the entities of the first credible ranks; the ranks are those
+    among all, and evidence is counted for these. What all of it needs of the
+    claims is written once; a group of copies is a 64-bit hash there, which
+    only has to differ within a subject.
+    """
+    known, group = _slim(claims), F.col("g")
+    both = _ranks(known, group, seeds, **of_rank)
+    if top is not None:
+        both = both.where(F.col("rank_credible") <= top)
+        known = known.join(both.select(F.col("node").alias("subject_id")), "subject_id", "left_semi")
+    extra = effective_counts(known, group).join(trusted_share(known), "subject_id")
+    return both.join(extra, F.col("node") == F.col("subject_id"), "left").drop("subject_id")
+
+
+def shifts(claims: DataFrame, seeds: DataFrame, **of_rank) -> DataFrame:
+    """:func:`importance` of all entities without evidence counts."""
+    return _ranks(_slim(claims), F.col("g"), seeds, **of_rank)
+
+
+def _slim(claims: DataFrame) -> DataFrame:
+    from ..runtime import cut
+
+    return cut(settled(claims).select("source_id", "subject_id", "object_id", "credibility", F.xxhash64(story()).alias("g")))
+
+
+def _ranks(known: DataFrame, group: Column, seeds: DataFrame, **of_rank) -> DataFrame:
+    from ..runtime import cut
     from .ranking import pagerank
 
-    known = settled(claims)
-    naive, credible = pagerank(mentions(known), **of_rank), pagerank(endorsements(known), seeds=seeds, **of_rank)
+    # of settled claims both graphs have the same edges, but for ends without a name
+    both = cut(edges(known, group))
+    naive = pagerank(named(both).select("src", "dst", F.col("n").alias("weight")), written=True, **of_rank)
+    credible = pagerank(both.select("src", "dst", "weight"), seeds=seeds, written=True, **of_rank)
     entities = known.select(F.col("subject_id").alias("node")).unionByName(known.where(is_entity(F.col("object_id"))).select(F.col("object_id").alias("node"))).distinct()
     both = entities.join(naive.withColumnRenamed("score", "ppr_naive"), "node").join(credible.withColumnRenamed("score", "ppr_credible"), "node")
     both = ranked(ranked(both, "ppr_naive", "node", "rank_naive"), "ppr_credible", "node", "rank_credible")
-    extra = effective_counts(known).join(trusted_share(known), "subject_id")
-    return both.join(extra, F.col("node") == F.col("subject_id"), "left").drop("subject_id").withColumn("shift", F.col("rank_credible") - F.col("rank_naive"))
+    return both.withColumn("shift", F.col("rank_credible") - F.col("rank_naive"))

@@ -132,14 +132,10 @@ def credible_pagerank(spark, d):
     return ranking.pagerank(evidence.endorsements(evidence.settled(A.claims(spark, d))), seeds=_seeds(spark, d)).select("node", F.round("score", 9).alias("score"))
 
 
-def _importance(spark, d):
-    return evidence.importance(A.claims(spark, d), _seeds(spark, d))
-
-
 def importance_report(spark, d):
     """The flagship: the twenty most credible entities, with naive rank, evidence counts and trust."""
     cols = ["node", F.round("ppr_naive", 7).alias("ppr_naive"), F.round("ppr_credible", 7).alias("ppr_credible"), "m_raw", "k_eff", F.round("trusted_share", 6).alias("trusted_share"), "rank_credible"]
-    return _importance(spark, d).where("rank_credible <= 20").select(*cols)
+    return evidence.importance(A.claims(spark, d), _seeds(spark, d), top=20).select(*cols)
 
 
 _IMP = f"""WITH {A.CLAIMS}, {_SETTLED}, {_NAIVE}, {_ENDORSE}, {_rank_sql("ne", False, "a")}, {_rank_sql("ce", True, "b")},
@@ -152,7 +148,7 @@ plan(f"{_IMP} SELECT node, round(ppr_naive, 7) AS ppr_naive, round(ppr_credible,
 
 @plan(f"{_IMP} SELECT node, rank_credible - rank_naive AS shift FROM rk WHERE rank_credible > rank_naive ORDER BY shift DESC, node LIMIT 1")
 def most_demoted(spark, d):
-    return assemble.most_demoted(_importance(spark, d)).select("node", "shift")
+    return assemble.most_demoted(evidence.shifts(A.claims(spark, d), _seeds(spark, d))).select("node", "shift")
 
 
 @plan(f"""WITH {A.CLAIMS} SELECT subject_id, string_agg(DISTINCT source_id, '|' ORDER BY source_id) AS sources, count(DISTINCT source_id) AS n_sources,

@@ -90,6 +90,41 @@ def test_pagerank_goes_to_tolerance(spark):
     assert ranking.pagerank(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most_nodes", [0, 1000])
+@pytest.mark.parametrize("seeds", [None, ["n1"]])
+def test_pagerank_of_large_graphs_both_ways(spark, monkeypatch, seeds, most_nodes):
+    """Over blocks of edges, of which a node has several, and by joins where the nodes are too many for that."""
+    monkeypatch.setattr(ranking, "MOST_NODES", most_nodes)
+    monkeypatch.setattr(ranking, "BLOCK", 7)
+    random.seed(2)
+    edges = [(f"n{a}", f"n{b}", 1.0 + random.random()) for a in range(30) for b in random.sample(range(40), 4) if a != b] + [(f"n{a}", "hub", 1.0) for a in range(30)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight double")
+    s = None if seeds is None else spark.createDataFrame([(x,) for x in seeds], "node string")
+    got = {r["node"]: r["score"] for r in ranking.pagerank(df, s, small=0).collect()}
+    want = plain_pagerank(edges, seeds, rounds=300)
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-12 for n in want)
+
+
+def test_pagerank_rounds_shuffle_nothing(spark):
+    """More rounds over a graph too large for one task move no more rows between tasks; joins moved all scores in each."""
+    random.seed(3)
+    edges = [(f"n{a}", f"n{random.randrange(3000)}", 1.0) for a in range(2000) for _ in range(3)]
+    df = spark.createDataFrame(edges, "src string, dst string, weight double").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    few, many = (shuffled(spark, lambda k=k: ranking.pagerank(df, tolerance=0, most=k, small=0).count()) for k in (1, 6))
+    assert many < 1.2 * few
+
+
+def test_importance_counts_copies_once(spark):
+    """The edges that both graphs share, against each graph's own."""
+    rows = [("s1", "a", "b", 0.5, "d1", "1"), ("s1", "a", "b", 0.9, "d1", "2"), ("s1", "a", "", 0.4, None, "3"), ("s2", "b", None, 0.3, None, "4"), ("", "a", "c", 0.2, None, "5")]
+    known = spark.createDataFrame(rows, "source_id string, subject_id string, object_id string, credibility double, dup_group string, claim_id string")
+    both = evidence.edges(known, F.xxhash64(evidence.story()))
+    rounded = lambda x: sorted((r["src"], r["dst"], round(r["weight"], 9)) for r in x.collect())
+    assert rounded(evidence.endorsements(known)) == [("", "a", 0.2), ("a", "b", 1.4), ("a", "c", 0.2), ("s1", "a", 1.3), ("s2", "b", 0.3)]
+    assert rounded(both.select("src", "dst", "weight")) == rounded(evidence.endorsements(known))
+    assert rounded(evidence.named(both).select("src", "dst", F.col("n").alias("weight"))) == rounded(evidence.mentions(known))
+
+
 def test_validity_is_half_open(spark):
     df = spark.createDataFrame([("a", "2000-01-01", "2008-09-01", "2000-01-01"), ("b", "2008-09-01", None, "2009-01-01")], "k string, status_valid_from string, status_valid_to string, knowledge_time string")
     at = lambda t, **o: sorted(r["k"] for r in temporal.active_universe(df, t, **o).collect())
