@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,7 +27,9 @@ def topical(docs: DataFrame, stop: tuple[str, ...] = (), key: str = "doc_id", bo
 
 
 #: Members of sets that a task of :func:`partners` holds (about), and terms whose partners are counted before the bound is known, as a multiple of ``top``.
-HELD, FIRST = 4_000_000, 8
+HELD, FIRST = 12_000_000, 8
+#: Partners of a term at the bound that :func:`likeliest` looks at (about), and by how many standard deviations fewer a term may show there.
+SEEN, DEVIATIONS = 8_192, 8
 #: Kept terms whose numbers are broadcast at most (some 32 MB).
 MOST_KEPT = 2_000_000
 
@@ -70,39 +73,68 @@ def most_partners(sets: DataFrame, sizes: list[int]) -> DataFrame:
     return seen.select("code", sum(most[1:], most[0]).alias("most"), sum(guess[1:], guess[0]).alias("guess"), "rows")
 
 
-def partners(sets: DataFrame, of: np.ndarray, ranges: int) -> DataFrame:
+def _mixed(code: np.ndarray) -> np.ndarray:
+    """Numbers of terms as even 32-bit hashes."""
+    x = code.astype(np.uint32)
+    for k in (0x7FEB352D, 0x846CA68B):
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(k)
+    return x ^ (x >> np.uint32(16))
+
+
+def grid(own: int, other: int) -> tuple[int, int]:
+    """Shares of terms and of partners for which a task holds about ``HELD`` members and the least is moved.
+
+    Each share of partners gets all the terms' members ``own``, each share of
+    terms all the partners' members ``other``.
+    """
+    tasks = max(8, -(-(own + other) // HELD))
+    of_terms = max(1, round(math.sqrt(tasks * own / max(other, 1))), -(-2 * own // HELD))
+    return of_terms, max(1, -(-8 // of_terms), -(-other // (HELD - own // of_terms)))
+
+
+def partners(sets: DataFrame, of: np.ndarray, shares: tuple[int, int], part_of: int = 1) -> DataFrame:
     """``code, n``: with how many different terms each of the terms ``of`` (sorted numbers) is in a set.
 
-    The partners are dealt out by their number modulo ``ranges``; a task holds
-    what the sets have of its share and marks each term's partners in a flat
-    array. No pair is ever a row, and a term's counts of the shares add up.
+    The terms and their partners are dealt out by number into ``shares`` (of
+    terms, of partners); a task holds what the sets have of its two shares and
+    marks each term's partners in a flat array. No pair is ever a row, and a
+    term's counts of the shares add up. With ``part_of`` only partners whose
+    hash is a multiple of it count.
     """
+    of_terms, ranges = shares
     # a key for each task, so that the shares are spread evenly
-    slot = sets.sparkSession.range(40 * ranges).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(ranges)).alias("p"))
+    n_keys = of_terms * ranges
+    slot = sets.sparkSession.range(40 * n_keys).select(F.col("id").cast("int").alias("k"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n_keys)).alias("p"))
     keys = np.array([r["k"] for r in slot.groupBy("p").agg(F.min("k").alias("k")).orderBy("p").collect()], np.int32)
-    ranges = len(keys)
+    n_tasks = len(keys)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = lambda values, first: pa.ListArray.from_arrays(pa.array(np.r_[first, len(values)].astype(np.int32)), pa.array(values.astype(np.int32)))
         for x in batches:
             s = x.column("s")
-            row = np.repeat(np.arange(len(s)), pc.list_value_length(s).to_numpy(zero_copy_only=False))
-            code = s.flatten().to_numpy()
-            at = np.minimum(np.searchsorted(of, code), len(of) - 1)
-            mine = of[at] == code
-            n_of = np.bincount(row[mine], minlength=len(s))
-            begin, at = np.cumsum(n_of) - n_of, at[mine]
-            # rows without a term of ``of`` have nothing to tell
-            told = n_of[row] > 0
-            row, code = row[told], code[told]
-            part = code % ranges
-            order = np.lexsort((row, part))
-            part, row, code = part[order], row[order], code[order]
-            first = np.flatnonzero(np.diff(part, prepend=-1) | np.diff(row, prepend=-1))
-            times = n_of[row[first]]
-            gave = np.cumsum(times) - times
-            own = at[np.arange(times.sum()) + np.repeat(begin[row[first]] - gave, times)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part[first]]), lists(own, gave), lists(code, first)], ["part", "own", "other"])
+            all_rows = np.repeat(np.arange(len(s)), pc.list_value_length(s).to_numpy(zero_copy_only=False))
+            codes = s.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(of, codes), len(of) - 1)
+            mine = of[at] == codes
+            own_row, own_at = all_rows[mine], at[mine]
+            if part_of > 1:
+                some = _mixed(codes) % part_of == 0
+                all_rows, codes = all_rows[some], codes[some]
+            for k in range(of_terms):
+                here = own_at % of_terms == k
+                n_of, at = np.bincount(own_row[here], minlength=len(s)), own_at[here]
+                begin = np.cumsum(n_of) - n_of
+                # rows without a term of this share have nothing to tell
+                told = n_of[all_rows] > 0
+                row, code = all_rows[told], codes[told]
+                part = code % ranges
+                order = np.lexsort((row, part))
+                part, row, code = part[order], row[order], code[order]
+                first = np.flatnonzero(np.diff(part, prepend=-1) | np.diff(row, prepend=-1))
+                times = n_of[row[first]]
+                gave = np.cumsum(times) - times
+                own = at[np.arange(times.sum()) + np.repeat(begin[row[first]] - gave, times)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[(part[first] * of_terms + k) % n_tasks]), lists(own, gave), lists(code, first)], ["part", "own", "other"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(x.column(name).flatten().to_numpy(), pc.list_value_length(x.column(name)).to_numpy(zero_copy_only=False)) for x in batches for name in ("own", "other")]
@@ -126,10 +158,24 @@ def partners(sets: DataFrame, of: np.ndarray, ranges: int) -> DataFrame:
             n[k] = np.count_nonzero(seen) - int(me < len(seen) and seen[me])
         yield pa.RecordBatch.from_arrays([pa.array(of[own[first]]), pa.array(n)], ["code", "n"])
 
-    dealt = sets.mapInArrow(deal, "part int, own array<int>, other array<int>").repartition(ranges, "part")
+    dealt = sets.mapInArrow(deal, "part int, own array<int>, other array<int>").repartition(n_tasks, "part")
     return dealt.mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
+def likeliest(sets: DataFrame, of: np.ndarray, bound: int, own: int, other: int) -> np.ndarray:
+    """Of the terms ``of`` those that can have ``bound`` partners, by the partners in an even share of all terms.
+
+    A term of so many partners shows fewer than ``DEVIATIONS`` standard
+    deviations below the mean with a chance of 10^-14 (and all terms stay where the share would be too small to tell).
+    """
+    part_of = bound // SEEN
+    if part_of < 2:
+        return of
+    mean = bound / part_of
+    seen = partners(sets, of, grid(own, other // part_of), part_of).where(F.col("n") >= mean - DEVIATIONS * math.sqrt(mean))
+    return np.sort(np.array([r["code"] for r in seen.select("code").collect()], np.int32))
+
+
 def emergent(tokens: DataFrame, n_docs: int, df_low: int = 10, df_high: float = 0.02, least: int = 5, top: int = 120) -> tuple[DataFrame, DataFrame]:
     """(terms, edges): terms of middling frequency with most partners, and the edges among the best ``top``.
 
@@ -137,8 +183,9 @@ def emergent(tokens: DataFrame, n_docs: int, df_low: int = 10, df_high: float =
     that stay, ``degree`` counts the partners among themselves, and edges need
     ``least`` documents. Partners are counted for those terms only that can be
     among the best: first for the likeliest ones, then for all whose
-    bound reaches the ``top``-th count found. The driver gets the numbers of
-    these. Edges come from the few rows of the best terms.
+    bound reaches the ``top``-th count found and, if these are many, that an
+    even share of the partners doesn't rule out (:func:`likeliest`). The driver
+    gets the numbers of these. Edges come from the few rows of the best terms.
     """
     df = doc_frequency(tokens).where((F.col("df") >= df_low) & (F.col("df") <= df_high * n_docs)).withColumn("h", F.xxhash64("term"))
     df = cut(ranked(df, "df", "term", "code"))
@@ -147,14 +194,17 @@ def emergent(tokens: DataFrame, n_docs: int, df_low: int = 10, df_high: float =
     best = df.withColumn("n", F.lit(0).cast("long"))
     if sizes:
         most = cut(most_partners(sets, sizes))
-        ranges = max(8, -(-(most.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]) // HELD))
+        members = most.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
         codes = lambda x: np.sort(np.array([r["code"] for r in x.select("code").collect()], np.int32))
+        rows = lambda of: int(most.join(F.broadcast(most.sparkSession.createDataFrame(pa.table({"code": of}))), "code").agg(F.sum("rows")).first()[0])
         likely = codes(most.orderBy(F.desc("guess"), "code").limit(FIRST * top))
-        counted = cut(partners(sets, likely, ranges)) if len(likely) else most.select("code", F.col("most").alias("n"))
+        counted = cut(partners(sets, likely, grid(rows(likely), members))) if len(likely) else most.select("code", F.col("most").alias("n"))
         bound, n = counted.orderBy(F.desc("n")).limit(top).agg(F.min("n"), F.count("*")).first()
         more = np.setdiff1d(codes(most.where(F.col("most") >= (bound if n >= top else 0))), likely)
+        if len(more) > FIRST * top and n >= top:
+            more = likeliest(sets, more, bound, rows(more), members)
         if len(more):
-            counted = counted.unionByName(cut(partners(sets, more, ranges)))
+            counted = counted.unionByName(cut(partners(sets, more, grid(rows(more), members))))
         # terms in a set that aren't counted have fewer partners than the best; terms in none have no partners
         met = df.join(most.select("code", F.lit(True).alias("met")), "code", "left").join(counted, "code", "left")
         best = met.where("n is not null or met is null").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -654,6 +654,28 @@ def test_emergent_pairs_are_not_shuffled(spark):
     assert shuffled(spark, lambda: terms.emergent(tokens, 60, 2, 0.5)[1].count()) < 12_000_000
 
 
+def test_emergent_candidates_meet_a_share_of_partners(spark, monkeypatch):
+    """1,600 terms of eight topics could be among the best by their bound; they don't go to each share of their partners, and the best are those by all pairs."""
+    for name, value in {"FIRST": 2, "HELD": 4_000, "SEEN": 50, "DEVIATIONS": 4}.items():
+        monkeypatch.setattr(terms, name, value, raising=False)
+    random.seed(16)
+    docs = [{200 * (i % 8) + k for k in random.sample(range(200), 150)} for i in range(320)]
+    for hub in range(1600, 1630):
+        for i in random.sample(range(320), 40):
+            docs[i].add(hub)
+    df, met = collections.Counter(w for x in docs for w in x), collections.defaultdict(set)
+    for x in docs:
+        for w in x:
+            met[w] |= x
+    tokens = spark.createDataFrame([(i, f"t{w}") for i, x in enumerate(docs) for w in x], "doc_id long, term string").cache()
+    tokens.count()
+    got = []
+    moved = shuffled(spark, lambda: got.extend(terms.emergent(tokens, 320, 2, 0.5, top=20)[0].collect()))
+    want = sorted(met, key=lambda w: (-len(met[w]), -df[w], f"t{w}"))[:20]
+    assert {r["term"] for r in got} == {f"t{w}" for w in want}
+    assert moved < 1_500_000
+
+
 def test_story_pairs_of_blocks(spark, monkeypatch):
     """Blocks and tiles find the same pairs as all comparisons, rare bigrams and Hangul included, and a forest connects what they do."""
     monkeypatch.setattr(neardup, "BLOCK", 20)
