@@ -712,6 +712,18 @@ def test_story_candidates_are_not_shuffled(spark):
     assert shuffled(spark, lambda: neardup.story_pairs(df, overlap=0.9).count()) < 1_500_000
 
 
+def test_stories_move_no_texts(spark):
+    """300 texts of 8,000 characters in two stories with one beginning: the story's first is found among whole texts, few of which are shuffled."""
+    random.seed(17)
+    words = ["".join(random.choices("abcdefghijklmnopqrst", k=8)) for _ in range(1000)]
+    rows = [(i, "2024-03-01", "the same beginning " + " ".join(random.sample(words, 890)) if i % 2 else f"0{i:03} " + "".join(random.choices("0123456789", k=8000)), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, day string, text string, ent string")
+    got = []
+    moved = shuffled(spark, lambda: got.extend(neardup.collapse_stories(df, overlap=0.9).collect()))
+    assert {(r["text"], r["n_src"]) for r in got} == {(min(t for i, _, t, _ in rows if i % 2 == k), 150) for k in (0, 1)}
+    assert moved < 1_200_000
+
+
 def test_sets_go_to_their_part_once(spark, monkeypatch):
     """60 near copies of a text of 3,000 words have 1,770 pairs; no pair brings its sets along. Large parts in blocks give the same."""
     random.seed(15)
