@@ -108,24 +108,46 @@ def importance(claims: DataFrame, seeds: DataFrame, top: int | None = None, **of
 
 def shifts(claims: DataFrame, seeds: DataFrame, **of_rank) -> DataFrame:
     """:func:`importance` of all entities without evidence counts."""
-    return _ranks(_slim(claims), F.col("g"), seeds, **of_rank)
+    return _ranks(_of_claims(claims), F.col("g"), seeds, **of_rank)
+
+
+def _of_claims(claims: DataFrame) -> DataFrame:
+    return settled(claims).select("source_id", "subject_id", "object_id", "credibility", F.xxhash64(story()).alias("g"))
 
 
 def _slim(claims: DataFrame) -> DataFrame:
     from ..runtime import cut
 
-    return cut(settled(claims).select("source_id", "subject_id", "object_id", "credibility", F.xxhash64(story()).alias("g")))
+    return cut(_of_claims(claims))
+
+
+def links(claims: DataFrame, group: Column) -> DataFrame:
+    """``src, dst, g, w``: each claim's link of its source to its subject, of a group of copies, and of that to its object."""
+    told = lambda src, dst, g: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), g.alias("g"), F.col("credibility").cast("double").alias("w"))
+    of = told("source_id", "subject_id", group)
+    return claims.select(F.inline(F.when(is_entity(F.col("object_id")), F.array(of, told("subject_id", "object_id", F.lit(None).cast("long")))).otherwise(F.array(of))))
 
 
 def _ranks(known: DataFrame, group: Column, seeds: DataFrame, **of_rank) -> DataFrame:
+    from . import claimgraph
+
+    # each entity is the end of a link
+    both = claimgraph.ranks(links(known, group), seeds, **of_rank)
+    if both is None:
+        both = _ranks_by_joins(known, group, seeds, **of_rank)
+    both = ranked(ranked(both, "ppr_naive", "node", "rank_naive"), "ppr_credible", "node", "rank_credible")
+    return both.withColumn("shift", F.col("rank_credible") - F.col("rank_naive"))
+
+
+def _ranks_by_joins(known: DataFrame, group: Column, seeds: DataFrame, **of_rank) -> DataFrame:
+    """Both scores of graphs of more nodes than the driver holds."""
     from ..runtime import cut
     from .ranking import pagerank
 
+    known = cut(known)
     # of settled claims both graphs have the same edges, but for ends without a name
     both = cut(edges(known, group))
     naive = pagerank(named(both).select("src", "dst", F.col("n").alias("weight")), written=True, **of_rank)
     credible = pagerank(both.select("src", "dst", "weight"), seeds=seeds, written=True, **of_rank)
     entities = known.select(F.col("subject_id").alias("node")).unionByName(known.where(is_entity(F.col("object_id"))).select(F.col("object_id").alias("node"))).distinct()
-    both = entities.join(naive.withColumnRenamed("score", "ppr_naive"), "node").join(credible.withColumnRenamed("score", "ppr_credible"), "node")
-    both = ranked(ranked(both, "ppr_naive", "node", "rank_naive"), "ppr_credible", "node", "rank_credible")
-    return both.withColumn("shift", F.col("rank_credible") - F.col("rank_naive"))
+    return entities.join(naive.withColumnRenamed("score", "ppr_naive"), "node").join(credible.withColumnRenamed("score", "ppr_credible"), "node")

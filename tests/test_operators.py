@@ -5,6 +5,7 @@ import datetime
 import functools
 import itertools
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -736,3 +737,55 @@ def test_sets_go_to_their_part_once(spark, monkeypatch):
     assert {(r["a"], r["b"]): r["jaccard"] for r in got} == want
     monkeypatch.setattr(neardup, "CELL", 7)
     assert {(r["a"], r["b"]): r["jaccard"] for r in neardup.jaccard_pairs(df).collect()} == want
+
+
+def plain_ranks(links, seeds):
+    """Both graphs' scores of every node from links (src, dst, g, w), by whole rounds."""
+    best, naive = {}, {}
+    for i, (src, dst, g, w) in enumerate(links):
+        key = src, dst, i if g is None else ("g", g)
+        best[key] = max(best.get(key, 0), w)
+        if src and dst:
+            naive[src, dst] = naive.get((src, dst), 0) + 1
+    credible = {}
+    for (src, dst, _), w in best.items():
+        credible[src, dst] = credible.get((src, dst), 0) + w
+    return [plain_pagerank([(a, b, w) for (a, b), w in e.items()], s, rounds=300) for e, s in ((naive, None), (credible, seeds))]
+
+
+@pytest.mark.parametrize("folded", [7, 1 << 20])
+@pytest.mark.parametrize(("cycle", "seeds"), [(False, ["s1", "s4", "absent"]), (True, ["s1", "p3"]), (False, ["absent"])])
+def test_ranks_of_claims(spark, monkeypatch, folded, cycle, seeds):
+    from skein.operators import claimgraph
+
+    monkeypatch.setattr(claimgraph, "FOLDED", folded)
+    rng = random.Random(5)
+    links = [(f"s{rng.randrange(6)}", f"p{rng.randrange(9)}", rng.randrange(4), rng.choice([0.1, 0.5, 1.0])) for _ in range(150)]
+    links += [(f"p{rng.randrange(9)}", f"c{rng.randrange(12)}", None, rng.choice([0.1, 0.5, 1.0])) for _ in range(60)]
+    # copies of a link without a group add up; an end without a name is in one graph only
+    links += [("p1", "c1", None, 0.5)] * 30 + [("", "p2", 1, 0.5), ("s2", "p5", 9, 0.1)] + [("s2", "p5", 9, 0.7)] * 20
+    links += [("c1", "s1", None, 1.0), ("c2", "p1", None, 0.2)] if cycle else []
+    df = spark.createDataFrame(links, "src string, dst string, g long, w double").repartition(5)
+    got = {r["node"]: r for r in claimgraph.ranks(df, spark.createDataFrame([(x,) for x in seeds], "node string")).collect()}
+    naive, credible = plain_ranks(links, seeds)
+    assert set(got) == {b for _, b, _, _ in links}
+    for x, r in got.items():
+        assert abs(r["ppr_naive"] - naive[x]) < 1e-8 and abs(r["ppr_credible"] - credible[x]) < 1e-8
+    assert claimgraph.ranks(df, spark.createDataFrame([("s1",)], "node string"), most_nodes=5) is None
+
+
+def test_ranks_of_claims_pass_over_edges_as_often_as_paths_are_long(spark):
+    from skein.operators import claimgraph
+
+    df = spark.createDataFrame([(f"s{k % 5}", f"p{k % 7}", k, 0.5) for k in range(40)] + [(f"p{k % 7}", f"c{k}", None, 0.5) for k in range(20)], "src string, dst string, g long, w double")
+    seeds, tracker = spark.createDataFrame([("s1",)], "node string"), spark.sparkContext.statusTracker()
+
+    def jobs(**more):
+        spark.sparkContext.setJobGroup(uid := uuid.uuid4().hex, "")
+        try:
+            assert claimgraph.ranks(df, seeds, **more).count() == 27
+        finally:
+            spark.sparkContext._jsc.sc().clearJobGroup()
+        return len(tracker.getJobIdsForGroup(uid))
+
+    assert jobs(tolerance=0, most=40) == jobs(tolerance=0, most=2)
