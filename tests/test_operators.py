@@ -778,14 +778,40 @@ def test_ranks_of_claims_pass_over_edges_as_often_as_paths_are_long(spark):
     from skein.operators import claimgraph
 
     df = spark.createDataFrame([(f"s{k % 5}", f"p{k % 7}", k, 0.5) for k in range(40)] + [(f"p{k % 7}", f"c{k}", None, 0.5) for k in range(20)], "src string, dst string, g long, w double")
-    seeds, tracker = spark.createDataFrame([("s1",)], "node string"), spark.sparkContext.statusTracker()
+    seeds = spark.createDataFrame([("s1",)], "node string")
+    jobs = lambda most: jobs_of(spark, lambda: claimgraph.ranks(df, seeds, tolerance=0, most=most).collect())
+    assert jobs(40) == jobs(2)
+
+
+def jobs_of(spark, run):
+    """Number of jobs that a function starts."""
+    spark.sparkContext.setJobGroup(group := uuid.uuid4().hex, "")
+    try:
+        run()
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("most_links", [0, None])
+def test_standing(spark, most_links):
+    """In one task and by rounds; each end is looked at after all that come before it."""
+    rng = random.Random(8)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(110)})
+    want = {}
+    for x in sorted({x for p in pairs for x in p}):
+        want[x] = not any(want[a] for a, b in pairs if b == x)
+    got = neardup.standing(spark.createDataFrame(pairs, "a long, b long"), most_links=most_links).collect()
+    assert len(got) == len(want) and {r["id"]: r["stays"] for r in got} == want
+    assert neardup.standing(spark.createDataFrame([], "a long, b long"), most_links=most_links).count() == 0
+
+
+def test_standing_takes_no_rounds_for_long_chains(spark):
+    chain = lambda n: spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
+    few, many = (jobs_of(spark, lambda n=n: neardup.standing(chain(n)).collect()) for n in (2, 40))
+    assert few == many
 
-    def jobs(**more):
-        spark.sparkContext.setJobGroup(uid := uuid.uuid4().hex, "")
-        try:
-            assert claimgraph.ranks(df, seeds, **more).count() == 27
-        finally:
-            spark.sparkContext._jsc.sc().clearJobGroup()
-        return len(tracker.getJobIdsForGroup(uid))
 
-    assert jobs(tolerance=0, most=40) == jobs(tolerance=0, most=2)
+def test_leaders_keep_copies_and_texts_without_words(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "!"), (3, "e d c b a"), (4, None), (5, "!"), (6, "x")], "doc_id long, text string")
+    assert sorted(map(tuple, neardup.leaders(docs).collect())) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5), (6, 6)]
